@@ -59,7 +59,24 @@ def half_up_int(col: Column) -> Column:
     return F.floor(col + F.lit(Decimal("0.5"))).cast("bigint")
 
 
+def half_up_quotient(part: Column, whole: Column) -> Column:
+    """part / whole to the nearest integer, halves upwards, on integers alone.
+
+    0 for an empty whole. Both sides are non-negative.
+    """
+    top = (part * 2 + whole).cast("decimal(38,0)")
+    bottom = (whole * 2).cast("decimal(38,0)")
+    quotient = ((top - top % bottom) / bottom).cast("bigint")
+    return F.when(whole > 0, quotient).otherwise(F.lit(0)).cast("bigint")
+
+
 def half_up_percent(part: Column, whole: Column) -> Column:
-    """Integer percentage with halves upwards, computed on integers; 0 for an empty whole."""
-    share = F.floor((F.lit(200) * part + whole) / (F.lit(2) * whole))
-    return F.when(whole > 0, share).otherwise(F.lit(0)).cast("bigint")
+    return half_up_quotient(part * 100, whole)
+
+
+def share_percent(part: Column, whole: Column) -> Column:
+    """Percentage with two decimals of one money sum in another."""
+    points = half_up_quotient(
+        (part * 1000000).cast("decimal(38,0)"), (whole * 100).cast("decimal(38,0)")
+    )
+    return (points.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(10,2)")

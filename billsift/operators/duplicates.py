@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billsift.functions import money, similarity, text
+from billsift.functions.frames import beside
 from billsift.operators import near, rules
 from billsift.session import cut_lineage
 
@@ -540,10 +541,9 @@ def pair_totals(rows: DataFrame) -> DataFrame:
         item_band_same.toDF("ibs_day", "ibs_win"),
         near_counts,
     ]
-    # Each part is a single row, put side by side under one key.
-    row = parts[0].withColumn("k", F.lit(1))
+    row = parts[0]
     for part in parts[1:]:
-        row = row.join(part.withColumn("k", F.lit(1)), "k")
+        row = beside(row, part)
     c = F.col
     vendor = c("b_day") - c("bs_day")
     date = (c("b_win") - c("bs_win")) - vendor - c("near_window")
