@@ -32,7 +32,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 SCANNED_BATCH = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
-_stored: dict[tuple[str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _edge(df: DataFrame) -> DataFrame:
@@ -103,16 +103,22 @@ class Tables:
     def scan_rows(self):
         return duplicates.scan_rows(self.copies(), self.copy_items())
 
-    def pairs(self):
-        """Result of the full scan. Like the stored findings it stands for, it is written once."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is stored in practice, written once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _stored:
-            rows = self.scan_rows()
-            _stored[key] = cut_lineage(
-                duplicates.with_similarity(duplicates.duplicate_pairs(rows), rows)
-            )
+            _stored[key] = cut_lineage(build())
         return _stored[key]
 
+    def pairs(self):
+        """Result of the full scan, as the stored findings keep it."""
+
+        def build() -> DataFrame:
+            rows = self.scan_rows()
+            return duplicates.with_similarity(duplicates.duplicate_pairs(rows), rows)
+
+        return self._once("pairs", build)
+
     def pair_findings(self):
         return duplicates.findings(self.pairs(), self.copies(), self.vendors())
 
@@ -132,7 +138,8 @@ class Tables:
 
     # uploads
     def lines(self):
-        return self.book.upload_lines()
+        """Uploaded lines, as the upload files keep them."""
+        return self._once("lines", self.book.upload_lines)
 
     def loaded(self):
         return load.load_lines(self.lines())

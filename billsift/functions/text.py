@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from billsift.schemas import SEVERITIES
 
-# Plain decimal or exponent notation; digit separators, type suffixes, inf and nan are refused.
-NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 NUMBER_TYPE = "decimal(18,6)"
 
 
+# Every character that counts as white space at the ends of a cell.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
-    """Remove all leading and trailing white space (``trim`` removes only blanks)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Remove all leading and trailing white space (plain ``trim`` removes only blanks)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def clean(col: Column) -> Column:
@@ -36,9 +41,11 @@ def parse_date(col: Column) -> Column:
 
 
 def parse_number(col: Column) -> Column:
-    """Decimal value of a cell after dropping ``,`` and ``%``; null when unusable."""
-    raw = strip(F.regexp_replace(clean(col), "[,%]", ""))
-    return F.when(raw.rlike(NUMBER_PATTERN), raw.try_cast(NUMBER_TYPE))
+    """Decimal value of a cell after dropping ``,`` and ``%``; null when unusable.
+
+    The decimal cast refuses digit separators, type suffixes, inf and nan by itself.
+    """
+    return strip(F.translate(F.coalesce(col, F.lit("")), ",%", "")).try_cast(NUMBER_TYPE)
 
 
 def product_or_default(col: Column) -> Column:
@@ -68,8 +75,12 @@ def severity_rank(col: Column) -> Column:
 
 
 def casefold(col: Column) -> Column:
-    """Upper before lower folds letters such as the sharp s the way casefold does."""
-    return F.lower(F.upper(col))
+    """Upper before lower folds letters such as the sharp s the way casefold does.
+
+    The optimizer would shorten lower(upper(x)) to lower(x), which is not the same
+    here; the translation in between changes nothing and keeps both.
+    """
+    return F.lower(F.translate(F.upper(col), "\t", "\t"))
 
 
 def float_text(col: Column) -> Column:

@@ -253,22 +253,31 @@ def _path_lengths(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
     return scaled.withColumn("isolation", F.pandas_udf(isolation, "double")(*[F.col(c) for c in FEATURES]))
 
 
-def fit(rows: DataFrame, trees: int = TREES, contamination: float = CONTAMINATION) -> Forest:
-    """Fit scaler and forest on rows with row_id, vendor_name and the raw numbers."""
-    features = build_features(rows)
+def _offset(isolation: DataFrame, contamination: float) -> float:
+    """Score that the assumed share of outliers lies above."""
+    share = 1.0 - min(contamination, MAX_CONTAMINATION)
+    return isolation.agg(
+        F.percentile_approx("isolation", share, 100_000).alias("offset")
+    ).first()["offset"]
+
+
+def _fit_features(features: DataFrame, trees: int, contamination: float) -> tuple[Forest, DataFrame]:
+    """Forest and the isolation of its training rows."""
     total = features.count()
     if total < 2:
         raise ValueError("need at least 2 rows to train the forest")
-    fitted = scaler(features)
+    fitted = cut_lineage(scaler(features))
     scaled = scale(features, fitted)
-    nodes = _grow(scaled, total, trees)
-    # Pin the forest: growing it again for the second use would be wasted work.
-    nodes = cut_lineage(nodes)
-    share = 1.0 - min(contamination, MAX_CONTAMINATION)
-    offset = _path_lengths(scaled, nodes).agg(
-        F.percentile_approx("isolation", share, 100_000).alias("offset")
-    ).first()["offset"]
-    return Forest(nodes, fitted, offset)
+    # Pin the forest: growing it again for the next use would be wasted work.
+    nodes = cut_lineage(_grow(scaled, total, trees))
+    isolation = cut_lineage(_path_lengths(scaled, nodes).select("row_id", "isolation"))
+    return Forest(nodes, fitted, _offset(isolation, contamination)), isolation
+
+
+def fit(rows: DataFrame, trees: int = TREES, contamination: float = CONTAMINATION) -> Forest:
+    """Fit scaler and forest on rows with a unique row_id, vendor_name and the raw numbers."""
+    features = cut_lineage(build_features(rows).select("row_id", *FEATURES))
+    return _fit_features(features, trees, contamination)[0]
 
 
 def save(model: Forest, path: str) -> None:
@@ -288,17 +297,19 @@ def score(rows: DataFrame, model: Forest | None = None) -> DataFrame:
 
     Fits on the rows themselves when there is no model. Fewer than two rows score 0.
     """
-    if len(rows.limit(2).take(2)) < 2:
+    if len(rows.take(2)) < 2:
         return rows.withColumns({"ml_risk_score": F.lit(0.0), "ml_flag": F.lit(False)})
-    used = model or fit(rows)
-    scaled = scale(build_features(rows), used.scaler)
-    raw = _path_lengths(scaled, used.nodes).select("row_id", "isolation")
+    features = cut_lineage(build_features(rows).select("row_id", *FEATURES))
+    if model is None:
+        model, raw = _fit_features(features, TREES, CONTAMINATION)
+    else:
+        raw = _path_lengths(scale(features, model.scaler), model.nodes).select("row_id", "isolation")
     span = raw.agg(F.min("isolation").alias("least"), F.max("isolation").alias("most"))
     # decision = offset - isolation, so the most isolated row has the lowest decision value.
     position = (F.col("isolation") - F.col("least")) / (F.col("most") - F.col("least") + 1e-9)
     scores = beside(raw, span).select(
         "row_id",
         F.round(position * 100, 1).alias("ml_risk_score"),
-        (F.col("isolation") > used.offset).alias("ml_flag"),
+        (F.col("isolation") > model.offset).alias("ml_flag"),
     )
     return rows.join(scores, "row_id")

@@ -26,7 +26,7 @@ from billsift.functions import similarity
 NEAR_CENTS = 100
 _BUCKET = 400
 HOT_BLOCK = 64
-_MAX_KEYS = 400
+MAX_KEYS = 400
 _MOST_DELETIONS = 3
 _BLOCK = ["vendor_id", "bucket"]
 _CARRIED = ["cell", "anchor", "n", "n_scanned", "company_id", "number", "number_key", "cents"]
@@ -58,7 +58,7 @@ def _shared_prefix_length(low: str, high: str) -> Column:
     )
 
 
-def _block_stats(reached: DataFrame) -> DataFrame:
+def _block_stats(reached: DataFrame, hot_block: int, max_keys: int) -> DataFrame:
     """Size of every block worth joining, and how to make keys if it is hot."""
     number = F.col("number")
     stats = (
@@ -82,14 +82,14 @@ def _block_stats(reached: DataFrame) -> DataFrame:
     few = F.lit(False)
     for d in range(_MOST_DELETIONS + 1):
         # Longest rest whose keys stay within the limit.
-        reach = max(r for r in range(200) if sum(comb(r, j) for j in range(d + 1)) <= _MAX_KEYS or r == 0)
+        reach = max(r for r in range(200) if sum(comb(r, j) for j in range(d + 1)) <= max_keys or r == 0)
         few = few | ((deletions == d) & (rest <= (reach if d else 10_000)))
     piece = F.floor(
         (F.col("shortest") - F.col("cut")) / (similarity.edits_allowed(F.col("longest")) + 1)
     ).cast("int")
     return stats.select(
         *_BLOCK,
-        (F.col("block_n") > HOT_BLOCK).alias("hot"),
+        (F.col("block_n") > hot_block).alias("hot"),
         "cut",
         few.alias("by_deletion"),
         F.greatest(piece, F.lit(0)).alias("piece"),
@@ -125,11 +125,12 @@ def _comparable() -> Column:
     )
 
 
-def near_cells(cells: DataFrame, carried: list[str] | None = None) -> DataFrame:
+def near_cells(cells: DataFrame, carried: list[str] | None = None, hot_block: int = HOT_BLOCK,
+               max_keys: int = MAX_KEYS) -> DataFrame:
     """Pairs of cells with similar numbers; columns come prefixed a_ and b_."""
     columns = _CARRIED + list(carried or [])
     reached = _reached(cells)
-    blocks = _block_stats(reached)
+    blocks = _block_stats(reached, hot_block, max_keys)
     cold = blocks.filter(~F.col("hot")).select(*_BLOCK)
     hot = blocks.filter("hot").drop("hot")
     own = _own(cells)

@@ -85,21 +85,20 @@ class OrderBook:
             .alias("status"),
         )
 
-    def items(self, faulted: bool = False, copies: bool = False) -> DataFrame:
-        """One row per invoice line with its money columns."""
+    def items(self, faulted: bool = False, copies: bool = False, named: bool = True) -> DataFrame:
+        """One row per invoice line with its money columns; without names the product join is saved."""
         key = F.col("l_orderkey")
         milli = F.round(F.col("l_quantity") * 1000).cast("bigint")
         amount = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         rate = F.round(F.col("l_tax") * 10000).cast("bigint")
-        lines = (
-            self._read("lineitem")
-            .select(key, "l_partkey", milli.alias("m"), amount.alias("a"), rate.alias("r"))
-            .join(
-                self._read("part").select("p_partkey", "p_name"),
-                F.col("l_partkey") == F.col("p_partkey"),
-                "left",
-            )
+        lines = self._read("lineitem").select(
+            key, "l_partkey", milli.alias("m"), amount.alias("a"), rate.alias("r")
         )
+        if named:
+            products = self._read("part").select("p_partkey", "p_name")
+            lines = lines.join(products, F.col("l_partkey") == F.col("p_partkey"), "left")
+        else:
+            lines = lines.withColumn("p_name", F.lit(None).cast("string"))
         unit_cents = F.expr("(2 * a * 1000 + m) div (2 * nullif(m, 0))")
         hundredth = F.lit(Decimal("0.01"))
         quantity = (F.col("m").cast("decimal(18,0)") * F.lit(Decimal("0.001"))).cast("decimal(12,3)")
@@ -127,7 +126,7 @@ class OrderBook:
         return load.with_line_money(rows)
 
     def _headers(self, faulted: bool) -> DataFrame:
-        sums = load.invoice_totals(self.items(faulted))
+        sums = load.invoice_totals(self.items(faulted, named=False))
         zero = F.lit(Decimal("0.00"))
         key = F.col("o_orderkey")
         number = F.concat(F.lit("PO-"), F.lpad(key.cast("string"), 8, "0"))

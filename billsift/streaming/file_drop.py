@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from billsift.operators import load
 from billsift.schemas import REQUIRED_COLUMNS
+from billsift.session import cut_lineage
 
 
 def start(spark: SparkSession, folder: str, output: str, checkpoint: str,
@@ -27,15 +28,16 @@ def start(spark: SparkSession, folder: str, output: str, checkpoint: str,
         .csv(folder)
         .select(
             F.col("_metadata.file_path").alias("batch_id"),
-            # Files are not split, so ids grow in file order.
-            F.monotonically_increasing_id().alias("row_order"),
             *REQUIRED_COLUMNS,
         )
     )
 
     def load_batch(rows: DataFrame, number: int) -> None:
-        rows.persist()
-        loaded = load.load_lines(rows)
+        # Multi-line files are not split, so ids grow in file order. The rows are used by four
+        # tables and their ids must not change in between.
+        loaded = load.load_lines(
+            cut_lineage(rows.withColumn("row_order", F.monotonically_increasing_id()))
+        )
         for name, table in (
             ("invoices", loaded.invoices),
             ("items", loaded.items),
@@ -43,7 +45,6 @@ def start(spark: SparkSession, folder: str, output: str, checkpoint: str,
             ("batches", load.batch_rows(loaded.counts)),
         ):
             table.write.mode("overwrite").parquet(f"{output}/{name}/load={number}")
-        rows.unpersist()
 
     return (
         lines.writeStream.foreachBatch(load_batch)
