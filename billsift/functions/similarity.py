@@ -100,12 +100,18 @@ def near_only(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def deletions_allowed(length: Column) -> Column:
-    """Most characters a near text of this length can lose to reach the common part.
+def common_needed(a_length: Column, b_length: Column) -> Column:
+    """Shortest common subsequence that makes texts of these lengths near."""
+    return F.ceil((a_length + b_length) * (_SHARE / 2) - 1e-9).cast("int")
 
-    The shortest possible partner has _SHARE / (2 - _SHARE) of the length.
-    """
-    return F.floor(length * (1 - _SHARE / (2 - _SHARE)) + 1e-9).cast("int")
+
+def shortest_partner(length: Column) -> Column:
+    """No near text is shorter: even as a subsequence it would be too short."""
+    return F.ceil(length * (_SHARE / (2 - _SHARE)) - 1e-9).cast("int")
+
+
+def longest_partner(length: Column) -> Column:
+    return F.floor(length * ((2 - _SHARE) / _SHARE) + 1e-9).cast("int")
 
 
 def edits_allowed(length: Column) -> Column:
@@ -121,20 +127,20 @@ def _drop_one(texts: str) -> Column:
     )
 
 
-def with_deletion_keys(df: DataFrame, text: str, times: str, out: str, most: int) -> DataFrame:
-    """Add the text and all texts left after dropping up to ``times`` characters.
+def with_subsequences(df: DataFrame, text: str, times: str, out: str, most: int) -> DataFrame:
+    """Add all texts left after dropping exactly ``times`` characters, at most ``most``.
 
-    Two texts share a key exactly when they have a common subsequence that each
-    reaches within its number of deletions.
+    A text shorter than that leaves the empty text.
     """
     rows = df.withColumn("_dropped_0", F.array(F.col(text)))
-    levels = ["_dropped_0"]
+    kept = F.col("_dropped_0")
     for done in range(1, most + 1):
         name = f"_dropped_{done}"
+        wanted = F.least(F.col(times), F.length(F.col(text)))
         nothing = F.array().cast("array<string>")
-        rows = rows.withColumn(name, F.when(F.col(times) >= done, _drop_one(levels[-1])).otherwise(nothing))
-        levels.append(name)
-    return rows.withColumn(out, F.flatten(F.array(*levels))).drop(*levels)
+        rows = rows.withColumn(name, F.when(wanted >= done, _drop_one(f"_dropped_{done - 1}")).otherwise(nothing))
+        kept = F.when(wanted >= done, F.col(name)).otherwise(kept)
+    return rows.withColumn(out, kept).drop(*[f"_dropped_{i}" for i in range(most + 1)])
 
 
 def pieces(text: str, size: str) -> Column:

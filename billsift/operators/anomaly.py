@@ -28,6 +28,7 @@ SEED = 42
 SAMPLE = 256
 
 _BINS_PER_DOUBLING = 512
+_SLICES = 4096
 _HASH_RANGE = 1 << 31
 
 
@@ -71,38 +72,48 @@ def _long(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return long.withColumn("bin", F.floor(scaled))
 
 
-def medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """Exact medians, one row (feature, median) each, without sorting all values.
+def _middle(counted: DataFrame, part: str, groups: list[str]) -> DataFrame:
+    """Parts of each group that hold the middle ranks; at most two per feature.
 
-    Values are counted into bins, which are few. Running counts show which one or two
-    bins hold the middle ranks, and only the distinct values of those are ordered.
+    ``counted`` has one row per part with its size ``n``, the number of values before
+    the group and the total of the feature.
     """
-    long = _long(rows, columns)
-    bins = long.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    by_bin = Window.partitionBy("feature").orderBy("bin")
-    ranked = bins.select(
-        "feature",
-        "bin",
-        (F.sum("n").over(by_bin) - F.col("n")).alias("before"),
-        F.col("n"),
-        F.sum("n").over(Window.partitionBy("feature")).alias("total"),
-    )
+    running = Window.partitionBy(*groups).orderBy(part)
+    placed = counted.withColumn("before", F.col("before") + F.sum("n").over(running) - F.col("n"))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
 
     def holds(rank: Column) -> Column:
         return (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
 
-    middle = ranked.filter(holds(low) | holds(high)).drop("n")
-    # At most two bins per feature, whatever the size of the data.
-    inside = (
-        long.join(F.broadcast(middle.select("feature", "bin")), ["feature", "bin"], "left_semi")
-        .groupBy("feature", "bin", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(middle), ["feature", "bin"])
+    return placed.filter(holds(low) | holds(high)).drop("n")
+
+
+def medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+    """Exact medians, one row (feature, median) each, without sorting all values.
+
+    Values are counted into bins of growing width; the one or two bins that hold the
+    middle ranks are cut into equal slices, and only the distinct values of the middle
+    slices are put in order. Bins and slices are few, whatever the size of the data.
+    """
+    long = _long(rows, columns)
+    size = F.count(F.lit(1)).alias("n")
+    bins = long.groupBy("feature", "bin").agg(
+        size, F.min("value").alias("least"), F.max("value").alias("most")
     )
-    by_value = Window.partitionBy("feature", "bin").orderBy("value")
-    placed = inside.withColumn("before", F.col("before") + F.sum("n").over(by_value) - F.col("n"))
-    return placed.filter(holds(low) | holds(high)).groupBy("feature").agg(F.avg("value").alias("median"))
+    totals = F.sum("n").over(Window.partitionBy("feature"))
+    bins = _middle(bins.withColumns({"total": totals, "before": F.lit(0).cast("bigint")}), "bin", ["feature"])
+
+    spread = F.col("most") - F.col("least")
+    slice_no = F.when(spread > 0, F.floor((F.col("value") - F.col("least")) / spread * _SLICES)).otherwise(0)
+    # Broadcast sides have at most two rows per feature.
+    sliced = long.join(F.broadcast(bins), ["feature", "bin"]).withColumn("slice", slice_no)
+    keys = ["feature", "bin", "total", "before"]
+    slices = _middle(sliced.groupBy(*keys, "slice").agg(size), "slice", ["feature", "bin"])
+
+    values = sliced.drop("before", "total").join(F.broadcast(slices), ["feature", "bin", "slice"])
+    counted = values.groupBy(*keys, "slice", "value").agg(size)
+    middle = _middle(counted, "value", ["feature", "bin", "slice"])
+    return middle.groupBy("feature").agg(F.avg("value").alias("median"))
 
 
 def _one_row(long: DataFrame, value: str, columns: tuple[str, ...], suffix: str) -> DataFrame:
@@ -120,7 +131,8 @@ def fill_medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFr
 
 
 def build_features(rows: DataFrame) -> DataFrame:
-    return fill_medians(with_price_ratio(coerce_numbers(rows)))
+    # The search for the medians reads the rows several times.
+    return fill_medians(cut_lineage(with_price_ratio(coerce_numbers(rows))))
 
 
 def scaler(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:

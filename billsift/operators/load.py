@@ -42,17 +42,25 @@ def split_grouped(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cleaned.filter(has_number), cleaned.filter(~has_number)
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """Date and vendor of the first line, in file order, of every invoice."""
-    first = F.min_by(F.struct("invoice_date", "vendor_name"), F.col("row_order"))
-    grouped = lines.groupBy(*GROUP).agg(first.alias("first"))
+def _first_line() -> Column:
+    """Date and vendor of the first line in file order."""
+    return F.min_by(F.struct("invoice_date", "vendor_name"), F.col("row_order")).alias("first")
+
+
+def _named_headers(grouped: DataFrame, *also: str) -> DataFrame:
     return grouped.select(
         *GROUP,
         text.parse_date(F.col("first.invoice_date")).alias("invoice_date"),
         text.clean(F.col("first.vendor_name")).alias("vendor_name"),
+        *also,
     )
 
 
+def headers(lines: DataFrame) -> DataFrame:
+    """Date and vendor of every invoice, taken from its first line."""
+    return _named_headers(lines.groupBy(*GROUP).agg(_first_line()))
+
+
 def _usable_header() -> Column:
     return (F.col("vendor_name") != "") & F.col("invoice_date").isNotNull()
 
@@ -62,47 +70,77 @@ def split_headers(all_headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return all_headers.filter(_usable_header()), all_headers.filter(~_usable_header())
 
 
-def parse_items(lines: DataFrame) -> DataFrame:
-    """Numeric lines with their money; a line with an unusable cell is skipped.
+def _with_parsed_cells(lines: DataFrame) -> DataFrame:
+    """Typed cells and line money; all money is null on a line with an unusable cell.
 
-    Money is computed from the values as written, stored values have two decimals.
+    Money is computed from the values as written.
     """
     raw_rate = text.clean(F.col("gst_percent"))
     rate = F.when(raw_rate == "", F.lit(0).cast(text.NUMBER_TYPE)).otherwise(
         text.parse_number(F.col("gst_percent"))
     )
-    parsed = lines.select(
-        *GROUP,
-        text.product_or_default(F.col("product_name")).alias("product_name"),
-        text.parse_number(F.col("quantity")).alias("quantity"),
-        text.parse_number(F.col("unit_price")).alias("unit_price"),
-        rate.alias("tax_percent"),
-    ).dropna(subset=["quantity", "unit_price", "tax_percent"])
-    priced = parsed.withColumn(
-        "line_subtotal", money.line_subtotal(F.col("quantity"), F.col("unit_price"))
-    ).withColumn(
-        "line_tax",
-        money.line_tax(F.col("line_subtotal"), F.col("tax_percent").cast("decimal(12,4)")),
+    parsed = lines.withColumns(
+        {
+            "product_name": text.product_or_default(F.col("product_name")),
+            "quantity": text.parse_number(F.col("quantity")),
+            "unit_price": text.parse_number(F.col("unit_price")),
+            "tax_percent": rate,
+        }
+    )
+    subtotal = money.line_subtotal(F.col("quantity"), F.col("unit_price"))
+    return (
+        parsed.withColumn("line_subtotal", F.when(F.col("tax_percent").isNotNull(), subtotal))
+        .withColumn(
+            "line_tax",
+            money.line_tax(F.col("line_subtotal"), F.col("tax_percent").cast("decimal(12,4)")),
+        )
+        .withColumn("line_total", (F.col("line_subtotal") + F.col("line_tax")).cast("decimal(18,2)"))
     )
-    return priced.select(
+
+
+def parse_items(lines: DataFrame) -> DataFrame:
+    """Numeric lines with their money; a line with an unusable cell is skipped.
+
+    Stored quantity, price and rate have two decimals.
+    """
+    usable = _with_parsed_cells(lines).filter(F.col("line_subtotal").isNotNull())
+    return usable.select(
         *GROUP,
         "product_name",
         *[money.round_money(F.col(c)).alias(c) for c in ("quantity", "unit_price", "tax_percent")],
         "line_subtotal",
         "line_tax",
-        (F.col("line_subtotal") + F.col("line_tax")).cast("decimal(18,2)").alias("line_total"),
+        "line_total",
     )
 
 
-def invoices(accepted: DataFrame, items: DataFrame) -> DataFrame:
-    """Stored headers; an invoice whose lines were all skipped keeps zero totals."""
+def headers_with_totals(lines: DataFrame) -> DataFrame:
+    """Header and money of every invoice from one aggregation over its lines.
+
+    An invoice whose lines were all skipped keeps zero totals.
+    """
     zero = F.lit(0).cast("decimal(18,2)")
-    sums = invoice_totals(items, GROUP)
-    return accepted.join(sums, GROUP, "left").select(
-        *GROUP,
-        "vendor_name",
-        "invoice_date",
-        *[F.coalesce(F.col(c), zero).alias(c) for c in ("subtotal", "tax_amount", "total_amount")],
+    cells = _with_parsed_cells(
+        lines.select(
+            *GROUP, "row_order", "invoice_date", "vendor_name",
+            "product_name", "quantity", "unit_price", "gst_percent",
+        )
+    )
+    sums = [
+        F.coalesce(F.sum(line), zero).alias(name)
+        for line, name in (
+            ("line_subtotal", "subtotal"), ("line_tax", "tax_amount"), ("line_total", "total_amount")
+        )
+    ]
+    return _named_headers(cells.groupBy(*GROUP).agg(_first_line(), *sums), "subtotal", "tax_amount",
+                          "total_amount")
+
+
+def invoices(lines: DataFrame) -> DataFrame:
+    """Stored headers of the accepted invoices."""
+    accepted, _ = split_headers(headers_with_totals(lines))
+    return accepted.select(
+        *GROUP, "vendor_name", "invoice_date", "subtotal", "tax_amount", "total_amount",
         F.lit("Pending").alias("status"),
         F.lit(0).cast("decimal(5,2)").alias("risk_score"),
     )
@@ -259,4 +297,4 @@ def load_lines(lines: DataFrame) -> LoadedBatch:
     accepted, rejected = split_headers(headers(grouped))
     parsed = parse_items(grouped)
     kept = parsed.join(accepted.select(*GROUP), GROUP, "left_semi")
-    return LoadedBatch(invoices(accepted, parsed), kept, rejected, ungrouped, batch_counts(lines))
+    return LoadedBatch(invoices(grouped), kept, rejected, ungrouped, batch_counts(lines))

@@ -6,10 +6,11 @@ already counted into one. Cells meet in blocks of (vendor, amount bucket).
 * Ordinary blocks hold few cells and are joined directly.
 * Hot blocks (one vendor billing one amount over and over) are not joined on the block.
   Their cells meet on (block, key of the number), with keys that any two near numbers
-  must share: short numbers use what is left after dropping characters, long numbers
-  use pieces of one number against substrings of the other (with more pieces than
-  allowed edits, one piece survives). The prefix shared by a whole block carries no
-  information and is cut off before keys are made.
+  must share. Two short numbers are near exactly when they share a subsequence of the
+  length their two lengths ask for, so those subsequences are the keys and whatever
+  meets is a match. Of long numbers there are too many subsequences: pieces of one meet
+  substrings of the other (with more pieces than allowed edits, one piece survives).
+  The prefix shared by a whole block carries no information and is cut off first.
 
 Either way the full condition decides in the end, so the route changes cost only.
 """
@@ -78,12 +79,13 @@ def _block_stats(reached: DataFrame, hot_block: int, max_keys: int) -> DataFrame
     cut = F.when(F.col("spaced"), F.lit(0)).otherwise(_shared_prefix_length("low", "high"))
     stats = stats.withColumn("cut", cut)
     rest = F.col("longest") - F.col("cut")
-    deletions = similarity.deletions_allowed(F.col("longest"))
+    partner = F.greatest(F.col("shortest"), similarity.shortest_partner(F.col("longest")))
+    deletions = F.col("longest") - similarity.common_needed(F.col("longest"), partner)
     few = F.lit(False)
     for d in range(_MOST_DELETIONS + 1):
-        # Longest rest whose keys stay within the limit.
-        reach = max(r for r in range(200) if sum(comb(r, j) for j in range(d + 1)) <= max_keys or r == 0)
-        few = few | ((deletions == d) & (rest <= (reach if d else 10_000)))
+        # Longest rest that has no more subsequences than the limit.
+        reach = max(r for r in range(1000) if comb(r, d) <= max_keys or r == 0)
+        few = few | ((deletions == d) & (rest <= reach))
     piece = F.floor(
         (F.col("shortest") - F.col("cut")) / (similarity.edits_allowed(F.col("longest")) + 1)
     ).cast("int")
@@ -91,25 +93,48 @@ def _block_stats(reached: DataFrame, hot_block: int, max_keys: int) -> DataFrame
         *_BLOCK,
         (F.col("block_n") > hot_block).alias("hot"),
         "cut",
-        few.alias("by_deletion"),
+        few.alias("by_subsequence"),
+        "shortest",
+        "longest",
         F.greatest(piece, F.lit(0)).alias("piece"),
     )
 
 
-def _keyed(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    """One row per key of each number. The sides differ only for pieces against substrings."""
+def _formed(rows: DataFrame) -> DataFrame:
+    """The number without the shared prefix, and its sorted tokens where they differ."""
     number = F.col("number")
     plain = F.substring(number, F.col("cut") + 1, F.length(number))
     forms = F.when(number.rlike(r"\s"), F.array(plain, similarity.sorted_tokens(number))).otherwise(
         F.array(plain)
     )
+    return rows.withColumn("form", F.explode(F.array_distinct(forms)))
+
+
+def _subsequence_keys(formed: DataFrame) -> DataFrame:
+    """For each length a partner may have: both lengths and the subsequences they ask for."""
+    whole = F.length("form") + F.col("cut")
+    first = F.greatest(F.col("shortest"), similarity.shortest_partner(whole))
+    last = F.least(F.col("longest"), similarity.longest_partner(whole))
+    partners = F.when(first <= last, F.sequence(first, last))
+    rows = formed.withColumn("partner", F.explode(partners))
+    rows = rows.withColumn("times", whole - similarity.common_needed(whole, F.col("partner")))
+    rows = similarity.with_subsequences(rows, "form", "times", "kept", _MOST_DELETIONS)
+    lengths = F.concat_ws(":", F.least(whole, "partner"), F.greatest(whole, "partner"))
+    return rows.withColumn("kept", F.explode("kept")).withColumn(
+        "key", F.concat(lengths, F.lit(":"), F.col("kept"))
+    )
+
+
+def _keyed(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    """One row per key of each number. The sides differ only for pieces against substrings."""
+    formed = _formed(rows)
+    short = _subsequence_keys(formed.filter("by_subsequence"))
     cut_up = similarity.pieces if side == "a" else similarity.grams
-    formed = rows.withColumn("form", F.explode(F.array_distinct(forms))).withColumn(
-        "times", F.when(F.col("by_deletion"), similarity.deletions_allowed(F.length(number))).otherwise(0)
+    long = formed.filter("not by_subsequence").withColumn("key", F.explode(cut_up("form", "piece")))
+    keep = [*_BLOCK, "key"]
+    return _prefixed(short, f"{side}_", columns, *keep).unionByName(
+        _prefixed(long, f"{side}_", columns, *keep)
     )
-    keyed = similarity.with_deletion_keys(formed, "form", "times", "dropped", _MOST_DELETIONS)
-    keys = F.when(F.col("by_deletion"), F.col("dropped")).otherwise(cut_up("form", "piece"))
-    return _prefixed(keyed.withColumn("key", F.explode(keys)), f"{side}_", columns, *_BLOCK, "key")
 
 
 def _comparable() -> Column:
