@@ -113,11 +113,7 @@ class Tables:
     def pairs(self):
         """Result of the full scan, as the stored findings keep it."""
 
-        def build() -> DataFrame:
-            rows = self.scan_rows()
-            return duplicates.with_similarity(duplicates.duplicate_pairs(rows), rows)
-
-        return self._once("pairs", build)
+        return self._once("pairs", lambda: duplicates.duplicate_pairs(self.scan_rows()))
 
     def pair_findings(self):
         return duplicates.findings(self.pairs(), self.copies(), self.vendors())

@@ -44,10 +44,18 @@ def _lcs_rows(a: str, b: str) -> str:
 
 
 def lcs_length(a: str, b: str) -> Column:
-    """Length of the longest common subsequence of two columns."""
+    """Length of the longest common subsequence of two columns.
+
+    A small edit distance settles it without the table: as many edits as the lengths
+    differ are all insertions, one edit at equal lengths is one replacement, and two
+    edits at lengths one apart are a replacement and an insertion.
+    """
+    edits, apart = f"levenshtein({a}, {b})", f"abs(length({a}) - length({b}))"
+    shorter = f"least(length({a}), length({b}))"
     return F.expr(
         f"case when length({a}) = 0 or length({b}) = 0 then 0"
-        f" when {a} = {b} then length({a})"
+        f" when {edits} = {apart} then {shorter}"
+        f" when {edits} = 1 or ({edits} = 2 and {apart} = 1) then {shorter} - 1"
         f" when length({a}) <= {_WORD} then {_lcs_bits(a, b)}"
         f" when length({b}) <= {_WORD} then {_lcs_bits(b, a)}"
         f" else {_lcs_rows(a, b)} end"
@@ -68,13 +76,18 @@ def sorted_tokens(col: Column) -> Column:
     ).otherwise(col)
 
 
-def with_number_similarity(df: DataFrame, a: str, b: str, out: str = "similarity") -> DataFrame:
-    """Add the similarity (0..100, two decimals) of two trimmed number columns."""
+def with_number_similarity(df: DataFrame, a: str, b: str, out: str = "similarity",
+                           only: Column | None = None) -> DataFrame:
+    """Add the similarity (0..100, two decimals) of two trimmed number columns.
+
+    With ``only``, rows that fail the condition get null and cost nothing.
+    """
     spaced = F.col(a).rlike(r"\s") | F.col(b).rlike(r"\s")
     best = F.when(spaced, F.greatest(ratio(a, b), ratio("_a_tokens", "_b_tokens"))).otherwise(ratio(a, b))
+    score = F.bround(best, 2) if only is None else F.when(only, F.bround(best, 2))
     return (
         df.withColumns({"_a_tokens": sorted_tokens(F.col(a)), "_b_tokens": sorted_tokens(F.col(b))})
-        .withColumn(out, F.bround(best, 2))
+        .withColumn(out, score)
         .drop("_a_tokens", "_b_tokens")
     )
 

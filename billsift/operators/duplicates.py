@@ -419,7 +419,7 @@ def duplicate_pairs(rows: DataFrame, max_group: int = MAX_GROUP, company_require
     best = found.groupBy("a_id", "b_id").agg(
         F.min("level").alias("level"), F.max("group_size").alias("group_size")
     )
-    return best.withColumns(
+    return _settled(best, rows).withColumns(
         {
             "validation_type": _by_level(0),
             "severity": _by_level(1),
@@ -443,16 +443,35 @@ def penalty_of(validation_type: Column) -> Column:
     return out
 
 
-def with_similarity(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fill the similarity of NEAR pairs from the two numbers."""
-    numbers = rows.select("id", "number")
-    a = numbers.select(F.col("id").alias("a_id"), F.col("number").alias("a_number"))
-    b = numbers.select(F.col("id").alias("b_id"), F.col("number").alias("b_number"))
-    is_near = F.col("level") == 3
+def _settled(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Final level and similarity of listed pairs.
+
+    A pair inside a large group of a higher level is not listed there, so a lower level
+    may have found it first.
+    """
+    compared = ["company_id", "vendor_id", "number", "number_key", "cents", "day"]
+    joined = pairs
+    for side in ("a", "b"):
+        joined = joined.join(
+            rows.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in compared]),
+            f"{side}_id",
+        )
+
+    def both(name: str) -> tuple[Column, Column]:
+        return F.col(f"a_{name}"), F.col(f"b_{name}")
+
+    company = same_company(*both("company_id"))
+    exact = (F.col("a_number_key") != "") & F.equal_null(*both("number_key")) & company
+    vendor = (
+        same_vendor(*both("vendor_id"), *both("company_id"))
+        & F.coalesce(F.abs(F.col("a_cents") - F.col("b_cents")) <= 1, F.lit(False))
+        & dates_equal(*both("day"))
+    )
+    level = F.when(exact, 1).when(vendor, 2).otherwise(F.col("level"))
     scored = similarity.with_number_similarity(
-        pairs.filter(is_near).join(a, "a_id").join(b, "b_id"), "a_number", "b_number"
-    ).drop("a_number", "b_number")
-    return pairs.filter(~is_near).withColumn("similarity", F.lit(None).cast("double")).unionByName(scored)
+        joined.withColumn("level", level), "a_number", "b_number", only=F.col("level") == 3
+    )
+    return scored.select("a_id", "b_id", "level", "group_size", "similarity")
 
 
 # -- counting without listing ------------------------------------------------

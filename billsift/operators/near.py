@@ -12,7 +12,7 @@ already counted into one. Cells meet in blocks of (vendor, amount bucket).
   substrings of the other (with more pieces than allowed edits, one piece survives).
   The prefix shared by a whole block carries no information and is cut off first.
 
-Either way the full condition decides in the end, so the route changes cost only.
+Pairs that such a key does not prove are compared in full, so the route changes cost only.
 """
 
 from __future__ import annotations
@@ -72,6 +72,9 @@ def _block_stats(reached: DataFrame, hot_block: int, max_keys: int) -> DataFrame
             F.min(F.least(F.length(number), F.length(similarity.sorted_tokens(number)))).alias("shortest"),
             F.max(F.length(number)).alias("longest"),
             F.max(number.rlike(r"\s")).alias("spaced"),
+            # Lengths are few; numbers of other lengths need no keys.
+            F.collect_set(F.length(similarity.sorted_tokens(number))).alias("token_lengths"),
+            F.collect_set(F.length(number)).alias("plain_lengths"),
         )
         .filter((F.col("block_n") > 1) & (F.col("block_scanned") > 0))
     )
@@ -93,9 +96,9 @@ def _block_stats(reached: DataFrame, hot_block: int, max_keys: int) -> DataFrame
         *_BLOCK,
         (F.col("block_n") > hot_block).alias("hot"),
         "cut",
+        "spaced",
         few.alias("by_subsequence"),
-        "shortest",
-        "longest",
+        F.array_union("plain_lengths", "token_lengths").alias("lengths"),
         F.greatest(piece, F.lit(0)).alias("piece"),
     )
 
@@ -113,9 +116,10 @@ def _formed(rows: DataFrame) -> DataFrame:
 def _subsequence_keys(formed: DataFrame) -> DataFrame:
     """For each length a partner may have: both lengths and the subsequences they ask for."""
     whole = F.length("form") + F.col("cut")
-    first = F.greatest(F.col("shortest"), similarity.shortest_partner(whole))
-    last = F.least(F.col("longest"), similarity.longest_partner(whole))
-    partners = F.when(first <= last, F.sequence(first, last))
+    partners = F.filter(
+        "lengths",
+        lambda p: p.between(similarity.shortest_partner(whole), similarity.longest_partner(whole)),
+    )
     rows = formed.withColumn("partner", F.explode(partners))
     rows = rows.withColumn("times", whole - similarity.common_needed(whole, F.col("partner")))
     rows = similarity.with_subsequences(rows, "form", "times", "kept", _MOST_DELETIONS)
@@ -126,12 +130,20 @@ def _subsequence_keys(formed: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    """One row per key of each number. The sides differ only for pieces against substrings."""
+    """One row per key of each number. The sides differ only for pieces against substrings.
+
+    ``proves`` marks keys whose sharing is the similarity itself. In blocks with white
+    space a plain text may meet a sorted one, which proves nothing.
+    """
     formed = _formed(rows)
-    short = _subsequence_keys(formed.filter("by_subsequence"))
+    short = _subsequence_keys(formed.filter("by_subsequence")).withColumn("proves", ~F.col("spaced"))
     cut_up = similarity.pieces if side == "a" else similarity.grams
-    long = formed.filter("not by_subsequence").withColumn("key", F.explode(cut_up("form", "piece")))
-    keep = [*_BLOCK, "key"]
+    long = (
+        formed.filter("not by_subsequence")
+        .withColumn("key", F.explode(cut_up("form", "piece")))
+        .withColumn("proves", F.lit(False))
+    )
+    keep = [*_BLOCK, "key", "proves"]
     return _prefixed(short, f"{side}_", columns, *keep).unionByName(
         _prefixed(long, f"{side}_", columns, *keep)
     )
@@ -166,8 +178,10 @@ def near_cells(cells: DataFrame, carried: list[str] | None = None, hot_block: in
 
     hot_a = _keyed(own.join(hot, _BLOCK), "a", columns)
     hot_b = _keyed(reached.join(hot, _BLOCK), "b", columns)
-    by_key = hot_a.join(hot_b, [*_BLOCK, "key"]).filter(_comparable()).drop(*_BLOCK, "key")
-
-    matched = similarity.near_only(direct.unionByName(by_key), "a_number", "b_number")
+    met = hot_a.join(hot_b, [*_BLOCK, "key", "proves"]).filter(_comparable()).drop(*_BLOCK, "key")
     # A pair can meet on several keys.
-    return matched.dropDuplicates(["a_cell", "b_cell"])
+    met = met.dropDuplicates(["a_cell", "b_cell", "proves"])
+    proven = met.filter("proves").drop("proves")
+    open_pairs = direct.unionByName(met.filter("not proves").drop("proves"))
+    checked = similarity.near_only(open_pairs, "a_number", "b_number").drop("similarity")
+    return proven.unionByName(checked)

@@ -117,6 +117,8 @@ def test_large_groups_keep_scores_exact_in_linear_space(spark):
     listed = duplicates.duplicate_pairs(rows, max_group=8)
     assert listed.count() < 3 * 45
     expected = brute.all_pairs(invoices)
+    listed_levels = {(r["a_id"], r["b_id"]): r["level"] for r in listed.filter("group_size = 0").collect()}
+    assert listed_levels.items() <= expected.items()
     partners = {}
     for (a, b), level in expected.items():
         for i in (a, b):
@@ -134,7 +136,8 @@ def near_by_route(spark, numbers, hot_block, max_keys=near.MAX_KEYS):
         "cell long, anchor long, n long, n_scanned long, company_id long, vendor_id long, number string, "
         "number_key string, cents long",
     )
-    out = near.near_cells(cells, hot_block=hot_block, max_keys=max_keys).collect()
+    out = near.near_cells(cells, hot_block=hot_block, max_keys=max_keys)
+    out = similarity.with_number_similarity(out, "a_number", "b_number").collect()
     return {(r["a_cell"], r["b_cell"]): r["similarity"] for r in out}
 
 
