@@ -366,7 +366,7 @@ def _scaled(t: Tables) -> DataFrame:
     rows = anomaly.fill_medians(anomaly.coerce_numbers(_ml_rows(t)), columns)
     scaled = anomaly.scale(rows, anomaly.scaler(rows, columns), columns)
     # Adding zero turns a negative zero into a plain one.
-    return scaled.select("order_key", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in columns])
+    return scaled.select("order_key", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in columns])
 
 
 def _unique_ml_rows(t: Tables) -> DataFrame:

@@ -764,9 +764,9 @@ _FINAL: dict[str, str] = {
         UNION ALL SELECT 'vendor_avg_price_ratio', ratio FROM ratios) GROUP BY feature""",
     "m3_filled_rows": "SELECT * FROM filled",
     "m4_scaled_rows": """SELECT order_key,
-        round((quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER (), 4) + 0.0::DOUBLE AS quantity,
-        round((unit_price - avg(unit_price) OVER ()) / stddev_pop(unit_price) OVER (), 4) + 0.0::DOUBLE AS unit_price,
-        round((total_amount - avg(total_amount) OVER ()) / stddev_pop(total_amount) OVER (), 4) + 0.0::DOUBLE AS total_amount FROM filled""",
+        round((quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER (), 5) + 0.0::DOUBLE AS quantity,
+        round((unit_price - avg(unit_price) OVER ()) / stddev_pop(unit_price) OVER (), 5) + 0.0::DOUBLE AS unit_price,
+        round((total_amount - avg(total_amount) OVER ()) / stddev_pop(total_amount) OVER (), 5) + 0.0::DOUBLE AS total_amount FROM filled""",
 }
 
 

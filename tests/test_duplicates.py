@@ -141,7 +141,7 @@ def near_by_route(spark, numbers, hot_block, max_keys=near.MAX_KEYS):
     return {(r["a_cell"], r["b_cell"]): r["similarity"] for r in out}
 
 
-@pytest.mark.parametrize("kind", ["digits", "long", "spaced"])
+@pytest.mark.parametrize("kind", ["digits", "long", "spaced", "mixed"])
 def test_hot_blocks_find_the_same_pairs(spark, kind):
     rng = random.Random(kind)
     make = {
