@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -528,11 +529,31 @@ def entry(spark: SparkSession) -> DataFrame:
     )
 
 
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the corpus operators, where that part of the package is installed."""
+    if find_spec("billsift.llm") is None:
+        return {}, {}
+    from billsift.llm import queries as corpus
+
+    found, statements = dict(corpus.QUERIES), dict(corpus.STATEMENTS)
+    if find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+    def prepared(query: Query) -> Query:
+        return lambda spark, folder: query(configure(spark), folder)
+
+    return {name: prepared(query) for name, query in found.items()}, statements
+
+
 def queries() -> dict[str, Query]:
-    return {name: _table(method) for name, method in _REGISTRY.items()}
+    return {name: _table(method) for name, method in _REGISTRY.items()} | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle.sql import statements
 
-    return statements()
+    return statements() | _corpus()[1]

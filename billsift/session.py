@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +20,34 @@ RUNTIME_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application.
+
+    Functions that run in workers are found there by their module's name, wherever the
+    driver was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="billsift-code-")) / "billsift.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder the cluster names in ``spark.checkpoint.dir``.
 
