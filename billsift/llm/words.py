@@ -14,7 +14,9 @@ from collections.abc import Callable, Iterator
 import regex
 
 # Fixed values of the vocabulary file: white space, splitter pattern, special strings.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 PIECE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
 
 _SPACES = re.compile(f"[{WHITE_SPACE}]+")
