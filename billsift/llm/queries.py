@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from billsift.llm import bpe, edits, mixing, packed, quality
+from billsift.llm import bpe, edits, mixing, packed, quality, shingle_join
 from billsift.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,13 +31,17 @@ def op8_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edits.counts(edits.planned_edits(table(spark, folder, "documents")), VOCABULARY)
 
 
+def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.joined(table(spark, folder, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_bpe_coding, op5_packed_ids, op6_quality_rules, op8_edit_counts, op10_source_mix)
+    for f in (op3_bpe_coding, op5_packed_ids, op6_quality_rules, op8_edit_counts, op9_shingle_join, op10_source_mix)
 }
 
 STATEMENTS: dict[str, str] = {}
