@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from billsift.llm import bpe, edits, mixing, packed, quality, shingle_join
+from billsift.llm import bpe, edits, line_dedup, mixing, packed, quality, shingle_join
 from billsift.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.removals(table(spark, folder, "documents"))
+
+
 def op3_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.transcode(table(spark, folder, "documents"), VOCABULARY))
 
@@ -41,7 +45,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_bpe_coding, op5_packed_ids, op6_quality_rules, op8_edit_counts, op9_shingle_join, op10_source_mix)
+    for f in (op1_line_dedup, op3_bpe_coding, op5_packed_ids, op6_quality_rules, op8_edit_counts, op9_shingle_join, op10_source_mix)
 }
 
 STATEMENTS: dict[str, str] = {}
