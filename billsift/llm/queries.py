@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from billsift.llm import bpe, edits, line_dedup, mixing, packed, quality, shingle_join
+from billsift.llm import bpe, edits, line_dedup, mixing, packed, pii, quality, shingle_join
 from billsift.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.reported(table(spark, folder, "documents"))
+
+
 def op8_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edits.counts(edits.planned_edits(table(spark, folder, "documents")), VOCABULARY)
 
@@ -45,7 +49,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_bpe_coding, op5_packed_ids, op6_quality_rules, op8_edit_counts, op9_shingle_join, op10_source_mix)
+    for f in (op1_line_dedup, op3_bpe_coding, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix)
 }
 
 STATEMENTS: dict[str, str] = {}
