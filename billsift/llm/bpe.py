@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,7 +240,7 @@ def vocabulary(path: str) -> Vocabulary:
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of one have about so many bytes at most."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = held = 0
         for n, size in enumerate(sizes):
             held += size or 0

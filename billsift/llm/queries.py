@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billsift.llm import bpe, edits, line_dedup, mixing, packed, pii, quality, shingle_join
+from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, pii, quality, shingle_join
 from billsift.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +22,10 @@ def op3_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.transcode(table(spark, folder, "documents"), VOCABULARY))
 
 
+def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     files = packed.new_folder(spark)
     packed.write(table(spark, folder, "documents"), VOCABULARY, files)
@@ -49,7 +54,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_bpe_coding, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix)
+    for f in (op1_line_dedup, op3_bpe_coding, op4_nearest_vectors, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix)
 }
 
 STATEMENTS: dict[str, str] = {}

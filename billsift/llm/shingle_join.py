@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     known = numbered(grouped, "id")
 
     def all_entries(batch: pa.RecordBatch) -> np.ndarray:
-        return pa.compute.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
+        return pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
 
     single = rows.join(known, (rows["digest"] == known["digest"]) & rows["doc_id"].eqNullSafe(known["first_doc"])).select(
         "id", "size", "entries"
@@ -183,8 +184,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
         table = twice.value
         for batch in batches:
             column = batch.column(2)
-            values = pa.compute.list_flatten(column).to_numpy(zero_copy_only=False)
-            parents = pa.compute.list_parent_indices(column).to_numpy(zero_copy_only=False)
+            values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
+            parents = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
             stay = np.flatnonzero(sketch.is_repeated(table, values.view(np.uint64), REPEAT_BITS))
             owners = pa.array(parents[stay])
             yield pa.RecordBatch.from_arrays(
