@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, pii, quality, shingle_join
+from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, pii, quality, repeats, shingle_join
 from billsift.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.removals(table(spark, folder, "documents"))
 
 
+def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(table(spark, folder, "documents"))
+
+
 def op3_bpe_coding(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.transcode(table(spark, folder, "documents"), VOCABULARY))
 
@@ -54,7 +58,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op3_bpe_coding, op4_nearest_vectors, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix)
+    for f in (op1_line_dedup, op2_repeated_passages, op3_bpe_coding, op4_nearest_vectors, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix)
 }
 
 STATEMENTS: dict[str, str] = {}
