@@ -8,10 +8,12 @@ vocabulary gives the tokens that end a prefix; back-pointers give the ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import compute as pc
 from pyspark.sql import DataFrame
@@ -281,3 +283,30 @@ def digests(encoded: DataFrame) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array), ids_sha256, decoded_sha256 for every row; nulls as in ``transcode``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary(path)
+        for batch in slices(batches, 1):
+            ids = [known.encode(t) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    lists,
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                    pa.array([hashlib.sha256(known.decode(i).encode()).hexdigest() for i in ids]),
+                ],
+                names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+            )
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(
+        run, f"doc_id {kind}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    )

@@ -67,19 +67,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def _sized(docs: DataFrame) -> DataFrame:
     """Rows with their word count and hashed order, numbered and stored without texts."""
-    tie = F.md5(F.coalesce("text", F.lit("")))
     return numbered(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), tie))
-            .alias("place"),
-        ),
-        "row_no",
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place().alias("place")), "row_no"
     )
 
 
+def _place() -> Column:
+    """Order of a document in its source; equal for rows with equal doc_id and text."""
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    return F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), tie))
+
+
 def _streams(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Place of every document with words in its source's stream: row_no, source_no, size, start."""
     rows = sized.filter("size > 0")
@@ -204,3 +202,20 @@ def taken(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .join(per_row, "row_no", "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )
+
+
+def repeated(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents of the mix with their columns: a row for every pass over its source that takes from it.
+
+    Rows with equal doc_id and text are repeated alike.
+    """
+    sized, _, mix = mixed(docs, block_words)
+    passes = mix.groupBy("row_no").agg(F.count_distinct("epoch").cast("int").alias("passes"))
+    per_place = sized.select("row_no", "place").join(passes, "row_no").groupBy("place").agg(F.max("passes").alias("passes"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), _place().alias("place"))
+    return (
+        rows.join(per_place, "place")
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("nth"))
+        .select("row.*")
+    )

@@ -36,8 +36,8 @@ REPEAT_BITS = 26
 #: mean count of a slot.
 FREQUENT = 8
 VERY_FREQUENT = 1024
-#: Sets of this size or less are similar only to equal ones at the percentages allowed here.
-TINY = 5
+#: The index finds all similar pairs from this percentage on.
+LEAST_PERCENT = 80
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _known = words.Kept(lambda word: xxhash.xxh64_intdigest(word))
@@ -91,7 +91,8 @@ def _combined(tokens: np.ndarray, groups: np.ndarray, k: int, salt: int) -> list
 def entries(grams: np.ndarray, levels: np.ndarray, bits: int, noise: float, percent: int = PERCENT) -> np.ndarray:
     """Index entries of a set: hashes of rare shingles and of combinations of frequent ones."""
     n = len(grams)
-    if n <= TINY:
+    # With one element more or less a set this small is not similar any more.
+    if 100 * n < percent * (n + 1):
         return np.zeros(0, np.uint64)
     level = levels[sketch.slots_of(grams, bits)]
     classes = np.ones(n, np.int64)
@@ -137,6 +138,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     Documents with equal shingle sets are one class. ``root`` is the smallest class id a class is linked
     with; a document without words has no class.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"similarity must be {LEAST_PERCENT} percent or more")
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
 
@@ -232,3 +235,12 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     return members.join(smallest, "root", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_per_component(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The documents without those that links connect to a smaller doc_id, with their columns.
+
+    Of rows with one doc_id all stay or go together; rows without doc_id and rows without words stay.
+    """
+    gone = joined(docs, width, percent).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
