@@ -132,10 +132,13 @@ def _words(text: Column) -> Column:
 def revealing(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, told): terms next to an entity that tell ``GENERALISE`` of it or more."""
     # The outermost word on a side may be cut off by the limit of characters.
-    near = F.concat(
-        F.slice(F.reverse(_words(F.regexp_replace("before", r"^[\p{L}\p{N}]+", ""))), 1, CONTEXT_WORDS),
-        F.slice(_words(F.regexp_replace(F.coalesce("after", F.lit("")), r"[\p{L}\p{N}]+$", "")), 1, CONTEXT_WORDS),
-    )
+    before = F.when(
+        F.length("before") < CONTEXT_CHARS, F.col("before")
+    ).otherwise(F.regexp_replace("before", r"^[\p{L}\p{N}]++", ""))
+    after = F.when(
+        F.length("after") >= CONTEXT_CHARS, F.regexp_replace("after", r"[\p{L}\p{N}]+$", "")
+    ).otherwise(F.coalesce("after", F.lit("")))
+    near = F.concat(F.slice(F.reverse(_words(before)), 1, CONTEXT_WORDS), F.slice(_words(after), 1, CONTEXT_WORDS))
     contexts = found.select("text_key", _entity().alias("entity"), F.array_distinct(near).alias("near"))
     per_entity = contexts.groupBy("entity").agg(F.count_distinct("text_key").alias("entity_docs"))
     pairs = (
