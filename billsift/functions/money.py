@@ -9,17 +9,39 @@ from pyspark.sql import functions as F
 
 AMOUNT_TOLERANCE = Decimal("1.0")
 _NUDGE = Decimal("0.000000001")
+#: Money of a line of any size; ten billion such lines still add up.
+WIDE = "decimal(28,2)"
 
 
 def round_money(col: Column) -> Column:
-    """Two decimals after a nudge upwards, so ties go up on both sides of zero."""
-    return F.round(col + F.lit(_NUDGE), 2).cast("decimal(18,2)")
+    """Two decimals after a nudge upwards, so ties go up on both sides of zero; null out of range."""
+    return F.round(col + F.lit(_NUDGE), 2).try_cast("decimal(18,2)")
 
 
 def percent_of(amount: Column, percent: Column) -> Column:
     return amount * percent * F.lit(Decimal("0.01"))
 
 
+def wide_product(quantity: Column, unit_price: Column) -> Column:
+    """quantity x price of any size, exact below a billion billions on both sides; null out of range."""
+    exact = round_money(_narrow(quantity) * _narrow(unit_price))
+    return F.coalesce(exact.cast(WIDE), F.round(F.try_multiply(quantity, unit_price), 2).try_cast(WIDE))
+
+
+def wide_tax(subtotal: Column, percent: Column) -> Column:
+    exact = round_money(percent_of(subtotal.try_cast("decimal(18,2)"), _narrow(percent)))
+    wide = F.try_multiply(F.try_multiply(subtotal, percent), F.lit(Decimal("0.01")))
+    return F.coalesce(exact.cast(WIDE), F.round(wide, 2).try_cast(WIDE))
+
+
+def wide_rounded(col: Column) -> Column:
+    return F.round(col + F.lit(_NUDGE).cast("decimal(18,9)"), 2).try_cast(WIDE)
+
+
+def _narrow(col: Column) -> Column:
+    return col.try_cast("decimal(18,6)")
+
+
 def line_subtotal(quantity: Column, unit_price: Column) -> Column:
     return round_money(quantity * unit_price)
 

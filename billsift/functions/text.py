@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billsift.schemas import SEVERITIES
 
-NUMBER_TYPE = "decimal(18,6)"
+NUMBER_TYPE = "decimal(38,6)"
 
 
 # Every character that counts as white space at the ends of a cell.

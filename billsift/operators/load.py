@@ -87,14 +87,14 @@ def _with_parsed_cells(lines: DataFrame) -> DataFrame:
             "tax_percent": rate,
         }
     )
-    subtotal = money.line_subtotal(F.col("quantity"), F.col("unit_price"))
-    return (
-        parsed.withColumn("line_subtotal", F.when(F.col("tax_percent").isNotNull(), subtotal))
-        .withColumn(
-            "line_tax",
-            money.line_tax(F.col("line_subtotal"), F.col("tax_percent").cast("decimal(12,4)")),
-        )
-        .withColumn("line_total", (F.col("line_subtotal") + F.col("line_tax")).cast("decimal(18,2)"))
+    priced = parsed.withColumn(
+        "line_subtotal",
+        F.when(F.col("tax_percent").isNotNull(), money.wide_product(F.col("quantity"), F.col("unit_price"))),
+    ).withColumn("line_tax", money.wide_tax(F.col("line_subtotal"), F.col("tax_percent")))
+    total = F.try_add("line_subtotal", "line_tax").try_cast(money.WIDE)
+    # All or nothing: a line whose tax or total is out of range has no money at all.
+    return priced.withColumn("line_total", total).withColumns(
+        {c: F.when(total.isNotNull(), F.col(c)) for c in ("line_subtotal", "line_tax")}
     )
 
 
@@ -107,19 +107,33 @@ def parse_items(lines: DataFrame) -> DataFrame:
     return usable.select(
         *GROUP,
         "product_name",
-        *[money.round_money(F.col(c)).alias(c) for c in ("quantity", "unit_price", "tax_percent")],
+        *[money.wide_rounded(F.col(c)).alias(c) for c in ("quantity", "unit_price", "tax_percent")],
         "line_subtotal",
         "line_tax",
         "line_total",
     )
 
 
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Lines of grouped invoices that are skipped, as they were uploaded, with the cell at fault."""
+    cells = ("product_name", "quantity", "unit_price", "gst_percent")
+    raw = lines.withColumn("raw", F.struct(*cells))
+    skipped = _with_parsed_cells(raw).filter(F.col("line_subtotal").isNull())
+    reason = (
+        F.when(F.col("quantity").isNull(), "quantity")
+        .when(F.col("unit_price").isNull(), "unit_price")
+        .when(F.col("tax_percent").isNull(), "gst_percent")
+        .otherwise("out of range")
+    )
+    return skipped.select(*GROUP, "row_order", reason.alias("reason"), "raw.*")
+
+
 def headers_with_totals(lines: DataFrame) -> DataFrame:
     """Header and money of every invoice from one aggregation over its lines.
 
     An invoice whose lines were all skipped keeps zero totals.
     """
-    zero = F.lit(0).cast("decimal(18,2)")
+    zero = F.lit(0).cast("decimal(38,2)")
     cells = _with_parsed_cells(
         lines.select(
             *GROUP, "row_order", "invoice_date", "vendor_name",
@@ -287,6 +301,7 @@ class LoadedBatch:
     invoices: DataFrame
     items: DataFrame
     rejected: DataFrame
+    rejected_lines: DataFrame
     ungrouped: DataFrame
     counts: DataFrame
 
@@ -297,4 +312,6 @@ def load_lines(lines: DataFrame) -> LoadedBatch:
     accepted, rejected = split_headers(headers(grouped))
     parsed = parse_items(grouped)
     kept = parsed.join(accepted.select(*GROUP), GROUP, "left_semi")
-    return LoadedBatch(invoices(grouped), kept, rejected, ungrouped, batch_counts(lines))
+    return LoadedBatch(
+        invoices(grouped), kept, rejected, rejected_lines(grouped), ungrouped, batch_counts(lines)
+    )

@@ -3,51 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from billsift.operators import load
-from billsift.schemas import REQUIRED_COLUMNS
 from billsift.session import cut_lineage
+from billsift.sources import lines
 
+VENDORS = "vendor_id bigint, company_id bigint, vendor_name string"
 
-def start(spark: SparkSession, folder: str, output: str, checkpoint: str,
-          files_per_trigger: int = 1000) -> StreamingQuery:
-    """Load line files with the canonical header. A micro-batch is one load.
 
-    The file source records processed files in its checkpoint. Each micro-batch
-    overwrites its own output folder, so a retried one leaves no duplicates.
+def start(spark: SparkSession, folder: str, output: str, checkpoint: str, vendors: DataFrame | None = None,
+          files_per_trigger: int = 1000, multi_line: bool = True) -> StreamingQuery:
+    """Load line files, each with its own header. A micro-batch is one load.
+
+    The file source records processed files in its checkpoint. Each micro-batch overwrites its own output
+    folders, so a retried one leaves no duplicates. ``vendors`` are those known before the first load; vendors that
+    a load adds are kept beside its invoices. Files without a usable header are listed under ``refused``.
     """
-    schema = ", ".join(f"{c} string" for c in REQUIRED_COLUMNS)
-    lines = (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .csv(folder)
-        .select(
-            F.col("_metadata.file_path").alias("batch_id"),
-            *REQUIRED_COLUMNS,
-        )
+    raw = (
+        spark.readStream.options(**lines.reader_options(multi_line)).schema(lines.cell_schema())
+        .option("maxFilesPerTrigger", files_per_trigger).csv(folder)
     )
 
+    def known_vendors(number: int) -> DataFrame:
+        known = spark.createDataFrame([], VENDORS) if vendors is None else vendors.select("vendor_id", "company_id", "vendor_name")
+        if number:
+            earlier = spark.read.schema(f"{VENDORS}, load bigint").parquet(f"{output}/vendors")
+            known = known.unionByName(earlier.filter(earlier["load"] < number).drop("load"))
+        return known
+
     def load_batch(rows: DataFrame, number: int) -> None:
-        # Multi-line files are not split, so ids grow in file order. The rows are used by four
-        # tables and their ids must not change in between.
-        loaded = load.load_lines(
-            cut_lineage(rows.withColumn("row_order", F.monotonically_increasing_id()))
-        )
+        # Several tables use the rows, and their order ids must not change in between.
+        uploads = lines.transport_rows(cut_lineage(lines.placed_cells(rows)))
+        loaded = load.load_lines(cut_lineage(lines.upload_lines(uploads)))
+        known = known_vendors(number)
+        every = cut_lineage(load.assign_vendor_ids(loaded.invoices, known))
+        fresh = every.join(known.select("vendor_id"), "vendor_id", "left_anti")
         for name, table in (
-            ("invoices", loaded.invoices),
+            ("vendors", fresh),
+            ("invoices", load.link_vendors(loaded.invoices, every)),
             ("items", loaded.items),
             ("rejected", loaded.rejected),
+            ("rejected_lines", loaded.rejected_lines),
+            ("refused", uploads.filter("error is not null").select("file_path", "error")),
             ("batches", load.batch_rows(loaded.counts)),
         ):
             table.write.mode("overwrite").parquet(f"{output}/{name}/load={number}")
 
     return (
-        lines.writeStream.foreachBatch(load_batch)
+        raw.select("*", "_metadata").writeStream.foreachBatch(load_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

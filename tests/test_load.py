@@ -1,5 +1,3 @@
-import io
-import zipfile
 from datetime import date
 
 import pytest
@@ -39,73 +37,74 @@ def test_file_names(spark):
     assert got == ["b.csv", "xy.csv", "upload", "upload", "n" * 255, "dir"]
 
 
-def test_headers():
-    assert lines.resolve_header(" GST Rate ") == "gst_percent"
-    assert lines.resolve_header("Unit  Price") == "unit__price"
-    with pytest.raises(lines.MissingColumns):
-        lines.check_columns(["invoice_number"])
-    with pytest.raises(lines.UnsupportedFileType):
-        lines.file_kind("a.pdf")
+def test_headers(spark):
+    got = column(spark, [" GST Rate ", "Unit  Price", "_Über-Name_", "", None], lines.column_name)
+    assert got == ["gst_percent", "unit__price", "über_name", "", ""]
+    with pytest.raises(ValueError, match="missing columns: gst_percent"):
+        lines.canonical_rows(spark.createDataFrame([("A", "x")], "invoice_number string, gst string").drop("gst"))
 
 
-SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-RELS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-
-
-def workbook(rows):
-    def cell(v):
-        if isinstance(v, tuple):
-            return f'<c s="1"><v>{v[0]}</v></c>'
-        if isinstance(v, (int, float)):
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t>{v}</t></is></c>'
-
-    body = "".join("<row>" + "".join(cell(v) for v in row) + "</row>" for row in rows)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as book:
-        book.writestr("xl/workbook.xml",
-                      f'<workbook xmlns="{SHEET}" xmlns:r="{RELS}"><sheets><sheet name="s" r:id="r1"/></sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels",
-                      '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        book.writestr("xl/styles.xml",
-                      f'<styleSheet xmlns="{SHEET}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-        book.writestr("xl/worksheets/sheet1.xml",
-                      f'<worksheet xmlns="{SHEET}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
-
-
-def test_mixed_uploads(spark, tmp_path):
+def test_uploads_of_any_header(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(
-        b"\xef\xbb\xbf" + (HEADER + '\n A-1 ,Acme,2024-01-05,"pen, ""blue""",2,"1,000.005",18%\n,,,,,,\n').encode())
-    (tmp_path / "b.csv").write_bytes(
+        b"\xef\xbb\xbf" + (HEADER + '\n A-1 ,Acme,2024-01-05,"pen, ""blue""\nbox",2,"1,000.005",18%\n,,,,,,\n').encode())
+    (tmp_path / "b.CSV").write_bytes(
         "vendor_name,invoice_number,invoice_date,product_name,quantity,unit_price,gst,more\nCaf\xe9,B-1,05/01/2024,x,1,2,,9\n"
-        .encode("cp1252"))
-    (tmp_path / "c.xlsx").write_bytes(workbook([[""], HEADER.split(","), ["C-1", "Acme", (45296,), "ink", 3, 1.5, 12]]))
+        ",,,,,,,only extra text\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_text("vendor_name,invoice_date,product_name,quantity,unit_price,gst\n")
     (tmp_path / "d.csv").write_text("a,b\n1,2\n")
-    (tmp_path / "e.xlsx").write_bytes(b"not a workbook")
-    (tmp_path / "f.csv").write_text(HEADER + "\n")
+    (tmp_path / "e.xlsx").write_bytes(b"not text")
+    (tmp_path / "f.csv").write_text(HEADER + "\n,,,,,,\n")
+    (tmp_path / "g.csv").write_text("\n\n")
+    (tmp_path / "h.csv").write_bytes(HEADER.encode() + b"\n\x81\xff,Acme,2024-01-05,x,1,2,3\n")
     uploads = lines.read_uploads(spark, str(tmp_path))
-    good = {r["file_name"]: r for r in uploads.filter("error is null").collect()}
-    assert good["a.csv"]["product_name"] == 'pen, "blue"' and good["a.csv"]["unit_price"] == "1,000.005"
-    assert good["b.csv"]["vendor_name"] == "Caf\xe9" and good["b.csv"]["gst_percent"] == ""
-    assert (good["c.xlsx"]["invoice_date"], good["c.xlsx"]["quantity"], good["c.xlsx"]["unit_price"]) == (
-        "2024-01-05", "3", "1.5")
+    good = {(r["file_name"], r["invoice_number"]): r for r in uploads.filter("error is null").collect()}
+    assert set(good) == {("a.csv", "A-1"), ("b.CSV", "B-1"), ("b.CSV", "")}
+    a, b = good[("a.csv", "A-1")], good[("b.CSV", "B-1")]
+    assert a["product_name"] == 'pen, "blue"\nbox' and a["unit_price"] == "1,000.005"
+    assert b["vendor_name"] == "Caf\xe9" and b["gst_percent"] == ""
     errors = {r["file_name"]: r["error"] for r in uploads.filter("error is not null").collect()}
-    assert set(errors) == {"d.csv", "e.xlsx", "f.csv"}
-    assert errors["d.csv"].startswith("Missing required columns: gst_percent")
+    assert errors == {
+        "c.csv": "missing columns: invoice_number",
+        "d.csv": "missing columns: gst_percent, invoice_date, invoice_number, product_name, quantity, unit_price, vendor_name",
+        "e.xlsx": lines.WRONG_TYPE, "f.csv": lines.NO_ROWS, "g.csv": lines.NO_HEADER, "h.csv": lines.NO_ENCODING,
+    }
     loaded = load.load_lines(lines.upload_lines(uploads))
     money = {r["invoice_number"]: float(r["total_amount"]) for r in loaded.invoices.collect()}
     # 2 x 1000.005 = 2000.01, 18 % of it 360.00.
-    assert money == {"A-1": 2360.01, "B-1": 2.0, "C-1": 5.04}
-    item = loaded.items.filter("invoice_number = 'A-1'").first()
-    assert float(item["unit_price"]) == 1000.01
-
-
-def test_bulk_csv(spark, tmp_path):
-    for name in "ab":
-        (tmp_path / f"{name}.csv").write_text(HEADER + f"\n {name}-1,Acme,2024-01-05,pen,1,2,5\n,,,,,,\n")
-    rows = lines.read_line_csv(spark, str(tmp_path)).collect()
-    assert sorted(r["invoice_number"] for r in rows) == ["a-1", "b-1"]
+    assert money == {"A-1": 2360.01, "B-1": 2.0}
+    assert float(loaded.items.filter("invoice_number = 'A-1'").first()["unit_price"]) == 1000.01
+    small = lines.read_uploads(spark, str(tmp_path), most_bytes=50)
+    assert {r["file_name"] for r in small.filter(F.col("error") == lines.TOO_LONG).collect()} >= {"a.csv", "b.CSV"}
+
+
+def test_split_files_keep_their_order(spark, tmp_path):
+    body = "".join(f"N-{n // 40},V{n},2024-01-0{1 + n // 40 % 9},p,1,{n},0\n" for n in range(4000))
+    (tmp_path / "a.csv").write_text(HEADER + "\n" + body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        uploads = lines.read_uploads(spark, str(tmp_path), multi_line=False)
+        loaded = load.load_lines(lines.upload_lines(uploads))
+        got = {r["invoice_number"]: r["vendor_name"] for r in loaded.invoices.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"N-{n}": f"V{40 * n}" for n in range(100)}
+
+
+def test_large_numbers_are_kept_or_rejected(spark):
+    df = transport(spark, [
+        (1, "A", "Acme", "2024-01-05", "pen", "1", "2", "0"),
+        (1, "A", "Acme", "2024-01-05", "pen", "1", "1000000000000", "0"),
+        (1, "B", "Acme", "2024-01-05", "pen", "99999999999", "99999999999", "18"),
+        (1, "C", "Acme", "2024-01-05", "pen", "9" * 30, "9" * 30, "18"),
+        (1, "C", "Acme", "2024-01-05", "pen", "1", "x", "18"),
+        (1, "C", "Acme", "2024-01-05", "pen", "3", "1", "12.34567"),
+    ])
+    loaded = load.load_lines(df)
+    got = {r["invoice_number"]: str(r["total_amount"]) for r in loaded.invoices.collect()}
+    subtotal = 99999999999 ** 2
+    assert got == {"A": "1000000000002.00", "B": f"{subtotal + (subtotal * 18 + 50) // 100}.18", "C": "3.37"}
+    reasons = sorted((r["row_order"], r["reason"]) for r in loaded.rejected_lines.collect())
+    assert reasons == [(3, "out of range"), (4, "unit_price")]
 
 
 def transport(spark, rows):
@@ -142,10 +141,22 @@ def test_new_vendor_ids_are_consecutive(spark):
 
 
 def test_file_drop_loads_each_file_once(spark, tmp_path):
-    names = ",".join(["invoice_number", "vendor_name", "invoice_date", "product_name", "quantity", "unit_price", "gst_percent"])
     (tmp_path / "in").mkdir()
-    for step in ("a", "b"):
-        (tmp_path / "in" / f"{step}.csv").write_text(f"{names}\n{step},Acme,2024-01-05,pen,2,5,10\n")
-        file_drop.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    files = {
+        "a": HEADER + "\na,Acme,2024-01-05,pen,2,5,10\n,,,,,,\n",
+        "b": "vendor_name,invoice_number,invoice_date,product_name,quantity,unit_price,gst\nBeta,b,2024-01-05,pen,2,5,10\n",
+        "c": "vendor_name,invoice_number\nBeta,b\n",
+    }
+    vendors = spark.createDataFrame([(4, 1, "Acme")], "vendor_id long, company_id long, vendor_name string")
+    for name, content in files.items():
+        (tmp_path / "in" / f"{name}.csv").write_text(content)
+        file_drop.start(
+            spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), vendors
+        ).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "invoices"))
-    assert sorted((r["invoice_number"], float(r["total_amount"])) for r in got.collect()) == [("a", 11.0), ("b", 11.0)]
+    assert sorted((r["invoice_number"], r["vendor_id"], float(r["total_amount"])) for r in got.collect()) == [
+        ("a", 4, 11.0), ("b", 5, 11.0)]
+    refused = spark.read.parquet(str(tmp_path / "out" / "refused")).collect()
+    assert [r["error"][:15] for r in refused] == ["missing columns"]
+    counts = spark.read.parquet(str(tmp_path / "out" / "batches")).collect()
+    assert [(r["total_invoices"], r["failed_invoices"]) for r in counts] == [(1, 0), (1, 0)]
