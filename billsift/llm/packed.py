@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from billsift.llm import words
+from billsift.llm import bpe, words
 from billsift.session import ensure_checkpoint_dir
 
 # Fixed values of the format: ids per word and bits per id, by selector.
@@ -144,7 +144,10 @@ def unpack(starts: np.ndarray, packed: np.ndarray, total: int) -> np.ndarray:
 
 
 class _Encoder:
-    """Ids by the tokenizers library, asked once for each chunk between white space."""
+    """Ids by the tokenizers library, asked once for each piece of a text."""
+
+    #: Chunks of characters below this are split here, others by the library with its own character tables.
+    _PLAIN = "\u0530"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -153,18 +156,22 @@ class _Encoder:
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-        self._pieces = words.Kept(self._ids)
+        self._model = self._library.model
+        self._letters = bpe.byte_letters()
+        self._pieces = words.Kept(self._piece)
         self.chunks = words.Kept(self._chunk)
         self._special = {t.content for t in self._library.get_added_tokens_decoder().values()}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        letters = self._letters
+        tokens = self._model.tokenize("".join([letters[b] for b in piece.encode()]))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() or any(s in chunk for s in self._special):
-            return self._ids(chunk)
-        # Pieces of plain chunks repeat more often than the chunks.
-        return b"".join([self._pieces[p] for p in words.pieces(chunk)])
+        if max(chunk) >= self._PLAIN or any(s in chunk for s in self._special):
+            return np.array(self._library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        known = self._pieces
+        return b"".join([known[p] for p in words.pieces(chunk)])
 
     def encode(self, text: str) -> bytes:
         known = self.chunks

@@ -21,6 +21,7 @@ PIECE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE_SPACE}\
 
 _SPACES = re.compile(f"[{WHITE_SPACE}]+")
 _PIECES = regex.compile(PIECE_PATTERN)
+_SIGNS = (".", ",", ";", ":", "!", "?")
 # str.split() also cuts at these four, which the file does not count as white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -44,7 +45,13 @@ def normalized(chunk: str) -> str:
 
 def pieces(chunk: str) -> list[str]:
     """What the splitter keeps of a chunk without special strings."""
-    return _PIECES.findall(normalized(chunk))
+    text = normalized(chunk)
+    # The two commonest forms need no pattern: a word, and a word with a sign at its end.
+    if text.isalpha():
+        return [text]
+    if text[-1:] in _SIGNS and text[:-1].isalpha():
+        return [text[:-1], text[-1]]
+    return _PIECES.findall(text)
 
 
 class Kept(dict):
