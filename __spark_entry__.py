@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from importlib.util import find_spec
 
@@ -25,7 +26,7 @@ from billsift.operators import (  # noqa: E402
     sinks,
 )
 from billsift.plans import dashboard, reports  # noqa: E402
-from billsift.session import configure, cut_lineage  # noqa: E402
+from billsift.session import configure, cut_lineage, ensure_checkpoint_dir  # noqa: E402
 from billsift.sources import lines  # noqa: E402
 from billsift.sources.orderbook import AS_OF, OrderBook  # noqa: E402
 
@@ -33,7 +34,6 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 SCANNED_BATCH = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
-_stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _edge(df: DataFrame) -> DataFrame:
@@ -58,6 +58,7 @@ class Tables:
         self.spark = configure(spark)
         self.folder = folder
         self.book = OrderBook(spark, folder)
+        self._stored: dict[str, DataFrame] = {}
 
     # clean book
     def items(self):
@@ -105,11 +106,10 @@ class Tables:
         return duplicates.scan_rows(self.copies(), self.copy_items())
 
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A table that is stored in practice, written once per session and folder."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _stored:
-            _stored[key] = cut_lineage(build())
-        return _stored[key]
+        """A table that is stored in practice, written once per query."""
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(build())
+        return self._stored[name]
 
     def pairs(self):
         """Result of the full scan, as the stored findings keep it."""
@@ -194,6 +194,20 @@ def _csv_round_trip(t: Tables) -> DataFrame:
     return lines.canonical_rows(parsed).groupBy(*lines.REQUIRED_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _csv_files(t: Tables) -> DataFrame:
+    """Lines written as CSV files under other headers and loaded back from the files."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/uploads-{uuid.uuid4().hex}"
+    headers = {"invoice_number": "Invoice Number", "vendor_name": "VENDOR_NAME", "invoice_date": " invoice date",
+               "product_name": "Product-Name", "quantity": "Quantity", "unit_price": "Unit Price",
+               "gst_percent": "GST Rate"}
+    named = t.lines().select(*[F.col(c).alias(h) for c, h in headers.items()])
+    named.write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(folder)
+    rows = lines.read_uploads(t.spark, folder, multi_line=False).filter("error is null")
+    return rows.groupBy(*lines.REQUIRED_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _parsed_cells(t: Tables) -> DataFrame:
     return t.lines().select(
         text.clean(F.col("invoice_number")).alias("invoice_number"),
@@ -231,14 +245,7 @@ def _linked(t: Tables) -> DataFrame:
 
 
 def _companies_with_default(t: Tables) -> DataFrame:
-    others = t.companies().filter(F.col("company_id") != load.DEFAULT_COMPANY_ID)
-    default = t.companies().filter(F.col("company_id") == load.DEFAULT_COMPANY_ID).select(
-        "company_id",
-        F.concat(F.lit("Default of "), F.col("company_name")).alias("company_name"),
-        "gst_number",
-        "email",
-    )
-    return load.ensure_company(others, default)
+    return load.ensure_company(t.book.other_companies(), t.book.default_company())
 
 
 def _published(t: Tables) -> DataFrame:
@@ -387,6 +394,7 @@ def _blended_with_ml(t: Tables) -> DataFrame:
 _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     # sources, read shapes, sinks
     "a01_csv_lines": _csv_round_trip,
+    "a01_csv_files": _csv_files,
     "a08_batch_invoices": lambda t: reads.batch_invoices(
         t.invoices(), t.items(), t.vendors(), SCANNED_BATCH
     ).select("invoice_id", "vendor_name", "total_amount", "product_name", "quantity", "unit_price"),
@@ -438,19 +446,16 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     # quality
     "q1_gstin_format": lambda t: quality.gstin_format(t.companies(), t.vendors()),
     "q2_email_format": lambda t: quality.email_format(t.vendors()),
-    "q3_batch_counters": lambda t: quality.batch_counters(
-        t.batches().withColumn("failed_invoices", F.col("failed_invoices") - 50)),
+    "q3_batch_counters": lambda t: quality.batch_counters(t.book.broken_batches()),
     "q4_invoice_money": lambda t: quality.invoice_money(t.faulted()),
-    "q5_risk_range": lambda t: quality.risk_range(
-        t.reported().withColumn("risk_score", F.col("risk_score") + F.col("invoice_id") % 90)),
+    "q5_risk_range": lambda t: quality.risk_range(t.book.broken_risks()),
     "q6_item_ranges": lambda t: quality.item_ranges(t.faulted_items()),
     "q7_uniques": lambda t: quality.uniques(t.companies(), t.vendors()),
     "q8_foreign_keys": lambda t: quality.foreign_keys(
-        t.companies().filter("company_id <> 7"), t.vendors(), t.batches().filter("batch_id <> 4"),
+        t.book.remaining_companies(), t.vendors(), t.book.remaining_batches(),
         t.copies(), t.copy_items(), t.findings()),
     "q9_domains": lambda t: quality.domains(
-        t.vendors(), t.batches(), t.reported(),
-        t.findings().withColumn("severity", F.when(F.col("rule_no") == 8, "FATAL").otherwise(F.col("severity")))),
+        t.vendors(), t.batches(), t.reported(), t.book.foreign_severities(t.findings())),
     # duplicates
     "d04_number_similarity": _number_similarity,
     "d05_item_groups": _item_groups,
@@ -464,7 +469,7 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "d20_batch_scan_summary": _batch_scan_summary,
     "d21_pair_listing": lambda t: duplicates.order_listing(t.listing()).withColumn(
         "matched_ids", F.array_join(F.col("matched_ids").cast("array<string>"), ",")),
-    "d22_badge_counts": lambda t: duplicates.badge_counts(t.listing()),
+    "d22_badge_counts": lambda t: duplicates.badge_counts(duplicates.pair_totals(t.scan_rows())),
     # reports
     "s01_duplicate_numbers": lambda t: reports.duplicate_number_members(t.copies()),
     "s02_vendor_spend": lambda t: reports.vendor_spend(t.invoices(), t.vendors()),
@@ -482,8 +487,7 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "s14_repeated_ids": lambda t: reports.repeated_ids(t.flat()),
     "s15_high_risk": lambda t: reports.high_risk(t.reported()),
     "s16_monthly_anomalies": lambda t: reports.monthly_anomalies(t.reported()),
-    "s17_vendor_names": lambda t: reports.vendor_names(
-        t.invoices(), t.vendors().withColumn("vendor_name", F.substring("vendor_name", 1, 17))),
+    "s17_vendor_names": lambda t: reports.vendor_names(t.invoices(), t.book.branch_vendors()),
     # dashboard
     "v01_monthly_series": lambda t: dashboard.monthly_series(t.invoice_rows(), 10),
     "v02_amount_series": lambda t: dashboard.amount_series(t.invoice_rows()),
@@ -492,16 +496,15 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "v05_risk_buckets": lambda t: dashboard.risk_buckets(t.invoice_rows()),
     "v06_duplicate_levels": lambda t: dashboard.duplicate_levels(t.listing()),
     "v07_executive_kpis": lambda t: dashboard.executive_kpis(
-        t.invoice_rows(), reads.upload_history(t.batches()), t.pairs()),
-    "v08_executive_shares": lambda t: dashboard.executive_shares(
-        dashboard.executive_kpis(t.invoice_rows(), reads.upload_history(t.batches()), t.pairs())),
+        t.invoice_rows(), t.batches(), duplicates.pair_totals(t.scan_rows())),
+    "v08_executive_shares": lambda t: dashboard.executive_shares(t.invoice_rows()),
     "v09_vendor_kpis": lambda t: dashboard.vendor_kpis(dashboard.vendor_profile(t.invoice_rows())),
     "v10_spend_share": lambda t: dashboard.spend_share(dashboard.vendor_profile(t.invoice_rows())),
     "v10_vendor_heat": lambda t: dashboard.vendor_heat(dashboard.vendor_profile(t.invoice_rows())),
     "v10_vendor_ranking": lambda t: dashboard.vendor_ranking(dashboard.vendor_profile(t.invoice_rows())),
     "v11_validation_kpis": lambda t: dashboard.validation_kpis(t.invoice_rows()),
     "v12_duplicate_kpis": lambda t: dashboard.duplicate_kpis(dashboard.duplicate_levels(t.listing())),
-    "v13_audit_kpis": lambda t: dashboard.audit_kpis(reads.upload_history(t.batches())),
+    "v13_audit_kpis": lambda t: dashboard.audit_kpis(t.batches()),
     "v14_landing_kpis": lambda t: dashboard.landing_kpis(t.invoice_rows()),
     "v15_flagged_invoices": lambda t: dashboard.flagged_invoices(t.invoice_rows()),
     "v16_status_share": lambda t: dashboard.status_share(t.invoice_rows()).withColumn(
@@ -515,9 +518,9 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, folder: str = SMOKE_DIR) -> DataFrame:
     """Flagship: invoices by company and status after validation, with their value and risk."""
-    t = Tables(spark, SMOKE_DIR)
+    t = Tables(spark, folder)
     assessed = t.assessed()
     return _edge(
         assessed.groupBy("company_id", "assessed_status").agg(

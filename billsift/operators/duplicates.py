@@ -372,33 +372,38 @@ def _near_pairs(rows: DataFrame, max_group: int) -> DataFrame:
 def _unknown_company(rows: DataFrame, keys: list[str], level: int, max_group: int) -> DataFrame:
     """Pairs in which at least one side has no company: the company is then not compared."""
     unknown = F.col("company_id").isNull()
+    # The anchor has no company, so it pairs with every member; it is scanned if such a row is.
     stats = (
-        rows.filter(unknown)
-        .groupBy(*keys)
+        rows.groupBy(*keys)
         .agg(
+            F.count_if(unknown).alias("n_unknown"),
             F.count_if("scanned").alias("n_scanned"),
-            F.min(F.when(F.col("scanned"), F.col("id"))).alias("anchor"),
+            F.coalesce(
+                F.min(F.when(unknown & F.col("scanned"), F.col("id"))), F.min(F.when(unknown, F.col("id")))
+            ).alias("anchor"),
+            F.max(unknown & F.col("scanned")).alias("anchor_scanned"),
         )
+        .filter((F.col("n_unknown") > 0) & (F.col("n_scanned") > 0))
     )
     live = rows.select("id", "scanned", *keys, unknown.alias("unknown")).join(stats, keys)
-    is_large = F.col("n_scanned") > max_group
+    is_large = F.greatest("n_scanned", "n_unknown") > max_group
     small = live.filter(~is_large)
     x = small.filter("unknown").select(*keys, F.col("id").alias("x"), F.col("scanned").alias("x_scanned"))
     y = small.select(*keys, F.col("id").alias("y"), F.col("scanned").alias("y_scanned"),
                      F.col("unknown").alias("y_unknown"))
     once = (F.col("x") < F.col("y")) | (~F.col("y_unknown") & (F.col("x") != F.col("y")))
     listed = x.join(y, keys).filter(once & (F.col("x_scanned") | F.col("y_scanned")))
-    star = live.filter(is_large & (F.col("id") != F.col("anchor")))
+    star = live.filter(is_large & (F.col("id") != F.col("anchor")) & (F.col("scanned") | F.col("anchor_scanned")))
     return listed.select(*_pair_columns(F.col("x"), F.col("y"), F.lit(level), F.lit(0))).unionByName(
         star.select(*_pair_columns(F.col("id"), F.col("anchor"), F.lit(level), F.col("n_scanned")))
     )
 
 
-def duplicate_pairs(rows: DataFrame, max_group: int = MAX_GROUP, company_required: bool = True) -> DataFrame:
+def duplicate_pairs(rows: DataFrame, max_group: int = MAX_GROUP, company_required: bool = False) -> DataFrame:
     """Pairs (a_id < b_id) with their level and, for NEAR, the similarity.
 
-    ``company_required`` states that company_id is never null, as the stored table
-    demands. Without it, two more joins look for pairs of unknown company.
+    An unknown company matches any. ``company_required`` states that company_id is never null and saves
+    the two joins that look for such pairs.
     ``group_size`` is 0 for an ordinary pair, else the size of the large group whose
     member and anchor the row names.
     """
@@ -537,17 +542,18 @@ def pair_totals(rows: DataFrame) -> DataFrame:
     """Number of pairs per level, exact for groups of any size, in linear space.
 
     Pairs are counted per condition from group sizes and the pairs already taken by
-    a higher level are subtracted. Every row must have a number and a company, as
+    a higher level are subtracted. Blank numbers equal none. Every row must have a company, as
     stored invoices do.
     """
     itemised = rows.filter(F.col("fingerprint").isNotNull())
+    numbered, both_known = (x.filter(F.col("number_key") != "") for x in (rows, itemised))
     same_number = ["company_id", "number_key"]
-    exact = _group_pair_total(rows, same_number)
-    band, band_same = _band_pair_totals(rows, []), _band_pair_totals(rows, ["number_key"])
+    exact = _group_pair_total(numbered, same_number)
+    band, band_same = _band_pair_totals(rows, []), _band_pair_totals(numbered, ["number_key"])
     items = _group_pair_total(itemised, ["company_id", "fingerprint"])
-    items_same = _group_pair_total(itemised, same_number + ["fingerprint"])
+    items_same = _group_pair_total(both_known, same_number + ["fingerprint"])
     item_band = _band_pair_totals(itemised, ["fingerprint"])
-    item_band_same = _band_pair_totals(itemised, ["fingerprint", "number_key"])
+    item_band_same = _band_pair_totals(both_known, ["fingerprint", "number_key"])
     near_counts = _near_pair_totals(rows)
 
     parts = [
@@ -604,7 +610,7 @@ def _quoted(col: Column) -> Column:
 
 
 def match_message() -> Column:
-    """Text of a finding, from columns of the invoice, of its partner (``other_``) and of the pair."""
+    """Text of a finding (the wordings are fixed values), from columns of the invoice, of its partner (``other_``) and of the pair."""
     amount = text.float_text(F.col("total_amount"))
     vendor = F.coalesce(F.col("vendor_name"), F.lit("unknown"))
     number = F.coalesce(F.col("other_number"), F.lit("None"))
@@ -758,11 +764,8 @@ def order_listing(listing: DataFrame) -> DataFrame:
     return listing.orderBy(text.severity_rank(F.col("severity")), "invoice_a_id", "invoice_b_id")
 
 
-def badge_counts(listing: DataFrame) -> DataFrame:
-    kind = F.col("validation_type")
-    suspicious = kind.isin("DUPLICATE_VENDOR", "DUPLICATE_DATE", "DUPLICATE_ITEM")
-    return listing.agg(
-        F.count_if(kind == "DUPLICATE_EXACT").alias("exact"),
-        F.count_if(kind == "DUPLICATE_NEAR").alias("near"),
-        F.count_if(suspicious).alias("suspicious"),
+def badge_counts(totals: DataFrame) -> DataFrame:
+    """Badges of a scan from its exact counters (``pair_totals``)."""
+    return totals.select(
+        "exact", "near", (F.col("vendor") + F.col("date") + F.col("item")).alias("suspicious")
     )

@@ -130,7 +130,11 @@ def domains(vendors: DataFrame, batches: DataFrame, invoices: DataFrame, finding
 def gst_mismatch(invoices: DataFrame, items: DataFrame, tolerance: Decimal = Decimal("0.01")) -> DataFrame:
     """Invoices whose header tax differs from the tax recomputed from their lines."""
     recomputed = items.groupBy("invoice_id").agg(F.sum("line_tax").alias("item_tax"))
+    # An invoice without lines has no item tax, not an unknown one.
+    joined = invoices.join(recomputed, "invoice_id", "left").withColumn(
+        "item_tax", F.coalesce("item_tax", F.lit(Decimal("0.00")))
+    )
     gap = F.abs(F.col("item_tax") - F.col("tax_amount"))
-    return invoices.join(recomputed, "invoice_id").filter(gap > F.lit(tolerance)).select(
+    return joined.filter(gap > F.lit(tolerance)).select(
         "invoice_id", "tax_amount", "item_tax", F.lit("GST_MISMATCH").alias("validation_type")
     )

@@ -39,6 +39,9 @@ def _item_label() -> Column:
     return text.product_or_default(F.col("product_name"))
 
 
+# The message texts of the rules below are fixed values.
+
+
 def header_rules(as_of: str, tolerance: Decimal = TOTAL_TOLERANCE) -> list[Rule]:
     date = F.col("invoice_date")
     rules = [

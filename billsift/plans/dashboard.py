@@ -120,10 +120,10 @@ def duplicate_levels(pairs: DataFrame) -> DataFrame:
     )
 
 
-def executive_kpis(invoices: DataFrame, batches: DataFrame, pairs: DataFrame) -> DataFrame:
+def _invoice_kpis(invoices: DataFrame) -> DataFrame:
     status = F.col("status")
     losing = status.isin(*AT_RISK, "Duplicate")
-    of_invoices = invoices.agg(
+    return invoices.agg(
         F.count(F.lit(1)).alias("total_invoices"),
         F.count_if(status == "Valid").alias("valid"),
         F.count_if(status.isin(*AT_RISK)).alias("high_risk"),
@@ -131,21 +131,25 @@ def executive_kpis(invoices: DataFrame, batches: DataFrame, pairs: DataFrame) ->
         _sum(F.when(losing, _amount())).alias("potential_loss"),
         _sum(_amount()).alias("total_value"),
     )
+
+
+def executive_kpis(invoices: DataFrame, batches: DataFrame, pair_totals: DataFrame) -> DataFrame:
+    """Counts over all invoices and batches, and the pairs of a scan by its exact counters."""
     of_batches = batches.agg(
         F.count(F.lit(1)).alias("total_uploads"),
         F.coalesce(F.sum("processed_invoices"), F.lit(0)).alias("processed"),
         F.coalesce(F.sum("failed_invoices"), F.lit(0)).alias("failed"),
     )
-    of_pairs = pairs.agg(F.count(F.lit(1)).alias("pairs"))
-    return beside(beside(of_invoices, of_batches), of_pairs).select(
+    of_pairs = pair_totals.select(sum(F.col(c) for c in pair_totals.columns).alias("pairs"))
+    return beside(beside(_invoice_kpis(invoices), of_batches), of_pairs).select(
         "total_uploads", "total_invoices", "processed", "failed", "valid", "high_risk",
         (F.col("duplicate_status") + F.col("pairs")).alias("duplicate"),
         "potential_loss", "total_value",
     )
 
 
-def executive_shares(kpis: DataFrame) -> DataFrame:
-    return kpis.select(
+def executive_shares(invoices: DataFrame) -> DataFrame:
+    return _invoice_kpis(invoices).select(
         money.half_up_percent(F.col("valid"), F.col("total_invoices")).alias("valid_share"),
         money.half_up_percent(F.col("high_risk"), F.col("total_invoices")).alias("risk_share"),
         "total_value",

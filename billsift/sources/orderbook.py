@@ -251,6 +251,41 @@ class OrderBook:
             )
         )
 
+    # Tables with planted violations, for the checks of stored data.
+
+    def broken_batches(self) -> DataFrame:
+        return self.upload_batches().withColumn("failed_invoices", F.col("failed_invoices") - 50)
+
+    def broken_risks(self) -> DataFrame:
+        return self.reported_invoices().withColumn("risk_score", F.col("risk_score") + F.col("invoice_id") % 90)
+
+    def remaining_companies(self) -> DataFrame:
+        """Company 7 was deleted under its vendors and invoices."""
+        return self.companies().filter(F.col("company_id") != 7)
+
+    def remaining_batches(self) -> DataFrame:
+        """Batch 4 was deleted under its invoices."""
+        return self.upload_batches().filter(F.col("batch_id") != 4)
+
+    def foreign_severities(self, findings: DataFrame) -> DataFrame:
+        return findings.withColumn("severity", F.when(F.col("rule_no") == 8, "FATAL").otherwise(F.col("severity")))
+
+    def branch_vendors(self) -> DataFrame:
+        """Branches of a vendor carry the name of its head office: several vendors share one name."""
+        return self.vendors().withColumn("vendor_name", F.substring("vendor_name", 1, 17))
+
+    def other_companies(self) -> DataFrame:
+        """A company table from before the default tenant, and the default tenant's row."""
+        return self.companies().filter(F.col("company_id") != load.DEFAULT_COMPANY_ID)
+
+    def default_company(self) -> DataFrame:
+        return self.companies().filter(F.col("company_id") == load.DEFAULT_COMPANY_ID).select(
+            "company_id",
+            F.concat(F.lit("Default of "), F.col("company_name")).alias("company_name"),
+            "gst_number",
+            "email",
+        )
+
     def upload_lines(self) -> DataFrame:
         """Transport rows as an upload would carry them: text only, with dirty cells."""
         key, line = F.col("l_orderkey"), F.col("l_linenumber")

@@ -433,9 +433,9 @@ filled AS (SELECT order_key, coalesce(CAST(quantity AS DOUBLE), (SELECT median(C
 
 _TOTAL = "coalesce(total_amount, 0)"
 _LOSS = "status IN ('High Risk', 'Critical', 'Duplicate')"
-_KPIS = f"""SELECT (SELECT count(*) FROM history) AS total_uploads, count(*) AS total_invoices,
-  (SELECT CAST(coalesce(sum(processed_invoices), 0) AS BIGINT) FROM history) AS processed,
-  (SELECT CAST(coalesce(sum(failed_invoices), 0) AS BIGINT) FROM history) AS failed,
+_KPIS = f"""SELECT (SELECT count(*) FROM batches) AS total_uploads, count(*) AS total_invoices,
+  (SELECT CAST(coalesce(sum(processed_invoices), 0) AS BIGINT) FROM batches) AS processed,
+  (SELECT CAST(coalesce(sum(failed_invoices), 0) AS BIGINT) FROM batches) AS failed,
   count(*) FILTER (WHERE status = 'Valid') AS valid,
   count(*) FILTER (WHERE status IN ('High Risk', 'Critical')) AS high_risk,
   count(*) FILTER (WHERE status = 'Duplicate') + (SELECT count(*) FROM pairs) AS duplicate,
@@ -492,9 +492,9 @@ def _orphan(check: str, table: str, key: str, source: str, column: str, parent:
 _ITEMS_OUT = f"product_name, {dbl('quantity')} AS quantity, {dbl('unit_price')} AS unit_price"
 
 _FINAL: dict[str, str] = {
-    "a01_csv_lines": f"""SELECT {clean('invoice_number')} AS invoice_number, {clean('vendor_name')} AS vendor_name,
+    **dict.fromkeys(("a01_csv_lines", "a01_csv_files"), f"""SELECT {clean('invoice_number')} AS invoice_number, {clean('vendor_name')} AS vendor_name,
         {clean('invoice_date')} AS invoice_date, {clean('product_name')} AS product_name, {clean('quantity')} AS quantity,
-        {clean('unit_price')} AS unit_price, {clean('gst_percent')} AS gst_percent, count(*) AS n FROM lines GROUP BY ALL""",
+        {clean('unit_price')} AS unit_price, {clean('gst_percent')} AS gst_percent, count(*) AS n FROM lines GROUP BY ALL"""),
     "a08_batch_invoices": f"""SELECT i.invoice_id, vendor_name, {dbl('total_amount')} AS total_amount, {_ITEMS_OUT}
         FROM invoices i LEFT JOIN vendors v ON v.vendor_id = i.vendor_id LEFT JOIN items t ON t.invoice_id = i.invoice_id
         WHERE batch_id = 3""",
@@ -748,7 +748,7 @@ _FINAL: dict[str, str] = {
     "v13_audit_kpis": """SELECT count(*) AS batches, count(*) FILTER (WHERE status = 'Completed') AS completed,
         count(*) FILTER (WHERE status = 'Failed') AS failed, count(*) FILTER (WHERE status = 'Processing') AS processing,
         CAST(sum(processed_invoices) AS BIGINT) AS processed_invoices, CAST(sum(failed_invoices) AS BIGINT) AS failed_invoices,
-        max_by(uploaded_by, batch_id) AS latest_uploader FROM history""",
+        max_by(uploaded_by, batch_id) AS latest_uploader FROM batches""",
     "v14_landing_kpis": f"""SELECT count(*) AS total_invoices, count(*) FILTER (WHERE status = 'High Risk') AS high_risk,
         count(*) FILTER (WHERE status = 'Duplicate') AS duplicates,
         {dbl("coalesce(sum(coalesce(total_amount, 0)) FILTER (WHERE status <> 'Valid'), 0)")} AS flagged_amount FROM invoice_rows""",
