@@ -30,9 +30,9 @@ from billsift.llm.common import numbered, stored
 TABLES = 2
 PROJECTIONS = 6
 WIDTH = 2.0
-#: Estimated chance, per table, that a neighbour is in a visited bucket. Two tables at 0.78 measured a recall of
-#: 0.95 on the test vectors, which have no structure; neighbours that are closer are found more often.
-SUCCESS = 0.78
+#: Estimated chance, per table, that a neighbour is in a visited bucket. Neighbours closer than estimated are found
+#: more often.
+SUCCESS = 0.86
 #: Rows that may be read to estimate the similarity of neighbours.
 SAMPLE = 1000
 BLOCK = 4096
@@ -142,8 +142,10 @@ def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     # k + 1 of the rows with one vector are enough: ties go to the smallest ids, and one may be the query.
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     few = usable.withColumn("nth", F.row_number().over(by_vector)).filter(F.col("nth") <= k + 1)
+    listed = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # Numbered in the order of their smallest ids.
     entries = numbered(
-        few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entry"
+        listed.repartitionByRange(F.element_at("ids", 1)).sortWithinPartitions(F.element_at("ids", 1)), "entry"
     )
     norms = entries.select(
         F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"), F.size("embedding").alias("n")
@@ -245,15 +247,12 @@ def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     found = (
         held.unionByName(sent).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks")
         .mapInArrow(search, "query bigint, entry bigint, score double")
-        .dropDuplicates(["query", "entry"])
-    )
-    lists = entries.select("entry", "ids")
-    best_entries = (
-        found.join(lists.withColumn("first_id", F.element_at("ids", 1)), "entry")
-        .withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id")))
-        .filter(F.col("nth") <= k + 1)
-        .select("query", "score", F.explode("ids").alias("vec_id"))
     )
+    # A table finds an entry once at most; the best are cut before anything is joined to them.
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
+    best = found.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= (k + 1) * TABLES)
+    best = best.dropDuplicates(["query", "entry"]).select("query", "entry", "score")
+    best_entries = best.join(entries.select("entry", "ids"), "entry").select("query", "score", F.explode("ids").alias("vec_id"))
     best_rows = best_entries.withColumn(
         "nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     ).filter(F.col("nth") <= k + 1)
