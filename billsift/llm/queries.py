@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, pii, quality, repeats, shingle_join
+from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, pii, quality, repeats, shingle_join, statements
 from billsift.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -61,4 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_line_dedup, op2_repeated_passages, op3_bpe_coding, op4_nearest_vectors, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix)
 }
 
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {
+    "op6_quality_rules": statements.quality_rules(),
+    "op9_shingle_join": statements.shingle_join(),
+    "op10_source_mix": statements.source_mix(),
+}
