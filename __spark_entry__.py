@@ -534,7 +534,8 @@ def entry(spark: SparkSession, folder: str = SMOKE_DIR) -> DataFrame:
 
 def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries and SQL of the corpus operators, where that part of the package is installed."""
-    if find_spec("billsift.llm") is None:
+    part = find_spec("billsift.llm")
+    if part is None or not part.has_location:
         return {}, {}
     from billsift.llm import queries as corpus
 

@@ -9,7 +9,8 @@ already counted into one. Cells meet in blocks of (vendor, amount bucket).
   must share. Two short numbers are near exactly when they share a subsequence of the
   length their two lengths ask for, so those subsequences are the keys and whatever
   meets is a match. Of long numbers there are too many subsequences: pieces of one meet
-  substrings of the other (with more pieces than allowed edits, one piece survives).
+  substrings of the other (with more pieces than allowed edits, one piece survives). Both kinds of
+  keys are made for each length a partner may have, so an odd short number shortens no other's pieces.
   The prefix shared by a whole block carries no information and is cut off first.
 
 Pairs that such a key does not prove are compared in full, so the route changes cost only.
@@ -17,6 +18,7 @@ Pairs that such a key does not prove are compared in full, so the route changes
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -89,9 +91,6 @@ def _block_stats(reached: DataFrame, hot_block: int, max_keys: int) -> DataFrame
         # Longest rest that has no more subsequences than the limit.
         reach = max(r for r in range(1000) if comb(r, d) <= max_keys or r == 0)
         few = few | ((deletions == d) & (rest <= reach))
-    piece = F.floor(
-        (F.col("shortest") - F.col("cut")) / (similarity.edits_allowed(F.col("longest")) + 1)
-    ).cast("int")
     return stats.select(
         *_BLOCK,
         (F.col("block_n") > hot_block).alias("hot"),
@@ -99,7 +98,6 @@ def _block_stats(reached: DataFrame, hot_block: int, max_keys: int) -> DataFrame
         "spaced",
         few.alias("by_subsequence"),
         F.array_union("plain_lengths", "token_lengths").alias("lengths"),
-        F.greatest(piece, F.lit(0)).alias("piece"),
     )
 
 
@@ -113,19 +111,37 @@ def _formed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("form", F.explode(F.array_distinct(forms)))
 
 
-def _subsequence_keys(formed: DataFrame) -> DataFrame:
-    """For each length a partner may have: both lengths and the subsequences they ask for."""
+def _with_partners(formed: DataFrame) -> DataFrame:
+    """A row for every length that a similar number of the block may have; both lengths name the class."""
     whole = F.length("form") + F.col("cut")
     partners = F.filter(
         "lengths",
         lambda p: p.between(similarity.shortest_partner(whole), similarity.longest_partner(whole)),
     )
     rows = formed.withColumn("partner", F.explode(partners))
+    return rows.withColumns({
+        "whole": whole,
+        "class": F.concat_ws(":", F.least(whole, "partner"), F.greatest(whole, "partner")),
+    })
+
+
+def _subsequence_keys(rows: DataFrame) -> DataFrame:
+    """The subsequences that a partner of each length asks for."""
+    whole = F.col("whole")
     rows = rows.withColumn("times", whole - similarity.common_needed(whole, F.col("partner")))
     rows = similarity.with_subsequences(rows, "form", "times", "kept", _MOST_DELETIONS)
-    lengths = F.concat_ws(":", F.least(whole, "partner"), F.greatest(whole, "partner"))
     return rows.withColumn("kept", F.explode("kept")).withColumn(
-        "key", F.concat(lengths, F.lit(":"), F.col("kept"))
+        "key", F.concat("class", F.lit(":"), F.col("kept"))
+    )
+
+
+def _piece_keys(rows: DataFrame, cut_up: Callable) -> DataFrame:
+    """Pieces (or substrings) as long as the two lengths of a class allow."""
+    shorter, longer = F.least("whole", "partner"), F.greatest("whole", "partner")
+    piece = F.floor((shorter - F.col("cut")) / (similarity.edits_allowed(longer) + 1)).cast("int")
+    rows = rows.withColumn("piece", F.greatest(piece, F.lit(0)))
+    return rows.withColumn("part", F.explode(cut_up("form", "piece"))).withColumn(
+        "key", F.concat("class", F.lit(":"), F.col("part"))
     )
 
 
@@ -135,14 +151,10 @@ def _keyed(rows: DataFrame, side: str, columns: list[str]) -> DataFrame:
     ``proves`` marks keys whose sharing is the similarity itself. In blocks with white
     space a plain text may meet a sorted one, which proves nothing.
     """
-    formed = _formed(rows)
+    formed = _with_partners(_formed(rows))
     short = _subsequence_keys(formed.filter("by_subsequence")).withColumn("proves", ~F.col("spaced"))
     cut_up = similarity.pieces if side == "a" else similarity.grams
-    long = (
-        formed.filter("not by_subsequence")
-        .withColumn("key", F.explode(cut_up("form", "piece")))
-        .withColumn("proves", F.lit(False))
-    )
+    long = _piece_keys(formed.filter("not by_subsequence"), cut_up).withColumn("proves", F.lit(False))
     keep = [*_BLOCK, "key", "proves"]
     return _prefixed(short, f"{side}_", columns, *keep).unionByName(
         _prefixed(long, f"{side}_", columns, *keep)

@@ -262,3 +262,36 @@ def test_empty_input(spark):
     assert duplicates.duplicate_pairs(rows).count() == 0
     assert list(duplicates.scan_summary(rows).first()) == [0, 0, 0, 0]
     assert schemas.FINDINGS.fieldNames()[0] == "invoice_id"
+
+
+def test_one_short_number_leaves_the_keys_of_long_ones_alone(spark):
+    rng = random.Random(8)
+    numbers = ["".join(rng.choice("ABCDEFGHJK0123456789") for _ in range(40)) for _ in range(200)] + ["7"]
+    cells = spark.createDataFrame(
+        [(n, n, 1, 1, 1, 1, x, x.lower(), 5000) for n, x in enumerate(numbers)],
+        "cell long, anchor long, n long, n_scanned long, company_id long, vendor_id long, number string, number_key string, "
+        "cents long",
+    )
+    reached = near._reached(cells)
+    blocks = near._block_stats(reached, 8, near.MAX_KEYS)
+    keyed = near._keyed(near._own(cells).join(blocks, near._BLOCK), "a", near._CARRIED)
+    assert keyed.groupBy(*near._BLOCK, "key").count().agg(F.max("count")).first()[0] <= 10
+    similar = numbers[0][:-1] + "Z"
+    more = cells.unionByName(cells.filter("cell = 0").selectExpr(
+        "500L cell", "500L anchor", "n", "n_scanned", "company_id", "vendor_id", f"'{similar}' number",
+        f"'{similar.lower()}' number_key", "cents"))
+    found = near.near_cells(more, hot_block=8).select("a_cell", "b_cell").collect()
+    assert [tuple(r) for r in found] == [(0, 500)]
+
+
+def test_blank_numbers_and_unknown_companies(spark):
+    invoices = random_invoices(6, 3, short_number, vendors=3, companies=1, nulls=False)
+    for n, x in enumerate(invoices):
+        x.update(invoice_number="", vendor_id=n, day=100 * n, cents=1000 * n + 7, items=[("p%d" % n, "1", "2")])
+    rows = duplicates.scan_rows(*frames(spark, invoices))
+    assert list(duplicates.pair_totals(rows).first()) == [0, 0, 0, 0, 0]
+    assert duplicates.duplicate_pairs(rows).count() == 0
+    for x in invoices:
+        x.update(invoice_number="N-1", company_id=None)
+    rows = duplicates.scan_rows(*frames(spark, invoices))
+    assert found(duplicates.duplicate_pairs(rows)) == brute.all_pairs(invoices)
