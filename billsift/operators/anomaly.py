@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from billsift.functions.frames import beside
 from billsift.session import cut_lineage
 
+# Names and order of the features.
 FEATURES = ("quantity", "unit_price", "total_amount", "vendor_avg_price_ratio")
 # Size of the forest and assumed share of outliers.
 TREES = 200
 CONTAMINATION = 0.2
 MAX_CONTAMINATION = 0.4
 SEED = 42
+#: Rows a tree is grown from unless ``fit`` is told otherwise: the bound that makes the method isolate.
 SAMPLE = 256
 
 _BINS_PER_DOUBLING = 512
@@ -88,14 +90,15 @@ def _middle(counted: DataFrame, part: str, groups: list[str]) -> DataFrame:
     return placed.filter(holds(low) | holds(high)).drop("n")
 
 
-def medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
+def medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES, stored: bool = False) -> DataFrame:
     """Exact medians, one row (feature, median) each, without sorting all values.
 
     Values are counted into bins of growing width; the one or two bins that hold the
     middle ranks are cut into equal slices, and only the distinct values of the middle
     slices are put in order. Bins and slices are few, whatever the size of the data.
+    The columns are read three times: they are stored first unless the rows are ``stored``.
     """
-    long = _long(rows, columns)
+    long = _long(rows if stored else cut_lineage(rows.select(*columns)), columns)
     size = F.count(F.lit(1)).alias("n")
     bins = long.groupBy("feature", "bin").agg(
         size, F.min("value").alias("least"), F.max("value").alias("most")
@@ -122,8 +125,8 @@ def _one_row(long: DataFrame, value: str, columns: tuple[str, ...], suffix: str)
     )
 
 
-def fill_medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    single = _one_row(medians(rows, columns), "median", columns, "_median")
+def fill_medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES, stored: bool = False) -> DataFrame:
+    single = _one_row(medians(rows, columns, stored), "median", columns, "_median")
     filled = beside(rows, single)
     for c in columns:
         filled = filled.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")))
@@ -131,8 +134,7 @@ def fill_medians(rows: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFr
 
 
 def build_features(rows: DataFrame) -> DataFrame:
-    # The search for the medians reads the rows several times.
-    return fill_medians(cut_lineage(with_price_ratio(coerce_numbers(rows))))
+    return fill_medians(cut_lineage(with_price_ratio(coerce_numbers(rows))), stored=True)
 
 
 def scaler(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -177,10 +179,10 @@ def average_path(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _grow_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+def _grow_tree(pdf: pd.DataFrame, sample: int) -> pd.DataFrame:
     """Isolation tree over one bounded sample."""
     tree = int(pdf["tree"].iloc[0])
-    chosen = pdf.sort_values(["draw", "row_id"]).head(SAMPLE)
+    chosen = pdf.sort_values(["draw", "row_id"]).head(sample)
     x = chosen[list(FEATURES)].to_numpy(dtype=float)
     rng = np.random.default_rng([SEED, tree])
     limit = ceil(log2(max(len(x), 2)))
@@ -205,11 +207,11 @@ def _grow_tree(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=names)
 
 
-def _tree_samples(scaled: DataFrame, total: int, trees: int) -> DataFrame:
+def _tree_samples(scaled: DataFrame, total: int, trees: int, sample: int) -> DataFrame:
     """Independent samples of about 1.3 times the tree size, drawn by hash in one pass."""
-    share = min(1.0, 1.3 * SAMPLE / max(total, 1))
+    share = min(1.0, 1.3 * sample / max(total, 1))
     # On large data a first draw leaves enough rows for all trees before each row is offered to each.
-    kept = min(1.0, 8.0 * trees * SAMPLE / max(total, 1))
+    kept = min(1.0, 8.0 * trees * sample / max(total, 1))
     first = F.pmod(F.xxhash64(F.lit(SEED), "row_id"), F.lit(_HASH_RANGE)) < int(kept * _HASH_RANGE)
     limit = int(min(1.0, share / kept) * _HASH_RANGE)
     draw = f"pmod(xxhash64({SEED + 1}, row_id, t), {_HASH_RANGE}L)"
@@ -220,14 +222,16 @@ def _tree_samples(scaled: DataFrame, total: int, trees: int) -> DataFrame:
     return scaled.filter(first).select("row_id", *FEATURES, F.inline(hits))
 
 
-def _grow(scaled: DataFrame, total: int, trees: int) -> DataFrame:
-    return _tree_samples(scaled, total, trees).groupBy("tree").applyInPandas(_grow_tree, _NODE_SCHEMA)
+def _grow(scaled: DataFrame, total: int, trees: int, sample: int) -> DataFrame:
+    return _tree_samples(scaled, total, trees, sample).groupBy("tree").applyInPandas(
+        lambda rows: _grow_tree(rows, sample), _NODE_SCHEMA
+    )
 
 
 def _path_lengths(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds ``isolation`` (0..1, higher is more anomalous).
 
-    The forest has at most trees x 2 x SAMPLE nodes, so it is shipped to every task.
+    The forest has at most 2 x trees x sample nodes, so it is shipped to every task.
     """
     table = nodes.orderBy("tree", "node").toPandas()
     starts = table.groupby("tree")["node"].transform("size").to_numpy()
@@ -266,14 +270,24 @@ def _path_lengths(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _offset(isolation: DataFrame, contamination: float) -> float:
-    """Score that the assumed share of outliers lies above."""
-    share = 1.0 - min(contamination, MAX_CONTAMINATION)
-    return isolation.agg(
-        F.percentile_approx("isolation", share, 100_000).alias("offset")
-    ).first()["offset"]
-
+    """Score that the assumed share of outliers lies above: the exact value of that rank.
 
-def _fit_features(features: DataFrame, trees: int, contamination: float) -> tuple[Forest, DataFrame]:
+    The rank is found among counted bins first, then among the distinct values of one bin.
+    """
+    rank = max(1, ceil((1.0 - min(contamination, MAX_CONTAMINATION)) * isolation.count()))
+    binned = isolation.select("isolation", F.floor(F.col("isolation") * _SLICES).alias("bin"))
+    upto = Window.orderBy("bin")
+    bins = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).withColumn("reached", F.sum("n").over(upto))
+    held = bins.filter(F.col("reached") >= rank).orderBy("bin").first()
+    left = rank - (held["reached"] - held["n"])
+    values = binned.filter(F.col("bin") == held["bin"]).groupBy("isolation").agg(F.count(F.lit(1)).alias("n"))
+    reached = values.withColumn("reached", F.sum("n").over(Window.orderBy("isolation")))
+    return reached.filter(F.col("reached") >= left).agg(F.min("isolation").alias("offset")).first()["offset"]
+
+
+def _fit_features(
+    features: DataFrame, trees: int, contamination: float, sample: int = SAMPLE
+) -> tuple[Forest, DataFrame]:
     """Forest and the isolation of its training rows."""
     total = features.count()
     if total < 2:
@@ -281,15 +295,20 @@ def _fit_features(features: DataFrame, trees: int, contamination: float) -> tupl
     fitted = cut_lineage(scaler(features))
     scaled = scale(features, fitted)
     # Pin the forest: growing it again for the next use would be wasted work.
-    nodes = cut_lineage(_grow(scaled, total, trees))
+    nodes = cut_lineage(_grow(scaled, total, trees, sample))
     isolation = cut_lineage(_path_lengths(scaled, nodes).select("row_id", "isolation"))
     return Forest(nodes, fitted, _offset(isolation, contamination)), isolation
 
 
-def fit(rows: DataFrame, trees: int = TREES, contamination: float = CONTAMINATION) -> Forest:
-    """Fit scaler and forest on rows with a unique row_id, vendor_name and the raw numbers."""
+def fit(
+    rows: DataFrame, trees: int = TREES, contamination: float = CONTAMINATION, sample: int = SAMPLE
+) -> Forest:
+    """Fit scaler and forest on rows with a unique row_id, vendor_name and the raw numbers.
+
+    Each tree sees ``sample`` rows drawn by hash; scaler and offset cover all rows.
+    """
     features = cut_lineage(build_features(rows).select("row_id", *FEATURES))
-    return _fit_features(features, trees, contamination)[0]
+    return _fit_features(features, trees, contamination, sample)[0]
 
 
 def save(model: Forest, path: str) -> None:
