@@ -3,8 +3,8 @@
 Two texts that share a bucket are compared exactly unless they are connected already. First every text
 is compared with one other, the smallest of the bucket it shares most with; then with the
 smallest of each bucket whose component differs; what then still shares a bucket across components is
-compared in full. A group of copies is therefore joined by one comparison per copy, and no link between
-components is lost.
+compared in full (or, if asked, with the smallest of each component). A group of copies is therefore joined
+by one comparison per copy, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billsift.llm.common import components, stored
@@ -59,69 +59,87 @@ def compared(pairs: DataFrame, texts: DataFrame, grams: Grams, percent: int) ->
     return both.mapInArrow(run, "a bigint, b bigint, similar boolean")
 
 
-def linked(buckets: DataFrame, texts: DataFrame, grams: Grams, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of every text with a link, and the links (a, b) that were found.
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
+        "root", F.coalesce("root", "id")
+    )
+
+
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def linked(
+    buckets: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    grams: Grams,
+    percent: int,
+    possible: Callable[[DataFrame], DataFrame],
+    size_percent: int | None = None,
+    heads_only: bool = False,
+) -> DataFrame:
+    """(node, root) of every text with a link.
 
-    buckets: distinct (bucket, id, size), those with one id left out; a pair whose sizes alone rule out
-    the similarity is not compared. texts: (id, text) for every id of the buckets.
+    buckets: (bucket, id, size); a pair is compared only if the smaller size has ``size_percent`` of the larger,
+    by default what the similarity asks for. With ``heads_only`` the last turn compares a text with the smallest of
+    each other component of its bucket only: enough where buckets are a matter of chance themselves. ``possible`` may drop pairs (a, b) that cannot be similar, ``fetch`` gives (id, text) for ids.
     """
-    def fits(one: str, other: str):
-        return 100 * F.least(one, other) >= percent * F.greatest(one, other)
 
-    least = buckets.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("least"))
+    def fits(one: str, other: str) -> Column:
+        return 100 * F.least(one, other) >= (size_percent or percent) * F.greatest(one, other)
+
+    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("least"), F.max("id").alias("top"))
     with_least = stored(
-        buckets.join(least, "bucket")
+        buckets.join(shared.filter(F.col("least.id") < F.col("top")), "bucket")
         .select("bucket", "id", "size", F.col("least.id").alias("a"), F.col("least.size").alias("a_size"))
     )
-    ready = with_least.filter(F.col("id") > F.col("a")).filter(fits("size", "a_size"))
-    votes = ready.groupBy("id", "a").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("a")).alias("m"))).alias("best")).select(
-        (-F.col("best.m")).alias("a"), F.col("id").alias("b")
+    votes = (
+        with_least.filter(F.col("id") > F.col("a")).filter(fits("size", "a_size"))
+        .groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    ready = stored(possible(votes))
+    texts = stored(fetch(ids_of(ready)))
+    # First turn: the smallest of the bucket that a text shares most with.
+    best = ready.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("m"))).alias("best")).select(
+        (-F.col("best.m")).alias("a"), "b"
     )
     tested = stored(compared(best, texts, grams, percent))
-    found = tested.filter("similar").select("a", "b")
-
-    def rooted(links: DataFrame) -> DataFrame:
-        return stored(components(links))
-
-    def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn(
-            "root", F.coalesce("root", "id")
-        )
-
-    roots = rooted(found)
+    roots = stored(components(tested.filter("similar").select("a", "b")))
     # Second turn: the smallest of every bucket against members of other components.
     pairs = (
-        labelled(ready.select("id", "a").distinct(), roots)
+        _labelled(ready.select("a", F.col("b").alias("id")), roots)
         .join(roots.select(F.col("node").alias("a"), F.col("root").alias("a_root")), "a", "left")
         .filter(F.col("root") != F.coalesce("a_root", "a"))
         .select("a", F.col("id").alias("b"))
         .join(tested, ["a", "b"], "left_anti")
     )
-    more = stored(compared(pairs, texts, grams, percent))
-    tested = tested.unionByName(more)
+    tested = stored(tested.unionByName(compared(pairs, texts, grams, percent)))
     found = tested.filter("similar").select("a", "b")
-    roots = rooted(found)
-    # Third turn: all that still shares a bucket across components.
-    rows = labelled(with_least.select("bucket", "id", "size"), roots)
+    roots = stored(components(found))
+    # Third turn: all that still shares a bucket across components, but for pairs with its smallest.
+    rows = _labelled(with_least.select("bucket", "id", "size", F.col("a").alias("least")), roots)
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    open_rows = stored(rows.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "id", "size", "root"))
+    open_rows = stored(
+        rows.filter(F.col("id") != F.col("least")).join(mixed.select("bucket"), "bucket", "left_semi")
+        .select("bucket", "id", "size", "root")
+    )
     one = open_rows.select("bucket", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    two = open_rows.select("bucket", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    pairs = (
+    others = open_rows
+    if heads_only:
+        others = open_rows.groupBy("bucket", "root").agg(F.min(F.struct("id", "size")).alias("head")).select(
+            "bucket", "head.id", "head.size", "root"
+        )
+    two = others.select("bucket", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    crossing = (
         one.join(two, "bucket")
-        .filter("a < b and a_root <> b_root")
+        .filter(F.col("a_root") != F.col("b_root") if heads_only else F.expr("a < b and a_root <> b_root"))
         .filter(fits("a_size", "b_size"))
-        .select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
-    last = stored(compared(pairs, texts, grams, percent))
-    links = found.unionByName(last.filter("similar").select("a", "b"))
-    return rooted(links), links
-
-
-def several(buckets: DataFrame) -> DataFrame:
-    """Rows of (bucket, id, size) whose bucket has two ids or more."""
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    return buckets.join(shared.select("bucket"), "bucket", "left_semi")
+    last = stored(possible(crossing))
+    if last.isEmpty():
+        return roots
+    last = compared(last, fetch(ids_of(last)), grams, percent)
+    return stored(components(found.unionByName(last.filter("similar").select("a", "b"))))

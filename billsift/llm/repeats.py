@@ -199,42 +199,48 @@ def _fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return likely.join(wanted, likely["doc_id"].eqNullSafe(wanted["first_doc"])).drop("doc_id", "doc_key", "first_doc")
 
 
-def _compared(texts: DataFrame, spots: DataFrame, keep_first: bool) -> DataFrame:
-    """(row, starts, ends): runs of repeated string starts of pieces, relative to the piece's first.
-
-    spots: digest, first_doc, anchor, row, count, first, last, hot; a row per different piece of the anchors.
-    """
-    grouped = spots.groupBy("digest", "first_doc").agg(
-        F.collect_list(F.struct("anchor", "row", "count", "first", "last", "hot")).alias("spots")
+def _pieces_of(texts: DataFrame, spots: DataFrame, single: bool) -> DataFrame:
+    """anchor, row, count, place, piece: the pieces of the spots, or with ``single`` the strings in them."""
+    grouped = stored(
+        spots.groupBy("digest", "first_doc").agg(
+            F.collect_list(F.struct("anchor", "row", "count", "first", "last")).alias("spots")
+        )
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one text twice give their pieces once.
+        seen: set[int] = set()
         for batch in bpe.slices(batches, 0):
             out = []
             for text, digest, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 content = _encoded(text)
-                if _digest(content) != digest:
+                if wanted[0]["row"] in seen or _digest(content) != digest:
                     continue
+                seen.add(wanted[0]["row"])
                 for s in wanted:
                     piece = content[s["first"] : s["last"] + LENGTH]
-                    if not s["hot"]:
+                    if not single:
                         out.append((s["anchor"], s["row"], s["count"], 0, piece))
                         continue
                     for k in range(s["last"] - s["first"] + 1):
                         string = piece[k : k + LENGTH]
-                        out.append((xxhash.xxh3_64_intdigest(string) - 2**63, s["row"], s["count"], k + 1, _digest(string)))
+                        out.append((s["anchor"], s["row"], s["count"], k, _digest(string)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
                 ["anchor", "row", "count", "place", "piece"],
             )
 
-    contents = stored(
-        _fetched(texts, grouped).select("text", "digest", "spots")
-        .mapInArrow(cut, "anchor bigint, row bigint, count bigint, place int, piece binary")
-        .dropDuplicates(["anchor", "row", "place"])
+    return _fetched(texts, grouped).select("text", "digest", "spots").mapInArrow(
+        cut, "anchor bigint, row bigint, count bigint, place int, piece binary"
     )
 
+
+def _compared(texts: DataFrame, spots: DataFrame, keep_first: bool) -> DataFrame:
+    """(row, starts, ends): runs of repeated string starts of pieces, relative to the piece's first.
+
+    spots: digest, first_doc, anchor, row, count, first, last, hot; a row per different piece of the anchors.
+    """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, counts, parts, held, anchor = [], [], [], 0, None
 
@@ -267,16 +273,19 @@ def _compared(texts: DataFrame, spots: DataFrame, keep_first: bool) -> DataFrame
             yield out()
 
     plain = (
-        contents.filter("place = 0").repartition("anchor").sortWithinPartitions("anchor", "row")
+        _pieces_of(texts, spots.filter(~F.col("hot")), False).repartition("anchor").sortWithinPartitions("anchor", "row")
         .mapInArrow(search, "row bigint, starts array<bigint>, ends array<bigint>")
     )
+    hot = spots.filter("hot")
+    if hot.isEmpty():
+        return plain
     # Strings of split anchors: equal ones have equal hashes.
-    strings = contents.filter("place > 0")
+    strings = stored(_pieces_of(texts, hot, True))
     totals = strings.groupBy("anchor", "piece").agg(F.sum("count").alias("n"), F.min(F.struct("row", "place")).alias("least"))
     single = strings.join(totals.filter("n > 1"), ["anchor", "piece"]).filter(
         F.lit(not keep_first) | (F.struct("row", "place") != F.col("least"))
     ).select(
-        "row", F.array((F.col("place") - 1).cast("bigint")).alias("starts"), F.array(F.col("place").cast("bigint")).alias("ends")
+        "row", F.array(F.col("place").cast("bigint")).alias("starts"), F.array((F.col("place") + 1).cast("bigint")).alias("ends")
     )
     return plain.unionByName(single)
 
@@ -296,38 +305,35 @@ def removals(docs: DataFrame, keep_first: bool = False) -> DataFrame:
         ),
         "text_no",
     )
-    heads = known.select(F.col("digest").alias("known_digest"), "first_doc", "text_no")
-    own = stored(
-        measured.join(heads, (F.col("digest") == F.col("known_digest")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .filter(F.size("anchors") > 0)
-        .select("text_no", "first_doc", "anchors", "hashed", "first", "last")
-    )
-
     def all_anchors(batch: pa.RecordBatch) -> np.ndarray:
         return pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
 
-    twice = sketch.repeated(own.select("anchors"), all_anchors, REPEAT_BITS)
-    kind = dict(own.dtypes)["first_doc"]
+    twice = sketch.repeated(measured.select("anchors"), all_anchors, REPEAT_BITS)
+    kind = dict(measured.dtypes)["doc_id"]
+    parts = "anchors array<bigint>, hashed array<bigint>, first array<int>, last array<int>"
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = [pc.list_flatten(batch.column(k)).to_numpy(zero_copy_only=False) for k in range(2, 6)]
             parents = pc.list_parent_indices(batch.column(2)).to_numpy(zero_copy_only=False)
-            stay = np.flatnonzero(sketch.is_repeated(twice.value, flat[0].view(np.uint64), REPEAT_BITS))
-            owners = pa.array(parents[stay])
+            stay = sketch.is_repeated(twice.value, flat[0].view(np.uint64), REPEAT_BITS)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(parents[stay], minlength=batch.num_rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(owners), batch.column(1).take(owners), *(pa.array(f[stay]) for f in flat)],
-                ["text_no", "first_doc", "anchor", "hashed", "first", "last"],
+                [batch.column(0), batch.column(1)]
+                + [pa.ListArray.from_arrays(pa.array(ends), pa.array(f[stay])) for f in flat],
+                ["doc_id", "digest", "anchors", "hashed", "first", "last"],
             )
 
-    # Rows of one text twice (equal doc_id and text) are one.
-    likely = stored(
-        own.dropDuplicates(["text_no"]).mapInArrow(
-            kept, f"text_no bigint, first_doc {kind}, anchor bigint, hashed bigint, first int, last int"
-        )
+    # Only one row of each text takes part, and only its pieces whose anchor may occur again.
+    likely = measured.select("doc_id", "digest", "anchors", "hashed", "first", "last").mapInArrow(
+        thinned, f"doc_id {kind}, digest binary, {parts}"
+    ).filter("size(anchors) > 0")
+    heads = known.select(F.col("digest").alias("known_digest"), "first_doc", "text_no")
+    rows = (
+        likely.drop("doc_id").join(heads, F.col("digest") == F.col("known_digest")).dropDuplicates(["digest"])
+        .select("text_no", "first_doc", F.inline(F.arrays_zip("anchors", "hashed", "first", "last")))
+        .withColumnRenamed("anchors", "anchor")
     )
-    often = likely.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    rows = likely.join(often, "anchor", "left_semi")
     if keep_first:
         rows = rows.repartitionByRange("first_doc").sortWithinPartitions("first_doc", "text_no", "first")
     rows = numbered(rows, "row")

@@ -40,7 +40,9 @@ VERY_FREQUENT = 1024
 LEAST_PERCENT = 80
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_known = words.Kept(lambda word: xxhash.xxh64_intdigest(word))
+_known = words.Kept(lambda word: xxhash.xxh64_digest(word))
+#: Parts of a profile: how many shingles of a set have each value of their top bits.
+PROFILE_BITS = 8
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -52,17 +54,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of all words, if there are fewer."""
+def _hashed(text: str, width: int) -> np.ndarray:
+    """64-bit hashes of the word shingles in order; of all words, if there are fewer."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    ids = np.array([_known[w] for w in found], np.uint64)
+    ids = np.frombuffer(b"".join([_known[w] for w in found]), np.uint64)
     width = min(width, len(ids))
     h = np.zeros(len(ids) - width + 1, np.uint64)
     for k in range(width):
         h = h * _ODD + ids[k : len(ids) - width + 1 + k]
-    return np.unique(mixed(h + np.uint64(width)))
+    return mixed(h + np.uint64(width))
+
+
+def shingles(text: str, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(_hashed(text, width))
+
+
+def profile(grams: np.ndarray) -> np.ndarray:
+    """Shingles by their top bits: what two sets share is at most the sum of the smaller counts."""
+    return np.bincount((grams >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=1 << PROFILE_BITS)
 
 
 def _combined(tokens: np.ndarray, groups: np.ndarray, k: int, salt: int) -> list[np.ndarray]:
@@ -132,8 +144,8 @@ def _digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (doc_id, n_shingles, class_id, root), links between class ids.
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class_id, root for every row.
 
     Documents with equal shingle sets are one class. ``root`` is the smallest class id a class is linked
     with; a document without words has no class.
@@ -144,31 +156,35 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     kind = dict(texts.dtypes)["doc_id"]
 
     def all_grams(batch: pa.RecordBatch) -> np.ndarray:
-        found = [shingles(t, width) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        found = [_hashed(t, width) for t in batch.column(0).to_pylist()]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
     counts = sketch.levels(texts.select("text"), all_grams, ORDER_BITS)
     # Mean count of a slot, which any shingle's count may hold besides its own.
     noise = float(np.median(counts.value[:: 1 << 8].astype(np.float64)))
-    noise = 2.0 ** noise if noise > 1 else 0.0
+    noise = 2.0**noise if noise > 1 else 0.0
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in bpe.slices(batches, 1):
-            sizes, digests, found = [], [], []
+            sizes, digests, found, profiles = [], [], [], []
             for text in batch.column(1).to_pylist():
                 grams = shingles(text, width)
                 sizes.append(len(grams))
                 digests.append(_digest(grams) if len(grams) else None)
-                found.append(entries(grams, table, ORDER_BITS, noise, percent).view(np.int64))
+                own = entries(grams, table, ORDER_BITS, noise, percent)
+                found.append(own.view(np.int64))
+                profiles.append(profile(grams).astype("<u4").tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(found, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "entries"],
+                 pa.array(found, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "entries", "profile"],
             )
 
     rows = stored(
-        texts.mapInArrow(index, f"doc_id {kind}, n_shingles bigint, digest binary, entries array<bigint>")
+        texts.mapInArrow(
+            index, f"doc_id {kind}, n_shingles bigint, digest binary, entries array<bigint>, profile binary"
+        )
     )
     grouped = rows.filter("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size")
@@ -178,49 +194,82 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tupl
     def all_entries(batch: pa.RecordBatch) -> np.ndarray:
         return pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
 
-    single = rows.join(known, (rows["digest"] == known["digest"]) & rows["doc_id"].eqNullSafe(known["first_doc"])).select(
-        "id", "size", "entries"
-    )
     twice = sketch.repeated(rows.select("entries"), all_entries, REPEAT_BITS)
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = twice.value
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(2)
             values = pc.list_flatten(column).to_numpy(zero_copy_only=False)
             parents = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
-            stay = np.flatnonzero(sketch.is_repeated(table, values.view(np.uint64), REPEAT_BITS))
-            owners = pa.array(parents[stay])
+            stay = sketch.is_repeated(twice.value, values.view(np.uint64), REPEAT_BITS)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(parents[stay], minlength=len(column)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[stay]), batch.column(0).take(owners), batch.column(1).take(owners)], ["bucket", "id", "size"]
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[stay]))],
+                ["doc_id", "digest", "entries"],
             )
 
-    buckets = stored(
-        linking.several(single.mapInArrow(kept, "bucket bigint, id bigint, size bigint").distinct())
-    )
-    needed = buckets.select("id").distinct().join(known, "id").select("id", "first_doc", "digest")
+    likely = rows.select("doc_id", "digest", "entries").mapInArrow(
+        thinned, f"doc_id {kind}, digest binary, entries array<bigint>"
+    ).filter("size(entries) > 0")
+    heads = known.select("id", "size", F.col("digest").alias("head_digest"), "first_doc")
+    is_head = (F.col("digest") == F.col("head_digest")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    buckets = stored(likely.join(heads, is_head).select("id", "size", F.explode("entries").alias("bucket")))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose profiles allow the similarity."""
+        columns = pairs.columns
+        ids = linking.ids_of(pairs)
+        profiles = stored(
+            rows.select("doc_id", "digest", "profile").join(heads.join(ids, "id", "left_semi"), is_head)
+            .select("id", "profile").dropDuplicates(["id"])
+        )
+        one = profiles.select(F.col("id").alias("a"), F.col("profile").alias("profile_a"))
+        two = profiles.select(F.col("id").alias("b"), F.col("profile").alias("profile_b"))
+        both = pairs.join(two, "b").join(one, "a").select(*columns, "profile_a", "profile_b")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y = (
+                    np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1).astype(np.int64)
+                    for k in (-2, -1)
+                )
+                most = np.minimum(x, y).sum(axis=1)
+                stay = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
+                yield batch.filter(pa.array(stay)).select(columns)
+
+        return both.mapInArrow(check, pairs.schema)
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """(id, text) of a document of each class."""
+        key = F.xxhash64("doc_id").alias("doc_key")
+        wanted = heads.join(ids, "id", "left_semi").select("id", F.col("head_digest").alias("digest"),
+                                                           F.xxhash64("first_doc").alias("doc_key"))
+        wanted = stored(wanted)
+        near = sketch.probably(texts.select("text", key), "doc_key", wanted)
+        return near.join(wanted, "doc_key").select("id", "text", "digest").mapInArrow(own, "id bigint, text string")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A doc_id may have several rows: one with the class's shingles counts, once.
+        seen: set[int] = set()
         for batch in batches:
-            same = [_digest(shingles(t, width)) == d for t, d in
-                    zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_())).select([0, 1])
-
-    # A doc_id may have several rows: the one with the class's shingles counts.
-    representatives = stored(
-        texts.join(needed, texts["doc_id"].eqNullSafe(needed["first_doc"]))
-        .select("id", "text", "digest")
-        .mapInArrow(own, "id bigint, text string")
-        .dropDuplicates(["id"])
-    )
-    roots, links = linking.linked(buckets, representatives, lambda t: shingles(t, width), percent)
+            stay = []
+            for row, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fine = row not in seen and _digest(shingles(text, width)) == digest
+                stay.append(fine)
+                if fine:
+                    seen.add(row)
+            yield batch.filter(pa.array(stay, pa.bool_())).select([0, 1])
+
+    roots = linking.linked(buckets, fetch, lambda t: shingles(t, width), percent, possible)
     members = (
         rows.select("doc_id", "n_shingles", "digest")
         .join(known.select("digest", F.col("id").alias("class_id")), "digest", "left")
         .join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
         .select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("root"))
     )
-    return members, links
+    return members
 
 
 def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -230,7 +279,7 @@ def joined(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     no shingle and is linked with nothing. Rows with equal texts are linked; a null doc_id is never the
     smallest unless it is alone. Other columns are not looked at; an empty table gives no row.
     """
-    members = stored(classes(docs, width, percent)[0])
+    members = stored(classes(docs, width, percent))
     smallest = members.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return members.join(smallest, "root", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")

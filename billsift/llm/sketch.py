@@ -52,12 +52,17 @@ def _broadcast(df, hashes, bits, reduced) -> Broadcast:
         ends = np.searchsorted(slots, np.arange(1, chunks + 1, dtype=np.uint64) << np.uint64(_CHUNK_BITS))
         pack = zstandard.ZstdCompressor(level=1).compress
         numbers, blobs, start = [], [], 0
-        for chunk, end in enumerate(ends):
+        for chunk, end in enumerate(ends.tolist()):
             if end > start:
-                counts = np.bincount(slots[start:end] & (width - 1), minlength=width)
+                places = slots[start:end] & np.uint32(width - 1)
                 numbers.append(chunk)
-                blobs.append(pack(np.minimum(counts, 65535).astype("<u2").reshape(-1).view(np.uint8)
-                                  .reshape(-1, 2).T.tobytes()))
+                if 4 * (end - start) < width:
+                    # Few: the steps from place to place.
+                    steps = np.diff(places, prepend=np.uint32(0)).astype("<u2")
+                    blobs.append(b"\1" + pack(steps.tobytes()))
+                else:
+                    counts = np.minimum(np.bincount(places, minlength=width), 65535).astype("<u2")
+                    blobs.append(b"\0" + pack(counts.view(np.uint8).reshape(-1, 2).T.tobytes()))
             start = end
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
 
@@ -78,8 +83,13 @@ def _broadcast(df, hashes, bits, reduced) -> Broadcast:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                halves = np.frombuffer(unpack(blob), np.uint8).reshape(2, width).astype(np.int64)
-                sums[chunk] = sums.get(chunk, 0) + halves[0] + (halves[1] << 8)
+                content = unpack(blob[1:])
+                if blob[0]:
+                    places = np.cumsum(np.frombuffer(content, "<u2"), dtype=np.int64)
+                    sums[chunk] = sums.get(chunk, 0) + np.bincount(places, minlength=width)
+                else:
+                    halves = np.frombuffer(content, np.uint8).reshape(2, width).astype(np.int64)
+                    sums[chunk] = sums.get(chunk, 0) + halves[0] + (halves[1] << 8)
         pack = zstandard.ZstdCompressor(level=1).compress
         if sums:
             yield pa.RecordBatch.from_arrays(
@@ -89,7 +99,7 @@ def _broadcast(df, hashes, bits, reduced) -> Broadcast:
 
     schema = "chunk int, counts binary"
     # One row per chunk: the size of the table, whatever the input.
-    rows = df.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator()
+    rows = df.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()
     unpack = zstandard.ZstdDecompressor().decompress
     empty = reduced(np.zeros(width, np.int64))
     table = np.zeros((chunks, len(empty)), np.uint8)

@@ -25,13 +25,15 @@ class Groups:
         self.parent[max(a, b)] = min(a, b)
 
 
-def jaccard_components(sets: dict, percent: int) -> dict:
-    """Smallest key that links reach, for every key."""
+def jaccard_components(sets: dict, percent: int, lengths: dict | None = None, length_percent: int = 0) -> dict:
+    """Smallest key that links reach, for every key. Lengths too different prevent a link."""
     groups = Groups()
     keys = sorted(sets)
     for n, a in enumerate(keys):
         for b in keys[n + 1 :]:
             both = len(sets[a] & sets[b])
+            if lengths and 100 * min(lengths[a], lengths[b]) < length_percent * max(lengths[a], lengths[b]):
+                continue
             if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 groups.link(a, b)
     return {k: groups.root(k) for k in keys}
@@ -53,7 +55,7 @@ def removed_lines(texts: dict, percent: int = 80, width: int = 5) -> dict:
             if line and not line.isspace():
                 places[(key, n)] = line.strip().lower()
     sets = {p: {line[i : i + width] for i in range(max(1, len(line) - width + 1))} for p, line in places.items()}
-    roots = jaccard_components(sets, percent)
+    roots = jaccard_components(sets, percent, {p: len(line) for p, line in places.items()}, 75)
     out = defaultdict(list)
     for (key, n), root in roots.items():
         if root != (key, n):

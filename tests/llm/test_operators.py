@@ -365,3 +365,23 @@ def test_schedule_is_even(spark):
         for no, target in ((0, 5000.0), (1, 2500.0), (2, 30.0)):
             assert abs(seen[no] - n * target / total) < 6
     assert set(seen) == {0, 1, 2, 3}
+
+
+def test_counted_hashes(spark):
+    from billsift.llm import sketch
+
+    r = np.random.default_rng(5)
+    hashes = np.concatenate([r.integers(0, 2**64, 3000, dtype=np.uint64), np.full(400, 77, np.uint64), np.full(2, 2**64 - 1, np.uint64)])
+    hashes = np.concatenate([hashes, np.repeat(r.integers(0, 2**46, 20_000, dtype=np.uint64), 2)])
+    frame = spark.createDataFrame([(int(h.view(np.int64)),) for h in hashes], "h bigint").repartition(3)
+
+    def of(batch):
+        return batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+    for bits in (16, 20, 24):
+        expected = np.bincount(sketch.slots_of(hashes, bits).astype(np.int64), minlength=1 << bits)
+        assert (sketch.levels(frame, of, bits).value == np.ceil(np.log2(expected + 1))).all()
+        table = sketch.repeated(frame, of, bits).value
+        assert (sketch.is_repeated(table, hashes, bits) == (expected[sketch.slots_of(hashes, bits)] > 1)).all()
+    kept = sketch.probably(frame, "h", frame.limit(10), 24)
+    assert {x["h"] for x in frame.limit(10).collect()} <= {x["h"] for x in kept.collect()}
