@@ -88,9 +88,24 @@ def linked(
     def fits(one: str, other: str) -> Column:
         return 100 * F.least(one, other) >= (size_percent or percent) * F.greatest(one, other)
 
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("least"), F.max("id").alias("top"))
+    # Buckets of the same texts say the same: one of them stays, known by its count and two sums of hashes.
+    hashed = F.xxhash64("id")
+    shared = (
+        buckets.groupBy("bucket").agg(
+            F.min(F.struct("id", "size")).alias("least"),
+            F.max("id").alias("top"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).alias("low"),
+            F.sum(F.shiftrightunsigned(hashed, 32)).alias("high"),
+        )
+        .filter(F.col("least.id") < F.col("top"))
+        .dropDuplicates(["n", "low", "high"])
+        .select("bucket", "least")
+    )
+    # The choice among equal buckets is made once.
+    shared = stored(shared)
     with_least = stored(
-        buckets.join(shared.filter(F.col("least.id") < F.col("top")), "bucket")
+        buckets.join(shared, "bucket")
         .select("bucket", "id", "size", F.col("least.id").alias("a"), F.col("least.size").alias("a_size"))
     )
     votes = (
