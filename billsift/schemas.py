@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names and types of the stored tables.
 MONEY = T.DecimalType(14, 2)
 QUANTITY = T.DecimalType(12, 3)
 PERCENT = T.DecimalType(5, 2)
