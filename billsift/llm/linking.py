@@ -3,8 +3,8 @@
 Two texts that share a bucket are compared exactly unless they are connected already. First every text
 is compared with one other, the smallest of the bucket it shares most with; then with the
 smallest of each bucket whose component differs; what then still shares a bucket across components is
-compared in full (or, if asked, with the smallest of each component). A group of copies is therefore joined
-by one comparison per copy, and no link between components is lost.
+compared in full. A group of copies is therefore joined by one comparison per copy, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -76,13 +76,12 @@ def linked(
     percent: int,
     possible: Callable[[DataFrame], DataFrame],
     size_percent: int | None = None,
-    heads_only: bool = False,
 ) -> DataFrame:
     """(node, root) of every text with a link.
 
     buckets: (bucket, id, size); a pair is compared only if the smaller size has ``size_percent`` of the larger,
-    by default what the similarity asks for. With ``heads_only`` the last turn compares a text with the smallest of
-    each other component of its bucket only: enough where buckets are a matter of chance themselves. ``possible`` may drop pairs (a, b) that cannot be similar, ``fetch`` gives (id, text) for ids.
+    by default what the similarity asks for. ``possible`` may drop pairs (a, b) that cannot be similar, ``fetch`` gives
+    (id, text) for ids.
     """
 
     def fits(one: str, other: str) -> Column:
@@ -139,17 +138,12 @@ def linked(
         .select("bucket", "id", "size", "root")
     )
     one = open_rows.select("bucket", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    others = open_rows
-    if heads_only:
-        others = open_rows.groupBy("bucket", "root").agg(F.min(F.struct("id", "size")).alias("head")).select(
-            "bucket", "head.id", "head.size", "root"
-        )
-    two = others.select("bucket", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
+    two = open_rows.select("bucket", F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
     crossing = (
         one.join(two, "bucket")
-        .filter(F.col("a_root") != F.col("b_root") if heads_only else F.expr("a < b and a_root <> b_root"))
+        .filter("a < b and a_root <> b_root")
         .filter(fits("a_size", "b_size"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .select("a", "b")
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )

@@ -115,6 +115,42 @@ def test_line_dedup(clashing, corpus, none):
     assert line_dedup.removals(none).count() == 0 and line_dedup.cleaned(none).count() == 0
 
 
+def test_line_dedup_links_inner_members(spark, monkeypatch):
+    """Two groups of edited copies in one bucket that a single pair connects, neither line of it a group's first."""
+    real = line_dedup.signatures
+
+    def signed(lines):
+        banded, agreed = real(lines)
+        for n, line in enumerate(lines):
+            banded[n] = shingle_join.mixed(np.arange(banded.shape[1], dtype=np.uint64) + np.uint64(zlib.crc32(line.encode()) << 8))
+            banded[n, 0] = ord(line[0])
+            if sum(c.isdigit() for c in line) > 2:
+                banded[n, 1] = 1000 + ord(line[0])
+        return banded, agreed * np.uint8(0)
+
+    monkeypatch.setattr(line_dedup, "signatures", signed)
+    r = random.Random(11)
+    texts = {}
+    for family in range(12):
+        letters = [chr(ord("a") + family), *(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(99))]
+        spots = list(range(5, 95, 5))
+        r.shuffle(spots)
+        p, q, u, s, *rest = spots
+        edits = [(), (p,), (p, q, u), (p, q, u, s)]
+        edits += [(e,) for e in rest[:7]] + [(p, q, u, s, e) for e in rest[7:]]
+        r.shuffle(edits)
+        for n, places in enumerate(edits):
+            line = list(letters)
+            for at in places:
+                line[at] = str(at % 10)
+            texts[family * 100 + n] = "".join(line)
+    expected = brute.removed_lines({(True, d): t for d, t in texts.items()})
+    assert len(expected) == 12 * 17
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    found = {x["doc_id"]: x["n_removed"] for x in line_dedup.removals(frame).collect()}
+    assert found == {d: len(expected.get((True, d), [])) for d in texts}
+
+
 def test_repeated_passages(clashing, corpus, none):
     # Repeated rows are copies of each other, so each row counts.
     texts = {n: t for n, (_, t, _, _) in enumerate(corpus)}
