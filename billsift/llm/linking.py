@@ -75,17 +75,16 @@ def linked(
     grams: Grams,
     percent: int,
     possible: Callable[[DataFrame], DataFrame],
-    size_percent: int | None = None,
 ) -> DataFrame:
     """(node, root) of every text with a link.
 
-    buckets: (bucket, id, size); a pair is compared only if the smaller size has ``size_percent`` of the larger,
-    by default what the similarity asks for. ``possible`` may drop pairs (a, b) that cannot be similar, ``fetch`` gives
+    buckets: (bucket, id, size); a pair is compared only if the smaller size has the share of the larger that
+    the similarity asks for. ``possible`` may drop pairs (a, b) that cannot be similar, ``fetch`` gives
     (id, text) for ids.
     """
 
     def fits(one: str, other: str) -> Column:
-        return 100 * F.least(one, other) >= (size_percent or percent) * F.greatest(one, other)
+        return 100 * F.least(one, other) >= percent * F.greatest(one, other)
 
     # Buckets of the same texts say the same: one of them stays, known by its count and two sums of hashes.
     hashed = F.xxhash64("id")

@@ -151,6 +151,23 @@ def test_line_dedup_links_inner_members(spark, monkeypatch):
     assert found == {d: len(expected.get((True, d), [])) for d in texts}
 
 
+def test_line_dedup_of_repeated_phrases(spark):
+    """Lines of very different lengths with the same shingles."""
+    r = random.Random(12)
+    phrase = "".join(r.choice("abcdefgh ") for _ in range(60)).strip() + "; "
+    texts = [
+        "-" * 40 + "\n" + "-" * 80 + "\n-----", "ha " * 9 + "ha", "HA " * 30 + "ha", "+---" * 5 + "+\n" + "+---" * 20 + "+",
+        phrase * 2, phrase * 5, phrase, "a" * 6 + "b", "a" * 9 + "c", "ab" * 4, "ab" * 400,
+    ]
+    lines = [line_dedup.normalized(s) for t in texts for s in t.split("\n")]
+    assert line_dedup.distinct_counts(lines).tolist() == [len(line_dedup.grams(s)) for s in lines]
+    expected = brute.removed_lines({(True, n): t for n, t in enumerate(texts)})
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = {x["doc_id"]: x["removed_lines"] for x in line_dedup.removals(frame).collect()}
+    assert expected[(True, 0)] == [1, 2] and expected[(True, 2)] == [0] and expected[(True, 5)] == [0]
+    assert found == {n: ",".join(map(str, expected.get((True, n), []))) for n in range(len(texts))}
+
+
 def test_repeated_passages(clashing, corpus, none):
     # Repeated rows are copies of each other, so each row counts.
     texts = {n: t for n, (_, t, _, _) in enumerate(corpus)}
