@@ -3,8 +3,9 @@
 Largest inner product becomes smallest Euclidean distance: vectors are divided by the largest norm and get one more
 component that fills them up to length one, queries are divided by their own norm and get a zero there.
 ``PROJECTIONS`` Gaussian projections, cut into cells of width ``WIDTH``, give the bucket of a vector in each of
-``TABLES`` tables. Of a neighbour with the expected similarity c each projection is normally distributed about c
-times the query's, so every bucket has an estimated chance to hold it. A query visits a table's buckets in
+``TABLES`` tables. Of a neighbour with the similarity c that the query's own scores against a sample let expect,
+each projection is normally distributed about c times the query's, so every bucket has an estimated chance to hold
+it. A query visits a table's buckets in
 the order of that chance until they add up to ``SUCCESS``. What the tables find is merged and scored exactly.
 
 Buckets are split into blocks of ``BLOCK`` vectors, queries go to every block of their buckets, and a task
@@ -33,7 +34,7 @@ WIDTH = 2.0
 #: Estimated chance, per table, that a neighbour is in a visited bucket. Neighbours closer than estimated are found
 #: more often.
 SUCCESS = 0.86
-#: Rows that may be read to estimate the similarity of neighbours.
+#: Rows that queries are scored against to estimate the similarity of their neighbours.
 SAMPLE = 1000
 BLOCK = 4096
 SEED = 20
@@ -62,10 +63,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
 class Tables:
     """The projections, the same for every task."""
 
-    def __init__(self, dimension: int, largest: float, similarity: float):
+    def __init__(self, dimension: int, largest: float, sample: np.ndarray, total: int, k: int):
         random = np.random.default_rng(SEED)
         self.largest = largest
-        self.similarity = similarity
+        self.sample = sample
+        self.total = total
+        self.k = k
         self.directions = random.standard_normal((TABLES, dimension + 1, PROJECTIONS))
         self.offsets = random.random((TABLES, PROJECTIONS)) * WIDTH
 
@@ -88,10 +91,11 @@ class Tables:
     def probes(self, query: np.ndarray) -> np.ndarray:
         """Buckets a query visits, likeliest first within each table."""
         unit = query / math.sqrt(float(query @ query))
-        spread = math.sqrt(max(1e-6, 1.0 - self.similarity**2))
+        similarity = _similarity(query, self.sample, self.largest, self.total, self.k)
+        spread = math.sqrt(max(1e-6, 1.0 - similarity**2))
         out = []
         for t in range(TABLES):
-            middle = self.similarity * (unit @ self.directions[t][:-1])
+            middle = similarity * (unit @ self.directions[t][:-1])
             chances = np.ones(1)
             for k in range(PROJECTIONS):
                 cuts = (np.arange(_LOWEST + 1, _HIGHEST + 1) * WIDTH - self.offsets[t][k] - middle[k]) / spread
@@ -104,18 +108,20 @@ class Tables:
         return np.concatenate(out)
 
 
-def _similarity(sample: np.ndarray, largest: float, total: int, k: int) -> float:
-    """Similarity that the k nearest of ``total`` exceed, from the spread of the sample's scores."""
-    if len(sample) < 10:
-        return 0.1
-    queries = sample[:: max(1, len(sample) // 100)]
-    scores = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (sample / largest).T
-    scores = scores[np.abs(scores - 1.0) > 1e-9]
-    if len(scores) < 10:
+def _similarity(query: np.ndarray, sample: np.ndarray, largest: float, total: int, k: int) -> float:
+    """Similarity that the k nearest of ``total`` to the query exceed, from the query's scores against the sample.
+
+    The lower of two estimates, since scores of vectors in clusters have more than one peak: by mean and spread, and
+    the sample's score at the same share from the top.
+    """
+    others = sample[(sample != query).any(axis=1)]
+    if len(others) < 10:
         return 0.1
+    scores = np.sort(others @ (query / (math.sqrt(float(query @ query)) * largest)))
     share = min(0.5, k / max(k + 1, total))
     normal = float(scores.mean() + scores.std() * NormalDist().inv_cdf(1.0 - share))
-    return min(0.9, max(0.1, normal))
+    ranked = float(scores[-min(len(scores), max(1, math.ceil(share * len(scores))))])
+    return min(0.9, max(0.1, min(normal, ranked)))
 
 
 def _merged(query: np.ndarray, entry: np.ndarray, score: np.ndarray, k: int) -> list[np.ndarray]:
@@ -154,10 +160,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
     if not norms["rows"]:
         return spark.createDataFrame([], schema)
     sample = entries.orderBy(F.xxhash64("entry")).limit(SAMPLE).select("embedding").toArrow().column(0)
-    tables = Tables(
-        norms["n"], norms["norm"],
-        _similarity(_matrix(sample.combine_chunks()), norms["norm"], norms["rows"], k),
-    )
+    tables = Tables(norms["n"], norms["norm"], _matrix(sample.combine_chunks()), norms["rows"], k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -208,6 +208,24 @@ def test_previous_factors_of_periodic_text():
             seen.add(text[i : i + repeats.LENGTH])
 
 
+def test_nearest_vectors_of_clusters(spark):
+    """Queries outside a tight cluster of a third of the vectors find theirs as well."""
+    r = np.random.default_rng(6)
+    matrix = r.standard_normal((2000, 64))
+    matrix[r.permutation(2000)[:666]] = r.standard_normal(64) + 0.1 * r.standard_normal((666, 64))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(matrix)], "vec_id bigint, embedding array<double>")
+    found = defaultdict(set)
+    for x in ann.nearest(frame, F.col("vec_id") % 40 == 0).collect():
+        found[x["query_id"]].add(x["vec_id"])
+    recall = []
+    for q in range(0, 2000, 40):
+        scores = matrix @ matrix[q]
+        scores[q] = -9
+        recall.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
+
+
 def test_nearest_vectors(spark):
     r = np.random.default_rng(1)
     matrix = r.standard_normal((600, 16)) * r.uniform(0.5, 2.0, (600, 1))
