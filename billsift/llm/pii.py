@@ -149,11 +149,12 @@ def revealing(texts: DataFrame, found: DataFrame) -> DataFrame:
         .filter(F.col("contexts") >= SUPPORT)
     )
     candidates = stored(pairs.join(per_entity, "entity"))
+    # Documents, entities and terms are all counted by distinct texts.
     per_term = (
-        texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+        texts.dropDuplicates(["text_key"]).select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     )
-    total = texts.count()
+    total = texts.select("text_key").distinct().count()
     told = F.log(F.lit(float(total)) * F.col("both") / (F.col("entity_docs") * F.greatest("term_docs", "both"))) / F.log(
         F.lit(float(total)) / F.col("entity_docs")
     )

@@ -328,6 +328,18 @@ def test_revealing_terms(spark):
     assert clean[12][0]["text"] == rows[8][1]
 
 
+def test_revealing_terms_of_copied_texts(spark):
+    """Copies of a text are one text for the entity, its terms and the total."""
+    text = "of the day: zanzibarium wrote to anna.b@example.org today number1"
+    rows = [(n, text) for n in range(40)] + [(50, text.replace("number1", "number2"))]
+    rows += [(100 + n, f"the day was notes today wrote number{n}") for n in range(60)]
+    found = by_id(pii.reported(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for d, text in rows:
+        start = text.find("zanzibarium")
+        assert (f"term:{start}:{start + 11}" in found[d][0]["spans"]) == (start >= 0)
+        assert found[d][0]["n_term"] == int(start >= 0)
+
+
 def test_edit_counts(spark, clashing, corpus, none, library):
     def size(text):
         return len(library.encode(text, add_special_tokens=False).ids)
