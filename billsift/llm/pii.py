@@ -30,9 +30,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words on either side of a value that count as its context, and the characters they are looked for in.
+#: Words on either side of a value that count as its context.
 CONTEXT_WORDS = 5
-CONTEXT_CHARS = 120
 SUPPORT = 2
 GENERALISE = 0.85
 REMOVE = 0.95
@@ -67,15 +66,14 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _placed(rows: DataFrame, keys: list[str], values: str, gaps: str) -> DataFrame:
-    """One row per match with its place; ``values`` are the matches, ``gaps`` the texts around them."""
+    """One row per match with its place and the text before it; ``values`` are the matches, ``gaps`` the texts around
+    them. The last row of a text has no value."""
     zipped = rows.select(*keys, F.posexplode(F.arrays_zip(F.col(values).alias("value"), F.col(gaps).alias("gap")))
                          .alias("nth", "pair")).select(*keys, "nth", "pair.value", "pair.gap")
     order = Window.partitionBy(*keys).orderBy("nth")
     upto = F.sum(F.length("gap") + F.coalesce(F.length("value"), F.lit(0))).over(order)
     return (
         zipped.withColumn("end", upto.cast("bigint"))
-        .withColumn("after", F.lead("gap").over(order))
-        .filter("value is not null")
         .withColumn("start", F.col("end") - F.length("value"))
     )
 
@@ -94,7 +92,8 @@ def _holds(kind: str) -> Column:
 def findings(texts: DataFrame) -> DataFrame:
     """doc_id, text_key, kind_no, start, end, value, before, after for every base span of the documents.
 
-    ``before`` and ``after`` are the neighbouring characters, as far as the span's kind has none in between.
+    ``before`` and ``after`` are the neighbouring words, nearest first, as far as the span's kind has none in between.
+    A match that is not valid is ordinary text.
     """
     matched = texts.withColumns({
         k: F.when(_holds(k), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))) for k in KINDS
@@ -108,12 +107,31 @@ def findings(texts: DataFrame) -> DataFrame:
     rows = per_kind.select("doc_id", "text_key", "m.kind_no", "m.found", "m.gaps").dropDuplicates(
         ["doc_id", "text_key", "kind_no"]
     )
-    placed = _placed(rows, ["doc_id", "text_key", "kind_no"], "found", "gaps")
+    keys = ["doc_id", "text_key", "kind_no"]
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind_no") + 1)
-    return placed.filter(_valid(kind, F.col("value"))).select(
-        "doc_id", "text_key", "kind_no", "start", "end", "value",
-        F.substring("gap", -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
-        F.substring("after", 1, CONTEXT_CHARS).alias("after"),
+    order = Window.partitionBy(*keys).orderBy("nth")
+    earlier = F.sum(F.col("valid").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = (
+        _placed(rows, keys, "found", "gaps")
+        .withColumn("valid", F.col("value").isNotNull() & F.coalesce(_valid(kind, F.col("value")), F.lit(False)))
+        .withColumn("taken", F.max("valid").over(Window.partitionBy(*keys)))
+        .filter("taken")
+        .withColumn("stretch", F.coalesce(earlier, F.lit(0)))
+    )
+    # A stretch is the text up to a valid span or to the end.
+    piece = F.when(F.col("valid") | F.col("value").isNull(), F.col("gap")).otherwise(F.concat("gap", "value"))
+    stretches = placed.groupBy(*keys, "stretch").agg(
+        F.array_sort(F.collect_list(F.struct("nth", piece.alias("piece")))).alias("pieces"),
+        F.max(F.when(F.col("valid"), F.struct("start", "end", "value"))).alias("span"),
+    ).select(*keys, "stretch", "span", _words(F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).alias("near"))
+    onward = Window.partitionBy(*keys).orderBy("stretch")
+    return (
+        stretches.withColumn("after", F.lead(F.slice("near", 1, CONTEXT_WORDS)).over(onward))
+        .filter("span is not null")
+        .select(
+            *keys, "span.start", "span.end", "span.value",
+            F.slice(F.reverse("near"), 1, CONTEXT_WORDS).alias("before"), "after",
+        )
     )
 
 
@@ -131,14 +149,7 @@ def _words(text: Column) -> Column:
 
 def revealing(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, told): terms next to an entity that tell ``GENERALISE`` of it or more."""
-    # The outermost word on a side may be cut off by the limit of characters.
-    before = F.when(
-        F.length("before") < CONTEXT_CHARS, F.col("before")
-    ).otherwise(F.regexp_replace("before", r"^[\p{L}\p{N}]++", ""))
-    after = F.when(
-        F.length("after") >= CONTEXT_CHARS, F.regexp_replace("after", r"[\p{L}\p{N}]+$", "")
-    ).otherwise(F.coalesce("after", F.lit("")))
-    near = F.concat(F.slice(F.reverse(_words(before)), 1, CONTEXT_WORDS), F.slice(_words(after), 1, CONTEXT_WORDS))
+    near = F.concat("before", "after")
     contexts = found.select("text_key", _entity().alias("entity"), F.array_distinct(near).alias("near"))
     per_entity = contexts.groupBy("entity").agg(F.count_distinct("text_key").alias("entity_docs"))
     pairs = (

@@ -340,6 +340,18 @@ def test_revealing_terms_of_copied_texts(spark):
         assert found[d][0]["n_term"] == int(start >= 0)
 
 
+def test_revealing_terms_beside_other_numbers(spark):
+    """Numbers that are no card, and long words, do not end the context of one."""
+    long = "zanzibarium" * 12
+    rows = [(n, f"note{n} quaggaville 2024 card 4111 1111 1111 1111 until 12 2031 {long} number{n}") for n in range(4)]
+    rows += [(10 + n, f"the card was 2024 until 12 2031 number{n}") for n in range(60)]
+    found = by_id(pii.reported(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    for d, text in rows:
+        written = [f"term:{text.find(t)}:{text.find(t) + len(t)}" for t in ("quaggaville", long) if t in text]
+        assert [s for s in found[d][0]["spans"].split(",") if s.startswith("term")] == written
+        assert found[d][0]["n_card"] == len(written) // 2
+
+
 def test_edit_counts(spark, clashing, corpus, none, library):
     def size(text):
         return len(library.encode(text, add_special_tokens=False).ids)
