@@ -107,3 +107,60 @@ reach AS (SELECT a AS doc_id, a AS seen FROM edges UNION SELECT reach.doc_id, ed
 root AS (SELECT doc_id, min(seen) AS root FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)"""
+
+
+def turn_repair() -> str:
+    """Cheapest repairs from the last row of a conversation to its first, with their letters and lines."""
+
+    def edit(after: str, letter: str, cost: str, line: str, allowed: str) -> str:
+        return (f"{{'c': {after}.c + {cost} + CASE WHEN {allowed} THEN 0 ELSE 1000000000 END, "
+                f"'a': '{letter}' || {after}.a, 't': {line} || {after}.t}}")
+
+    def line(role: str, text: str) -> str:
+        return f"chr(10) || {role} || ':' || {text}"
+
+    def options(state: int) -> str:
+        following, who = ("s3", "assistant") if state == 2 else ("s2", "user")
+        found = [edit(f"s{state}", "D", "2", "''", "true")]
+        for letter in {0: "su", 1: "u", 2: "a", 3: "u"}[state]:
+            after = "s1" if letter == "s" else following
+            found.append(edit(after, "K", "more", line("role", "text"), f"open AND role[1] = '{letter}'"))
+        found.append(edit(following, "R", "1 + more", line(f"'{who}'", "text"), "open"))
+        return f"list_sort([{', '.join(found)}])[1] AS b{state}"
+
+    def inserted(state: int) -> str:
+        following, who = ("b3", "assistant") if state == 2 else ("b2", "user")
+        return f"list_sort([b{state}, {edit(following, 'I', '5', line(repr(who), repr('')), 'true')}])[1] AS s{state}"
+
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split({key}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda acc, b:
+        list_reduce(range(8), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)), xor(acc, b)), 4294967295), 4294967295) % 20 AS fate
+    FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM hurt),
+marked AS (SELECT conv_id, turn, role, text, n, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair FROM placed),
+told AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS open, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM marked),
+walk AS (SELECT conv_id, max(n) AS n, {{'c': 0, 'a': '', 't': ''}} AS s0,
+    {{'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s1,
+    {{'c': 5, 'a': 'I', 't': chr(10) || 'assistant:'}} AS s2, {{'c': 0, 'a': '', 't': ''}} AS s3 FROM told GROUP BY conv_id
+    UNION ALL
+    SELECT conv_id, n - 1, {', '.join(inserted(s) for s in range(4))} FROM (
+        SELECT w.conv_id, w.n, {', '.join(options(s) for s in range(4))}
+        FROM walk w JOIN told t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.n = t.n)),
+best AS (SELECT conv_id, s0 FROM walk WHERE n = 0),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost,
+    coalesce(s0.a, '') AS audit, sha256(substr(coalesce(s0.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts f ON i.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN best b ON i.conv_id IS NOT DISTINCT FROM b.conv_id"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -130,3 +131,53 @@ def mix_targets(sizes: dict, weights=(5, 2, 1), most: int = 3) -> dict:
             left -= target[s]
             free.discard(s)
     return target
+
+
+def repaired_conversation(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of rows (turn, role, text) in order."""
+    gap = " \t\n\x0b\x0c\r"
+    seen, faults = set(), []
+    for _, role, text in rows:
+        rest = text.rstrip(gap)
+        faults.append("blank" if not rest else "duplicate" if (role, text) in seen else "truncated" if rest[-1] not in ".!?" else "")
+        seen.add((role, text))
+    step = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    role_of = {"u": "user", "a": "assistant"}
+    # Best (cost, audit, repaired lines) to the end from each state, from the last row to the first.
+    def inserted(best):
+        for _ in range(4):
+            for s in range(4):
+                for who in "ua":
+                    if (s, who) in step:
+                        c, a, out = best[step[s, who]]
+                        best[s] = min(best[s], (c + 5, "I" + a, (role_of[who] + ":", *out)))
+        return best
+
+    worst = (10**9, "", ())
+    best = inserted([(0, "", ()), worst, worst, (0, "", ())])
+    for (_, role, text), fault in reversed(list(zip(rows, faults, strict=True))):
+        after, best = best, []
+        for s in range(4):
+            c, a, out = after[s]
+            options = [(c + 2, "D" + a, out)]
+            if fault not in ("blank", "duplicate"):
+                more = 5 * (fault == "truncated")
+                if (s, role[:1]) in step:
+                    c, a, out = after[step[s, role[:1]]]
+                    options.append((c + more, "K" + a, (f"{role}:{text}", *out)))
+                for who in "ua":
+                    if (s, who) in step:
+                        c, a, out = after[step[s, who]]
+                        options.append((c + 1 + more, "R" + a, (f"{role_of[who]}:{text}", *out)))
+            best.append(min(options))
+        best = inserted(best)
+    turns = [t for t, _, _ in rows if t is not None]
+    marks = [role[:1] for _, role, _ in rows]
+    return (
+        max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0,
+        *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+        sum(a + b not in ("su", "ua", "au") for a, b in zip(marks, marks[1:], strict=False)),
+        best[0][0],
+        best[0][1],
+        hashlib.sha256("\n".join(best[0][2]).encode()).hexdigest(),
+    )
