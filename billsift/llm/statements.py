@@ -142,9 +142,11 @@ hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS r
     CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM keyed WHERE fate <> 0),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM hurt),
-marked AS (SELECT conv_id, turn, role, text, n, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+marked AS (SELECT conv_id, turn, role, text, n, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault,
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair FROM placed),
 told AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS open, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM marked),
 walk AS (SELECT conv_id, max(n) AS n, {{'c': 0, 'a': '', 't': ''}} AS s0,
@@ -164,3 +166,22 @@ SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
     coalesce(s0.a, '') AS audit, sha256(substr(coalesce(s0.t, ''), 2)) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts f ON i.conv_id IS NOT DISTINCT FROM f.conv_id
 LEFT JOIN best b ON i.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
+def ranked_search(top: int = 50) -> str:
+    """Scores by joining the items' terms with the documents' counts."""
+    terms = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS words FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT DISTINCT i, item_id, unnest({terms}) AS term FROM i),
+tf AS (SELECT r, doc_id, len(words) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, words, unnest(words) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, docs),
+p AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // total)))))
+        AS BIGINT) AS score
+    FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= {top}"""

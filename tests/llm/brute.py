@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -181,3 +182,30 @@ def repaired_conversation(rows):
         best[0][1],
         hashlib.sha256("\n".join(best[0][2]).encode()).hexdigest(),
     )
+
+
+def ranked_documents(docs, items, top):
+    """Rows (item_id, rank, doc_id, score) of distinct items over documents (doc_id, text)."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    lower = {c: c + 32 for c in range(65, 91)}
+
+    def terms(text):
+        return word.findall((text or "").translate(lower))
+
+    counts = [(d, Counter(terms(t))) for d, t in docs]
+    counts = [(d, c) for d, c in counts if c]
+    n_docs, total = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in dict.fromkeys(items):
+        scored = []
+        for d, c in counts:
+            m = 100 - 50 + (50 * sum(c.values()) * n_docs) // total
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * m))
+                for t in set(terms(text)) if t in c
+            )
+            if score > 0:
+                scored.append((-score, d is None, d or 0, d))
+        out += [(item, n, d, -s) for n, (s, _, _, d) in enumerate(sorted(scored)[:top], 1)]
+    return out
