@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, pii, quality, ranked, repeats, shingle_join, statements, turns
+from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, packing, pii, quality, ranked, repeats, shingle_join, statements, turns
 from billsift.llm.common import table
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -56,6 +57,10 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op11_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digests(packing.packed(table(spark, folder, "documents"), BYTE_VOCABULARY))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -67,7 +72,7 @@ def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_repeated_passages, op3_bpe_coding, op4_nearest_vectors, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix, op12_ranked_search, op13_turn_repair)
+    for f in (op1_line_dedup, op2_repeated_passages, op3_bpe_coding, op4_nearest_vectors, op5_packed_ids, op6_quality_rules, op7_personal_data, op8_edit_counts, op9_shingle_join, op10_source_mix, op11_retrieval_packing, op12_ranked_search, op13_turn_repair)
 }
 
 STATEMENTS: dict[str, str] = {
