@@ -103,7 +103,7 @@ class Tables:
         return self.book.item_copies()
 
     def scan_rows(self):
-        return duplicates.scan_rows(self.copies(), self.copy_items())
+        return self._once("scan_rows", lambda: duplicates.scan_rows(self.copies(), self.copy_items()))
 
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that is stored in practice, written once per query."""
@@ -275,6 +275,13 @@ def _rescored(t: Tables) -> DataFrame:
     return duplicates.rescore(t.pairs(), t.prior(), assessed)
 
 
+def _first_scores(t: Tables) -> DataFrame:
+    """Scores of a first scan, without a list of its pairs."""
+    assessed = rules.assess(t.copies(), t.copy_items(), t.vendors(), AS_OF)
+    none = t.scan_rows().limit(0).select(F.lit("").alias("validation_type"), F.col("id").alias("a_id"), F.col("id").alias("b_id"))
+    return duplicates.scan_scores(t.scan_rows(), none, assessed)
+
+
 def _current_state(t: Tables) -> DataFrame:
     scores = _rescored(t).filter(F.col("risk_score") > 20)
     return sinks.with_current_state(t.copies(), scores).select("invoice_id", "status", "risk_score")
@@ -462,9 +469,10 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "d14_pairs": lambda t: t.pairs().select(
         "a_id", "b_id", "level", "validation_type", "severity", "confidence", "penalty", "similarity"),
     "d15_batch_scan": _batch_scan,
-    "d16_findings": lambda t: t.pair_findings().drop("group_size"),
+    "d16_findings": lambda t: t.pair_findings(),
     "d18_prior_pairs": lambda t: t.prior(),
     "d19_rescore": _rescored,
+    "d19_scan_scores": _first_scores,
     "d20_scan_summary": lambda t: duplicates.scan_summary(t.scan_rows()),
     "d20_batch_scan_summary": _batch_scan_summary,
     "d21_pair_listing": lambda t: duplicates.order_listing(t.listing()).withColumn(
@@ -494,7 +502,7 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "v03_status_distribution": lambda t: dashboard.status_distribution(t.invoice_rows()),
     "v04_vendor_profile": lambda t: dashboard.ranked_vendors(dashboard.vendor_profile(t.invoice_rows())),
     "v05_risk_buckets": lambda t: dashboard.risk_buckets(t.invoice_rows()),
-    "v06_duplicate_levels": lambda t: dashboard.duplicate_levels(t.listing()),
+    "v06_duplicate_levels": lambda t: dashboard.measured_levels(duplicates.pair_measures(t.scan_rows())),
     "v07_executive_kpis": lambda t: dashboard.executive_kpis(
         t.invoice_rows(), t.batches(), duplicates.pair_totals(t.scan_rows())),
     "v08_executive_shares": lambda t: dashboard.executive_shares(t.invoice_rows()),
@@ -503,7 +511,8 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "v10_vendor_heat": lambda t: dashboard.vendor_heat(dashboard.vendor_profile(t.invoice_rows())),
     "v10_vendor_ranking": lambda t: dashboard.vendor_ranking(dashboard.vendor_profile(t.invoice_rows())),
     "v11_validation_kpis": lambda t: dashboard.validation_kpis(t.invoice_rows()),
-    "v12_duplicate_kpis": lambda t: dashboard.duplicate_kpis(dashboard.duplicate_levels(t.listing())),
+    "v12_duplicate_kpis": lambda t: dashboard.duplicate_kpis(
+        dashboard.measured_levels(duplicates.pair_measures(t.scan_rows()))),
     "v13_audit_kpis": lambda t: dashboard.audit_kpis(t.batches()),
     "v14_landing_kpis": lambda t: dashboard.landing_kpis(t.invoice_rows()),
     "v15_flagged_invoices": lambda t: dashboard.flagged_invoices(t.invoice_rows()),

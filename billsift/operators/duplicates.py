@@ -9,23 +9,25 @@ lowest level of a pair wins:
 4 DATE    same vendor, amount, <= 3 days   -> as level 2
 5 ITEM    same company and line items      -> key (company, item fingerprint)
 
-Hot groups. Rows that agree on a whole key are first counted with a combining
-aggregate. Up to ``max_group`` scanned members, all pairs of the group are listed.
-A larger group is listed as one row per member against the group's anchor together
-with the group size, which describes the same set of pairs in linear space. Scores
-stay exact because a member of such a group has more partners than the cap of 100
-can absorb, and ``pair_totals`` counts all pairs from group sizes.
+Three ways to use the relation:
+
+* ``duplicate_pairs`` lists every pair, for groups of any size; the members of a large
+  group are dealt to many tasks.
+* ``pair_measures`` keeps the relation in factors: groups and pairs of cells with their
+  sizes. Counts come from the sizes, the amount of the lower id from ranks inside a
+  group, both in linear space.
+* ``scan_scores`` charges penalties from lists only where an invoice has few partners;
+  a handful of partners reaches the cap of 100 whatever their levels.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billsift.functions import money, similarity, text
-from billsift.functions.frames import beside
 from billsift.operators import near, rules
 from billsift.session import cut_lineage
 
@@ -41,9 +43,10 @@ AMOUNT_TOLERANCE = Decimal("0.01")
 NEAR_AMOUNT_TOLERANCE = Decimal("1.00")
 DATE_WINDOW_DAYS = 3
 
-MAX_GROUP = 100
-# A group counts as large only when its members certainly reach the score cap.
-_SATURATING_PARTNERS = -(-100 // min(level[3] for level in LEVELS.values()))
+# So many partners reach the score cap at any level.
+SATURATING_PARTNERS = -(-100 // min(level[3] for level in LEVELS.values()))
+#: Members of a group that one task meets with the others of the group.
+MEMBERS_PER_TASK = 512
 
 # Bucket widths: a row reaches at most two buckets in each direction.
 _CENT_BUCKET = 5
@@ -219,19 +222,73 @@ def _attach(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(side, condition).drop(*[f"_key_{k}" for k in keys])
 
 
-def _pair_columns(x: Column, y: Column, level: Column, size: Column) -> list[Column]:
+def _pair_columns(x: Column, y: Column, level: Column, saturated: Column) -> list[Column]:
     return [
         F.least(x, y).alias("a_id"),
         F.greatest(x, y).alias("b_id"),
         level.cast("int").alias("level"),
-        size.cast("bigint").alias("group_size"),
+        saturated.alias("saturated"),
     ]
 
 
-def _pairs_in_groups(rows: DataFrame, keys: list[str], level: int, max_group: int) -> DataFrame:
+def _more(size: Column, most: int | None) -> Column:
+    """Whether a side is too large to be listed; without a limit none is."""
+    return F.lit(False) if most is None else size > most
+
+
+def _tasks(size: Column) -> Column:
+    return F.ceil(size / MEMBERS_PER_TASK).cast("int")
+
+
+def _dealt(member: Column, tasks: Column) -> Column:
+    return F.pmod(F.xxhash64(member), tasks)
+
+
+def _all_tasks(tasks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part")
+
+
+def _side_pairs(live: DataFrame, x: Column, y: Column, n_x: Column, n_y: Column, level: int,
+                most: int | None) -> DataFrame:
+    """Pairs of a member of side x and one of side y, per group ``cell``; side x lies in side y or beside it.
+
+    With a limit, groups in which both sides are larger give one row per member and an anchor instead:
+    all their members reach the cap.
+    """
+    large = _more(F.least(n_x, n_y), most)
+    tasks = _tasks(n_x)
+    flagged = live.withColumns({"in_x": x, "in_y": y, "large": large, "tasks": tasks})
+    small = flagged.filter(~F.col("large") & (F.col("tasks") > 0))
+    xs = small.filter("in_x").select("cell", F.col("id").alias("x"), _dealt(F.col("id"), F.col("tasks")).alias("part"))
+    ys = small.filter("in_y").select("cell", F.col("id").alias("y"), "in_x", _all_tasks(F.col("tasks")))
+    once = (F.col("x") < F.col("y")) | (~F.col("in_x") & (F.col("x") != F.col("y")))
+    listed = xs.join(ys, ["cell", "part"]).filter(once).select(
+        *_pair_columns(F.col("x"), F.col("y"), F.lit(level), F.lit(False))
+    )
+    if most is None:
+        return listed
+    big = flagged.filter("large and (in_x or in_y)")
+    anchors = big.groupBy("cell").agg(
+        F.min(F.when(F.col("in_x"), F.col("id"))).alias("x_anchor"),
+        F.min(F.when(F.col("in_y"), F.col("id"))).alias("y_anchor"),
+    )
+    partner = F.when(F.col("in_y"), F.col("x_anchor")).otherwise(F.col("y_anchor"))
+    star = big.join(anchors, "cell").filter(F.col("id") != partner)
+    return listed.unionByName(star.select(*_pair_columns(F.col("id"), partner, F.lit(level), F.lit(True))))
+
+
+def _same_cell_pairs(rows: DataFrame, cells: DataFrame, keys: list[str], level: int,
+                     most: int | None) -> DataFrame:
+    """Pairs with a scanned side among the rows of a cell."""
+    stats = cells.filter((F.col("n") > 1) & (F.col("n_scanned") > 0))
+    live = _attach(rows.select("id", "scanned", *keys), stats, keys)
+    return _side_pairs(live, F.col("scanned"), F.lit(True), F.col("n_scanned"), F.col("n"), level, most)
+
+
+def _pairs_in_groups(rows: DataFrame, keys: list[str], level: int, most: int | None) -> DataFrame:
     """Pairs among rows equal on ``keys``, none of them null."""
     known = rows.dropna(subset=keys)
-    return _same_cell_pairs(known, _group_stats(known, keys), keys, level, max_group)
+    return _same_cell_pairs(known, _group_stats(known, keys), keys, level, most)
 
 
 _BAND_CELL = ["company_id", "vendor_id", "cents", "day"]
@@ -284,153 +341,153 @@ def _adjacent_cells(cells: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def _expand_cells(cell_pairs: DataFrame, rows: DataFrame, cell_keys: list[str],
-                  stats: DataFrame, max_group: int) -> DataFrame:
+                  stats: DataFrame, most: int | None) -> DataFrame:
     """Member pairs of adjacent cells.
 
-    Single-member cells need no lookup. A large cell is represented by its anchor.
+    Single-member cells need no lookup. With a limit a larger cell is represented by its anchor: its own
+    members reach the cap inside it.
     """
-    a_large, b_large = F.col("a_n_scanned") > max_group, F.col("b_n_scanned") > max_group
-    a_whole, b_whole = a_large | (F.col("a_n") == 1), b_large | (F.col("b_n") == 1)
-    size = F.when(a_large | b_large, F.col("a_n") + F.col("b_n")).otherwise(F.lit(0))
-    sized = cell_pairs.withColumns({"group_size": size, "a_whole": a_whole, "b_whole": b_whole})
+    a_large, b_large = _more(F.col("a_n_scanned"), most), _more(F.col("b_n_scanned"), most)
+    sized = cell_pairs.withColumns({
+        "saturated": a_large | b_large,
+        "a_whole": a_large | (F.col("a_n") == 1),
+        "b_whole": b_large | (F.col("b_n") == 1),
+    })
     direct = sized.filter("a_whole and b_whole")
     lookup = sized.filter("not (a_whole and b_whole)")
-    wanted = stats.filter((F.col("n") > 1) & (F.col("n_scanned") <= max_group))
-    members = _attach(rows.select("id", "scanned", *cell_keys), wanted.select(*cell_keys, "cell"), cell_keys)
+    wanted = stats.filter((F.col("n") > 1) & ~_more(F.col("n_scanned"), most))
+    members = _attach(rows.select("id", "scanned", *cell_keys), wanted.select(*cell_keys, "cell", "n"), cell_keys)
     a_members = members.select(F.col("cell").alias("a_cell"), F.col("id").alias("x"), "scanned")
-    b_members = members.select(F.col("cell").alias("b_cell"), F.col("id").alias("y"), "scanned")
+    b_members = members.select(
+        F.col("cell").alias("b_cell"), F.col("id").alias("y"), "scanned",
+        _dealt(F.col("id"), _tasks(F.col("n"))).alias("part"),
+    )
+    b_tasks = F.when(F.col("b_whole"), 1).otherwise(_tasks(F.col("b_n")))
+    dealt = lookup.select("*", _all_tasks(b_tasks))
 
     def meet(a_scanned: bool, b_side: DataFrame, b_anchor: Column) -> DataFrame:
         a_side = a_members.filter(F.col("scanned") == a_scanned).drop("scanned")
         a_anchor = F.col("a_whole") & ((F.col("a_n_scanned") > 0) == a_scanned)
         return (
-            lookup.join(a_side, "a_cell", "left").filter(F.col("x").isNotNull() | a_anchor)
-            .join(b_side.drop("scanned"), "b_cell", "left").filter(F.col("y").isNotNull() | b_anchor)
+            dealt.join(a_side, "a_cell", "left").filter(F.col("x").isNotNull() | a_anchor)
+            .join(b_side.drop("scanned"), ["b_cell", "part"], "left").filter(F.col("y").isNotNull() | b_anchor)
         )
 
     # Scanned with anything, and the rest with scanned only: unscanned rows never meet each other.
     expanded = meet(True, b_members, F.col("b_whole")).unionByName(
         meet(False, b_members.filter("scanned"), F.col("b_whole") & (F.col("b_n_scanned") > 0))
     )
-    level, group_size = F.col("level"), F.col("group_size")
+    level, saturated = F.col("level"), F.col("saturated")
     return direct.select(
-        *_pair_columns(F.col("a_anchor"), F.col("b_anchor"), level, group_size)
+        *_pair_columns(F.col("a_anchor"), F.col("b_anchor"), level, saturated)
     ).unionByName(
         expanded.select(
             *_pair_columns(
                 F.coalesce(F.col("x"), F.col("a_anchor")),
                 F.coalesce(F.col("y"), F.col("b_anchor")),
                 level,
-                group_size,
+                saturated,
             )
         )
     )
 
 
-def _band_pairs(rows: DataFrame, max_group: int) -> DataFrame:
+def _band_pairs(rows: DataFrame, most: int | None) -> DataFrame:
     """Levels 2 and 4."""
     known = rows.filter(
         F.col("vendor_id").isNotNull() & F.col("cents").isNotNull() & F.col("day").isNotNull()
     )
     cells = _band_cells(rows, [])
-    across = _expand_cells(_adjacent_cells(cells, []), known, _BAND_CELL, cells, max_group)
-    return _same_cell_pairs(known, cells, _BAND_CELL, 2, max_group).unionByName(across)
-
-
-def _same_cell_pairs(rows: DataFrame, cells: DataFrame, keys: list[str], level: int,
-                     max_group: int) -> DataFrame:
-    """Pairs among rows of one cell, or a star for a large cell."""
-    stats = cells.filter((F.col("n") > 1) & (F.col("n_scanned") > 0))
-    live = _attach(rows.select("id", "scanned", *keys), stats, keys)
-    is_large = F.col("n_scanned") > max_group
-    small = live.filter(~is_large)
-    # The scanned side of a small group is bounded, so the join grows with the other side only.
-    x = small.filter("scanned").select("cell", F.col("id").alias("x"))
-    y = small.select("cell", F.col("id").alias("y"), F.col("scanned").alias("y_scanned"))
-    once = (F.col("x") < F.col("y")) | (~F.col("y_scanned") & (F.col("x") != F.col("y")))
-    star = live.filter(is_large & (F.col("id") != F.col("anchor")))
-    return x.join(y, "cell").filter(once).select(
-        *_pair_columns(F.col("x"), F.col("y"), F.lit(level), F.lit(0))
-    ).unionByName(star.select(*_pair_columns(F.col("id"), F.col("anchor"), F.lit(level), F.col("n"))))
+    across = _expand_cells(_adjacent_cells(cells, []), known, _BAND_CELL, cells, most)
+    return _same_cell_pairs(known, cells, _BAND_CELL, 2, most).unionByName(across)
 
 
 _NEAR_CELL = ["company_id", "vendor_id", "number", "number_key", "cents"]
 
 
-def _near_pairs(rows: DataFrame, max_group: int) -> DataFrame:
-    """Level 3, with the similarity of each pair."""
+def _near_pairs(rows: DataFrame, most: int | None) -> DataFrame:
+    """Level 3."""
     known = rows.filter(F.col("vendor_id").isNotNull() & F.col("cents").isNotNull())
     cells = _group_stats(known, _NEAR_CELL)
     matched = near.near_cells(cells).withColumn("level", F.lit(3))
-    across = _expand_cells(matched, known, _NEAR_CELL, cells, max_group)
+    across = _expand_cells(matched, known, _NEAR_CELL, cells, most)
     # Rows of one cell share the number: level 1 unless the number is blank.
     blank = cells.filter(F.col("number") == "")
-    inside = _same_cell_pairs(known.filter(F.col("number") == ""), blank, _NEAR_CELL, 3, max_group)
+    inside = _same_cell_pairs(known.filter(F.col("number") == ""), blank, _NEAR_CELL, 3, most)
     return across.unionByName(inside)
 
 
-def _unknown_company(rows: DataFrame, keys: list[str], level: int, max_group: int) -> DataFrame:
+def _unknown_company(rows: DataFrame, keys: list[str], level: int, most: int | None) -> DataFrame:
     """Pairs in which at least one side has no company: the company is then not compared."""
-    unknown = F.col("company_id").isNull()
-    # The anchor has no company, so it pairs with every member; it is scanned if such a row is.
+    unknown, scanned = F.col("unknown"), F.col("scanned")
+    flagged = rows.withColumn("unknown", F.col("company_id").isNull())
     stats = (
-        rows.groupBy(*keys)
+        flagged.groupBy(*keys)
         .agg(
-            F.count_if(unknown).alias("n_unknown"),
-            F.count_if("scanned").alias("n_scanned"),
-            F.coalesce(
-                F.min(F.when(unknown & F.col("scanned"), F.col("id"))), F.min(F.when(unknown, F.col("id")))
-            ).alias("anchor"),
-            F.max(unknown & F.col("scanned")).alias("anchor_scanned"),
+            F.min("id").alias("cell"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(unknown & scanned).alias("n_asking"),
+            F.count_if(unknown & ~scanned).alias("n_old_unknown"),
+            F.count_if(~unknown & scanned).alias("n_new_known"),
         )
-        .filter((F.col("n_unknown") > 0) & (F.col("n_scanned") > 0))
+        .filter((F.col("n_asking") + F.col("n_old_unknown") > 0) & (F.col("n_asking") + F.col("n_new_known") > 0))
     )
-    live = rows.select("id", "scanned", *keys, unknown.alias("unknown")).join(stats, keys)
-    is_large = F.greatest("n_scanned", "n_unknown") > max_group
-    small = live.filter(~is_large)
-    x = small.filter("unknown").select(*keys, F.col("id").alias("x"), F.col("scanned").alias("x_scanned"))
-    y = small.select(*keys, F.col("id").alias("y"), F.col("scanned").alias("y_scanned"),
-                     F.col("unknown").alias("y_unknown"))
-    once = (F.col("x") < F.col("y")) | (~F.col("y_unknown") & (F.col("x") != F.col("y")))
-    listed = x.join(y, keys).filter(once & (F.col("x_scanned") | F.col("y_scanned")))
-    star = live.filter(is_large & (F.col("id") != F.col("anchor")) & (F.col("scanned") | F.col("anchor_scanned")))
-    return listed.select(*_pair_columns(F.col("x"), F.col("y"), F.lit(level), F.lit(0))).unionByName(
-        star.select(*_pair_columns(F.col("id"), F.col("anchor"), F.lit(level), F.col("n_scanned")))
+    live = flagged.select("id", "scanned", "unknown", *keys).join(stats, keys)
+    # Scanned rows without a company meet all; others without one meet scanned rows that have one.
+    return _side_pairs(
+        live, unknown & scanned, F.lit(True), F.col("n_asking"), F.col("n"), level, most
+    ).unionByName(
+        _side_pairs(
+            live, unknown & ~scanned, ~unknown & scanned, F.col("n_old_unknown"), F.col("n_new_known"), level, most
+        )
     )
 
 
-def duplicate_pairs(rows: DataFrame, max_group: int = MAX_GROUP, company_required: bool = False) -> DataFrame:
-    """Pairs (a_id < b_id) with their level and, for NEAR, the similarity.
-
-    An unknown company matches any. ``company_required`` states that company_id is never null and saves
-    the two joins that look for such pairs.
-    ``group_size`` is 0 for an ordinary pair, else the size of the large group whose
-    member and anchor the row names.
-    """
-    if max_group <= _SATURATING_PARTNERS:
-        raise ValueError(f"max_group must be above {_SATURATING_PARTNERS}")
+def _matches(rows: DataFrame, most: int | None) -> DataFrame:
+    """Pairs with the lowest level at which they match; with a limit, large groups as stars."""
     numbered = rows.filter((F.col("number_key") != ""))
     itemised = rows.filter(F.col("fingerprint").isNotNull())
     found = (
-        _pairs_in_groups(numbered, ["company_id", "number_key"], 1, max_group)
-        .unionByName(_band_pairs(rows, max_group))
-        .unionByName(_near_pairs(rows, max_group))
-        .unionByName(_pairs_in_groups(itemised, ["company_id", "fingerprint"], 5, max_group))
-    )
-    if not company_required:
-        found = found.unionByName(_unknown_company(numbered, ["number_key"], 1, max_group)).unionByName(
-            _unknown_company(itemised, ["fingerprint"], 5, max_group)
+        _pairs_in_groups(numbered, ["company_id", "number_key"], 1, most)
+        .unionByName(_band_pairs(rows, most))
+        .unionByName(_near_pairs(rows, most))
+        .unionByName(_pairs_in_groups(itemised, ["company_id", "fingerprint"], 5, most))
+    )
+    if _some_unknown(rows):
+        found = found.unionByName(_unknown_company(numbered, ["number_key"], 1, most)).unionByName(
+            _unknown_company(itemised, ["fingerprint"], 5, most)
         )
-    best = found.groupBy("a_id", "b_id").agg(
-        F.min("level").alias("level"), F.max("group_size").alias("group_size")
-    )
-    return _settled(best, rows).withColumns(
-        {
-            "validation_type": _by_level(0),
-            "severity": _by_level(1),
-            "confidence": _by_level(2),
-            "penalty": _by_level(3),
-        }
+    return found.groupBy("a_id", "b_id").agg(F.min("level").alias("level"), F.max("saturated").alias("saturated"))
+
+
+def _some_unknown(rows: DataFrame) -> bool:
+    return not rows.filter(F.col("company_id").isNull()).isEmpty()
+
+
+def duplicate_pairs(rows: DataFrame) -> DataFrame:
+    """Every pair (a_id < b_id) with its level and, for NEAR, the similarity.
+
+    An unknown company matches any. A group of n equal invoices gives n (n - 1) / 2 rows; use
+    ``pair_measures`` and ``scan_scores`` for what needs no list.
+    """
+    best = cut_lineage(_matches(rows, None).select("a_id", "b_id", "level"))
+    # Only near pairs show their similarity.
+    compared = best.filter("level = 3")
+    for side in ("a", "b"):
+        compared = compared.join(
+            rows.select(F.col("id").alias(f"{side}_id"), F.col("number").alias(f"{side}_number")), f"{side}_id"
+        )
+    compared = similarity.with_number_similarity(compared, "a_number", "b_number").drop("a_number", "b_number")
+    rest = best.filter("level <> 3").withColumn("similarity", F.lit(None).cast(compared.schema["similarity"].dataType))
+    return compared.unionByName(rest).select(
+        "a_id",
+        "b_id",
+        "level",
+        "similarity",
+        _by_level(0).alias("validation_type"),
+        _by_level(1).alias("severity"),
+        _by_level(2).alias("confidence"),
+        _by_level(3).alias("penalty"),
     )
 
 
@@ -448,137 +505,267 @@ def penalty_of(validation_type: Column) -> Column:
     return out
 
 
-def _settled(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Final level and similarity of listed pairs.
-
-    A pair inside a large group of a higher level is not listed there, so a lower level
-    may have found it first.
-    """
-    compared = ["company_id", "vendor_id", "number", "number_key", "cents", "day"]
-    joined = pairs
-    for side in ("a", "b"):
-        joined = joined.join(
-            rows.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in compared]),
-            f"{side}_id",
-        )
-
-    def both(name: str) -> tuple[Column, Column]:
-        return F.col(f"a_{name}"), F.col(f"b_{name}")
-
-    company = same_company(*both("company_id"))
-    exact = (F.col("a_number_key") != "") & F.equal_null(*both("number_key")) & company
-    vendor = (
-        same_vendor(*both("vendor_id"), *both("company_id"))
-        & F.coalesce(F.abs(F.col("a_cents") - F.col("b_cents")) <= 1, F.lit(False))
-        & dates_equal(*both("day"))
-    )
-    level = F.when(exact, 1).when(vendor, 2).otherwise(F.col("level"))
-    scored = similarity.with_number_similarity(
-        joined.withColumn("level", level), "a_number", "b_number", only=F.col("level") == 3
-    )
-    return scored.select("a_id", "b_id", "level", "group_size", "similarity")
-
+# -- measuring without listing -----------------------------------------------
 
-# -- counting without listing ------------------------------------------------
+_WIDE = "decimal(38,0)"
+#: Ids of one slice: ranks inside a group are counted per slice, then inside it.
+_SLICE_BITS = 16
 
 
 def _pairs_of(n: Column, scanned: Column) -> Column:
     """Pairs inside a group that have a scanned side."""
-    others = n - scanned
-    return scanned * others + (scanned * (scanned - 1)) / 2
+    n, scanned = n.cast("decimal(18,0)"), scanned.cast("decimal(18,0)")
+    return (scanned * (n - scanned) + F.floor(scanned * (scanned - 1) / 2)).cast(_WIDE)
 
 
-def _group_pair_total(rows: DataFrame, keys: list[str]) -> DataFrame:
-    total = F.sum(_pairs_of(F.col("n"), F.col("n_scanned")))
-    return _group_stats(rows, keys).agg(F.coalesce(total, F.lit(0.0)).alias("all_pairs"))
-
-
-def _band_pair_totals(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """Pairs within a cent on the same day, and within a cent and three days."""
-    cells = _band_cells(rows, extra)
-    inside = cells.select(
-        _pairs_of(F.col("n"), F.col("n_scanned")).alias("pairs"), F.lit(True).alias("same_day")
-    )
-    a_n, a_s, b_n, b_s = (F.col(c) for c in ("a_n", "a_n_scanned", "b_n", "b_n_scanned"))
-    across = _adjacent_cells(cells, extra).select(
-        (a_n * b_n - (a_n - a_s) * (b_n - b_s)).cast("double").alias("pairs"),
-        (F.col("level") == 2).alias("same_day"),
-    )
-    zero = F.lit(0.0)
-    return inside.unionByName(across).agg(
-        F.coalesce(F.sum(F.when(F.col("same_day"), F.col("pairs"))), zero).alias("same_day"),
-        F.coalesce(F.sum("pairs"), zero).alias("window"),
+def _pairs_between(a_n: Column, a_scanned: Column, b_n: Column, b_scanned: Column) -> Column:
+    a_n, a_old, b_n, b_old = (
+        c.cast("decimal(18,0)") for c in (a_n, a_n - a_scanned, b_n, b_n - b_scanned)
     )
+    return (a_n * b_n - a_old * b_old).cast(_WIDE)
 
 
-def _near_pair_totals(rows: DataFrame) -> DataFrame:
-    """NEAR matches by whether they also meet the band and item conditions."""
-    known = rows.filter(F.col("vendor_id").isNotNull() & F.col("cents").isNotNull())
-    cells = _group_stats(known, _NEAR_CELL + ["day", "fingerprint"])
-    matched = near.near_cells(cells, ["day", "fingerprint"])
-    a_n, a_s, b_n, b_s = (F.col(c) for c in ("a_n", "a_n_scanned", "b_n", "b_n_scanned"))
-    equal_amount = F.abs(F.col("a_cents") - F.col("b_cents")) <= 1
-    days = F.abs(F.col("a_day") - F.col("b_day"))
-    pairs = (a_n * b_n - (a_n - a_s) * (b_n - b_s)).cast("double")
-    flags = matched.select(
-        pairs.alias("pairs"),
-        F.coalesce(equal_amount & (days == 0), F.lit(False)).alias("same_day"),
-        F.coalesce(equal_amount & (days <= DATE_WINDOW_DAYS), F.lit(False)).alias("window"),
-        F.coalesce(F.col("a_fingerprint") == F.col("b_fingerprint"), F.lit(False)).alias("same_items"),
-    )
-    day, window, same = F.col("same_day"), F.col("window"), F.col("same_items")
+def _later(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds, per name, the sum over the rows of the group with a higher id.
+
+    Two levels: whole slices of ids, then the rows of a slice, so no task sorts a whole large group.
+    """
+    rows = rows.withColumns({"slice": F.shiftright("id", _SLICE_BITS), **{f"_{k}": v for k, v in sums.items()}})
+    slices = rows.groupBy(*keys, "slice").agg(*[F.sum(f"_{k}").alias(f"_s_{k}") for k in sums])
+    beyond = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*keys, "slice", *[F.coalesce(F.sum(f"_s_{k}").over(beyond), F.lit(0)).alias(f"_s_{k}") for k in sums])
+    within = Window.partitionBy(*keys, "slice").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(slices, [*keys, "slice"])
+    return joined.withColumns(
+        {k: F.coalesce(F.sum(f"_{k}").over(within), F.lit(0)) + F.col(f"_s_{k}") for k in sums}
+    ).drop("slice", *[f"_{k}" for k in sums], *[f"_s_{k}" for k in sums])
+
+
+def _one(condition: Column) -> Column:
+    return condition.cast("bigint")
+
+
+# Layers of the roll-up: name -> (kind, uses the number, uses the items). Kinds: rows of a vendor, amount and day
+# (band), rows of a company (group), rows of any company (any).
+_LAYERS = {
+    0: ("band", False, False), 1: ("band", True, False), 2: ("band", False, True), 3: ("band", True, True),
+    4: ("group", True, False), 5: ("group", False, True), 6: ("group", True, True),
+    7: ("any", True, False), 8: ("any", False, True), 9: ("any", True, True),
+}
+_LAYER_KEYS = ["layer", "company_id", "vendor_id", "cents", "day", "number_key", "fingerprint"]
+
+
+def _layered(rows: DataFrame, unknown: bool, layers: list[int] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per layer it takes part in, with the keys of that layer; absent texts are empty."""
+    chosen = []
+    for layer, (kind, number, items) in _LAYERS.items():
+        if (layers is not None and layer not in layers) or (kind == "any" and not unknown):
+            continue
+        takes_part = F.lit(True)
+        if kind == "band":
+            takes_part = F.col("vendor_id").isNotNull() & F.col("cents").isNotNull() & F.col("day").isNotNull()
+        if kind == "group":
+            takes_part = F.col("company_id").isNotNull()
+        if number:
+            takes_part = takes_part & (F.col("number_key") != "")
+        if items:
+            takes_part = takes_part & F.col("fingerprint").isNotNull()
+
+        def key(name: str, used: bool) -> Column:
+            return (F.col(name) if used else F.lit(None).cast(rows.schema[name].dataType)).alias(name)
+
+        chosen.append(F.when(takes_part, F.struct(
+            F.lit(layer).alias("layer"),
+            key("company_id", kind != "any"),
+            *[key(c, kind == "band") for c in ("vendor_id", "cents", "day")],
+            (F.col("number_key") if number else F.lit("")).alias("number_key"),
+            (F.col("fingerprint") if items else F.lit("")).alias("fingerprint"),
+        )))
+    rest = [F.col(c) for c in keep]
+    return rows.select(*rest, F.explode(F.array_compact(F.array(*chosen))).alias("k")).select(*keep, "k.*")
+
+
+def _rolled_up(cells: DataFrame, unknown: bool) -> DataFrame:
+    """All groups of all layers from one shuffle of the finest cells."""
+    nameless = F.col("nameless")
+    rows = _layered(
+        cells.withColumn("nameless", F.col("company_id").isNull()), unknown, keep=("n", "n_scanned", "cell", "nameless")
+    )
+    return rows.groupBy(*_LAYER_KEYS).agg(
+        F.sum("n").alias("n"),
+        F.sum("n_scanned").alias("n_scanned"),
+        F.sum(F.when(nameless, F.col("n")).otherwise(0)).alias("u"),
+        F.sum(F.when(nameless, F.col("n_scanned")).otherwise(0)).alias("u_scanned"),
+        F.min("cell").alias("cell"),
+        F.min("cell").alias("anchor"),
+    )
+
+
+def _group_pairs() -> Column:
+    """Pairs inside a group; where companies differ, only those with an unknown one."""
+    every = _pairs_of(F.col("n"), F.col("n_scanned"))
+    known = _pairs_of(F.col("n") - F.col("u"), F.col("n_scanned") - F.col("u_scanned"))
+    return F.when(F.col("layer") >= 7, every - known).otherwise(every)
+
+
+def _lower_in_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """layer, a_cell, b_cell, lower_a: member pairs whose lower id lies in cell a."""
+    keys = ["layer", "a_cell", "b_cell"]
+
+    def side(name: str) -> DataFrame:
+        of_side = members.withColumnRenamed("cell", f"{name}_cell")
+        return pairs.select(*keys).join(of_side, ["layer", f"{name}_cell"]).withColumn("side", F.lit(name))
+
+    both = side("a").unionByName(side("b"))
+    in_b = F.col("side") == "b"
+    counted = _later(both, keys, {"after": _one(in_b), "after_scanned": _one(in_b & F.col("scanned"))})
+    lower = F.when(F.col("scanned"), F.col("after")).otherwise(F.col("after_scanned"))
+    return counted.filter("side = 'a'").groupBy(*keys).agg(F.sum(lower).cast(_WIDE).alias("lower_a"))
+
+
+def _with_amounts(matched: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds the amount of the lower id, summed over the member pairs of each pair of cells."""
+    a, b = F.abs(F.col("a_cents")), F.abs(F.col("b_cents"))
+    single = (F.col("a_n") == 1) & (F.col("b_n") == 1)
+    # The members of one-row cells are the cells themselves, and cell a is the lower one.
+    easy = matched.filter(single | (a == b)).withColumn("amount", F.col("pairs") * a)
+    hard = matched.filter(~single & (a != b))
+    lower = _lower_in_pairs(hard, members)
+    split = hard.join(lower, ["layer", "a_cell", "b_cell"], "left").withColumn("lower_a", F.coalesce("lower_a", F.lit(0)))
+    amount = F.col("lower_a") * a + (F.col("pairs") - F.col("lower_a")) * b
+    return easy.unionByName(split.withColumn("amount", amount).drop("lower_a"))
+
+
+def _near_matches(cells: DataFrame) -> DataFrame:
+    known = cells.filter(F.col("vendor_id").isNotNull() & F.col("cents").isNotNull())
+    matched = near.near_cells(known.withColumn("anchor", F.col("cell")), ["day", "fingerprint"])
+    return matched.withColumns({
+        "layer": F.lit(-1),
+        "pairs": _pairs_between(*(F.col(c) for c in ("a_n", "a_n_scanned", "b_n", "b_n_scanned"))),
+    })
+
+
+def _sums(rows: DataFrame, amounts: bool) -> DataFrame:
+    """One row: per part of the lattice the number of pairs and, if asked, the amount of their lower ids."""
+    unknown = _some_unknown(rows)
+    cells = cut_lineage(_group_stats(rows, [*_BAND_CELL, "number", "number_key", "fingerprint"]).drop("anchor"))
+    groups = cut_lineage(_rolled_up(cells, unknown))
+    nothing = F.lit(0).cast(_WIDE)
+    cents = F.abs(F.coalesce(F.col("cents"), F.lit(0)))
+
+    inside = groups.filter("n > 1 and n_scanned > 0").withColumn("pairs", _group_pairs())
+    across = _adjacent_cells(groups.filter("layer <= 3"), ["layer", "number_key", "fingerprint"]).withColumn(
+        "pairs", _pairs_between(*(F.col(c) for c in ("a_n", "a_n_scanned", "b_n", "b_n_scanned")))
+    )
+    near_pairs = _near_matches(cells)
+    # Blank numbers of one cell are equal to each other; with a day the band has them already.
+    blank = cells.filter(
+        "number = '' and day is null and vendor_id is not null and cents is not null and n > 1 and n_scanned > 0"
+    ).withColumn("pairs", _pairs_of(F.col("n"), F.col("n_scanned")))
+    if amounts:
+        # Inside a group of mixed amounts every row counts the partners with higher ids.
+        mixed = inside.filter("layer > 3 and pairs > 0").select(*_LAYER_KEYS, "cell")
+        rows_of = _layered(rows, unknown, list(range(4, 10)), ("id", "scanned"))
+        held = _attach(rows_of.drop("cents"), mixed.drop("cents"), [k for k in _LAYER_KEYS if k != "cents"])
+        held = held.join(rows.select("id", "cents", F.col("company_id").isNull().alias("nameless")), "id")
+        scanned, nameless = F.col("scanned"), F.col("nameless")
+        ranked = _later(held, ["layer", "cell"], {
+            "every": _one(F.lit(True)), "new": _one(scanned), "every_u": _one(nameless), "new_u": _one(nameless & scanned),
+        })
+        other = (F.col("layer") >= 7) & ~nameless
+        partners = F.when(other, F.when(scanned, F.col("every_u")).otherwise(F.col("new_u"))).otherwise(
+            F.when(scanned, F.col("every")).otherwise(F.col("new"))
+        )
+        of_groups = ranked.select("layer", F.lit(True).alias("same_day"), nothing.alias("pairs"),
+                                  (partners.cast(_WIDE) * cents).cast(_WIDE).alias("amount"))
+        hard = across.filter("(a_n > 1 or b_n > 1) and a_cents <> b_cents")
+        wanted = hard.select("layer", F.explode(F.array("a_cell", "b_cell")).alias("cell")).distinct()
+        keyed = groups.filter("layer <= 3").select(*_LAYER_KEYS, "cell").join(wanted, ["layer", "cell"], "left_semi")
+        members = _attach(_layered(rows, unknown, [0, 1, 2, 3], ("id", "scanned")), keyed, _LAYER_KEYS)
+        across = _with_amounts(across, members.select("layer", "cell", "id", "scanned"))
+        finest = _attach(
+            rows.select("id", "scanned", *_BAND_CELL, "number", "number_key", "fingerprint"),
+            cells.select(*_BAND_CELL, "number", "number_key", "fingerprint", "cell"),
+            [*_BAND_CELL, "number", "number_key", "fingerprint"],
+        )
+        near_pairs = _with_amounts(near_pairs, finest.select(F.lit(-1).alias("layer"), "cell", "id", "scanned"))
+        blank_amount = F.col("pairs") * cents
+        inside_amount = F.when(F.col("layer") <= 3, F.col("pairs") * cents).otherwise(nothing)
+    else:
+        of_groups = None
+        across, near_pairs = (x.withColumn("amount", nothing) for x in (across, near_pairs))
+        blank_amount = inside_amount = nothing
 
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("pairs"))), F.lit(0.0))
+    same_day = F.col("level") == 2
+    parts = inside.select("layer", F.lit(True).alias("same_day"), "pairs", inside_amount.cast(_WIDE).alias("amount"))
+    parts = parts.unionByName(across.select("layer", same_day.alias("same_day"), "pairs", F.col("amount").cast(_WIDE)))
+    if of_groups is not None:
+        parts = parts.unionByName(of_groups)
 
-    return flags.agg(
-        total(~day).alias("near"),
-        total(~day & window).alias("near_window"),
-        total(~window & same).alias("near_items"),
-    )
+    gap = F.abs(F.col("a_cents") - F.col("b_cents")) <= 1
+    days = F.abs(F.col("a_day") - F.col("b_day"))
+    on_day = F.coalesce(gap & (days == 0), F.lit(False))
+    in_window = F.coalesce(gap & (days <= DATE_WINDOW_DAYS), F.lit(False))
+    same_items = F.coalesce(F.col("a_fingerprint") == F.col("b_fingerprint"), F.lit(False))
+    # Layers of the near pairs: all that are no band pair of one day; of these those in the window, or with equal items.
+    flags = near_pairs.filter(~on_day).select(
+        F.when(in_window, -2).when(same_items, -3).otherwise(-1).alias("layer"),
+        F.lit(True).alias("same_day"), "pairs", F.col("amount").cast(_WIDE),
+    )
+    flags = flags.unionByName(blank.select(
+        F.when(F.col("fingerprint").isNotNull(), -3).otherwise(-1).alias("layer"),
+        F.lit(True).alias("same_day"), "pairs", blank_amount.cast(_WIDE).alias("amount"),
+    ))
+    parts = parts.unionByName(flags)
+
+    def total(column: str, condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col(column))), nothing).alias(f"{column}_{name}")
+
+    layer = F.col("layer")
+    picked = []
+    for column in ("pairs", "amount"):
+        picked += [total(column, layer == n, f"w{n}") for n in range(4)]
+        picked += [total(column, (layer == n) & F.col("same_day"), f"d{n}") for n in range(2)]
+        picked += [total(column, (layer == n) | (layer == n + 3), f"g{n}") for n in (4, 5, 6)]
+        picked += [total(column, layer < 0, "near"), total(column, layer == -2, "near_window"),
+                   total(column, layer == -3, "near_items")]
+    return parts.agg(*picked)
+
+
+def _by_levels(column: str) -> list[Column]:
+    """Inclusion and exclusion: what a level matches less what a higher one has taken."""
+
+    def c(name: str) -> Column:
+        return F.col(f"{column}_{name}")
+
+    vendor = c("d0") - c("d1")
+    date = c("w0") - c("w1") - vendor - c("near_window")
+    item = c("g5") - c("g6") - (c("w2") - c("w3")) - c("near_items")
+    return [c("g4"), vendor, c("near"), date, item]
 
 
 def pair_totals(rows: DataFrame) -> DataFrame:
     """Number of pairs per level, exact for groups of any size, in linear space.
 
     Pairs are counted per condition from group sizes and the pairs already taken by
-    a higher level are subtracted. Blank numbers equal none. Every row must have a company, as
-    stored invoices do.
+    a higher level are subtracted. Blank numbers equal none; an unknown company equals any.
     """
-    itemised = rows.filter(F.col("fingerprint").isNotNull())
-    numbered, both_known = (x.filter(F.col("number_key") != "") for x in (rows, itemised))
-    same_number = ["company_id", "number_key"]
-    exact = _group_pair_total(numbered, same_number)
-    band, band_same = _band_pair_totals(rows, []), _band_pair_totals(numbered, ["number_key"])
-    items = _group_pair_total(itemised, ["company_id", "fingerprint"])
-    items_same = _group_pair_total(both_known, same_number + ["fingerprint"])
-    item_band = _band_pair_totals(itemised, ["fingerprint"])
-    item_band_same = _band_pair_totals(both_known, ["fingerprint", "number_key"])
-    near_counts = _near_pair_totals(rows)
-
-    parts = [
-        exact.withColumnRenamed("all_pairs", "e"),
-        band.toDF("b_day", "b_win"),
-        band_same.toDF("bs_day", "bs_win"),
-        items.withColumnRenamed("all_pairs", "i"),
-        items_same.withColumnRenamed("all_pairs", "i_same"),
-        item_band.toDF("ib_day", "ib_win"),
-        item_band_same.toDF("ibs_day", "ibs_win"),
-        near_counts,
+    names = ("exact", "vendor", "near", "date", "item")
+    return _sums(rows, False).select(
+        *[value.cast("bigint").alias(name) for name, value in zip(names, _by_levels("pairs"), strict=True)]
+    )
+
+
+def pair_measures(rows: DataFrame) -> DataFrame:
+    """level, pairs, amount (of the lower ids) per level that has pairs, from groups and cells alone."""
+    levels = [
+        F.struct(F.lit(n).alias("level"), pairs.cast("bigint").alias("pairs"),
+                 (amount.cast("decimal(30,0)") / 100).cast("decimal(32,2)").alias("amount"))
+        for n, (pairs, amount) in enumerate(zip(_by_levels("pairs"), _by_levels("amount"), strict=True), 1)
     ]
-    row = parts[0]
-    for part in parts[1:]:
-        row = beside(row, part)
-    c = F.col
-    vendor = c("b_day") - c("bs_day")
-    date = (c("b_win") - c("bs_win")) - vendor - c("near_window")
-    item = (c("i") - c("i_same")) - (c("ib_win") - c("ibs_win")) - c("near_items")
-    return row.select(
-        c("e").cast("bigint").alias("exact"),
-        vendor.cast("bigint").alias("vendor"),
-        c("near").cast("bigint").alias("near"),
-        date.cast("bigint").alias("date"),
-        item.cast("bigint").alias("item"),
+    return _sums(rows, True).select(F.inline(F.array(*levels))).filter("pairs > 0").select(
+        "level", "pairs", "amount", _by_level(0).alias("validation_type"), _by_level(1).alias("severity"),
+        _by_level(2).alias("confidence"),
     )
 
 
@@ -659,7 +846,6 @@ def findings(pairs: DataFrame, invoices: DataFrame, vendors: DataFrame) -> DataF
         match_message().alias("message"),
         F.col("confidence").cast("decimal(5,2)").alias("confidence_score"),
         "similarity",
-        "group_size",
     )
 
 
@@ -683,31 +869,21 @@ def prior_pairs(stored_findings: DataFrame) -> DataFrame:
     return pair_key(old, "invoice_id", "match_id")
 
 
-def rescore(pairs: DataFrame, prior: DataFrame, assessed: DataFrame) -> DataFrame:
-    """New score and status of the invoices matched in this scan.
-
-    Each distinct (type, pair) of this scan and of earlier ones adds its penalty once.
-    Members of large groups have more partners than it takes to reach the cap.
-    """
-    current = pairs.select("validation_type", "a_id", "b_id", "group_size")
-    known = prior.select("validation_type", "a_id", "b_id", F.lit(0).cast("bigint").alias("group_size"))
+def _charged(current: DataFrame, prior: DataFrame, assessed: DataFrame) -> DataFrame:
+    known = prior.select("validation_type", "a_id", "b_id").withColumns(
+        {"saturated": F.lit(False), "in_scan": F.lit(False)}
+    )
     merged = (
-        current.withColumn("in_scan", F.lit(True))
-        .unionByName(known.withColumn("in_scan", F.lit(False)))
+        current.select("validation_type", "a_id", "b_id", "saturated").withColumn("in_scan", F.lit(True))
+        .unionByName(known)
         .groupBy("validation_type", "a_id", "b_id")
-        .agg(F.max("in_scan").alias("in_scan"), F.max("group_size").alias("group_size"))
+        .agg(F.max("in_scan").alias("in_scan"), F.max("saturated").alias("saturated"))
     )
+    points = F.when(F.col("saturated"), rules.MAX_SCORE).otherwise(penalty_of(F.col("validation_type")))
     charged = (
         both_sides(merged)
         .groupBy("invoice_id")
-        .agg(
-            F.sum(
-                F.when(F.col("group_size") > 0, rules.MAX_SCORE).otherwise(
-                    penalty_of(F.col("validation_type"))
-                )
-            ).alias("penalty"),
-            F.max("in_scan").alias("in_scan"),
-        )
+        .agg(F.sum(points).alias("penalty"), F.max("in_scan").alias("in_scan"))
         .filter("in_scan")
     )
     score = rules.score_from_points(F.col("assessed_score") + F.col("penalty"))
@@ -719,6 +895,24 @@ def rescore(pairs: DataFrame, prior: DataFrame, assessed: DataFrame) -> DataFram
     )
 
 
+def rescore(pairs: DataFrame, prior: DataFrame, assessed: DataFrame) -> DataFrame:
+    """New score and status of the invoices matched in this scan, from its listed pairs.
+
+    Each distinct (type, pair) of this scan and of earlier ones adds its penalty once.
+    """
+    return _charged(pairs.withColumn("saturated", F.lit(False)), prior, assessed)
+
+
+def scan_scores(rows: DataFrame, prior: DataFrame, assessed: DataFrame) -> DataFrame:
+    """What ``rescore`` gives, without a list of the pairs.
+
+    In groups where every member has ``SATURATING_PARTNERS`` or more partners the cap of 100 is reached
+    whatever else they match; only smaller groups are listed.
+    """
+    found = _matches(rows, SATURATING_PARTNERS).withColumn("validation_type", _by_level(0))
+    return _charged(found, prior, assessed)
+
+
 def pair_listing(stored_findings: DataFrame, invoices: DataFrame, vendors: DataFrame) -> DataFrame:
     """One row per (type, pair) in stored findings; the earliest finding supplies the values.
 

@@ -120,6 +120,15 @@ def duplicate_levels(pairs: DataFrame) -> DataFrame:
     )
 
 
+def measured_levels(measures: DataFrame) -> DataFrame:
+    """``duplicate_levels`` of a scan from ``duplicates.pair_measures``, which lists no pairs."""
+    position = F.array_position(F.array(*[F.lit(c) for c in LEVEL_ORDER]), F.col("validation_type"))
+    return measures.orderBy(position).select(
+        F.col("validation_type").alias("type"), F.col("pairs").alias("count"), "amount", "severity",
+        F.col("confidence").cast("decimal(5,2)").alias("confidence"),
+    )
+
+
 def _invoice_kpis(invoices: DataFrame) -> DataFrame:
     status = F.col("status")
     losing = status.isin(*AT_RISK, "Duplicate")

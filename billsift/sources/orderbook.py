@@ -18,6 +18,10 @@ from billsift.operators import load
 AS_OF = "2001-01-01"
 COPY_ID_OFFSET = 10_000_000
 COPY_VENDOR_OFFSET = 1_000_000
+# Two large groups: one number of one company, and one vendor's bill.
+BULK_NUMBER_IDS, BULK_BILL_IDS = (0, 100), (101, 231)
+BULK_CENT_FROM, BULK_DAYS_FROM = 160, 201
+BULK_NUMBER, BULK_COMPANY, BULK_VENDOR, BULK_DATE = "BULK-RESUBMISSION", 3, 1, "1998-01-05"
 COPY_MODULUS = 97
 BATCHES = 10
 
@@ -164,15 +168,20 @@ class OrderBook:
         return self._headers(faulted)
 
     def invoices_with_copies(self) -> DataFrame:
-        """Clean headers plus one planted duplicate for each of five residues.
+        """Clean headers plus one planted duplicate for each of five residues, and two large groups.
 
-        The copy is made by exploding the row in place, so the book is computed once.
+        The copies are made by exploding the row in place, so the book is computed once. The first invoices
+        come again under one number of one company; the next ones come again as one vendor's bill, some a
+        cent or two days apart.
         """
-        residue = F.col("invoice_id") % COPY_MODULUS
-        copied = F.when(residue.between(1, 5), F.array(F.lit(0), F.lit(1)))
-        rows = self._headers(False).withColumn(
-            "copy", F.explode(F.coalesce(copied, F.array(F.lit(0))))
-        )
+        residue, key = F.col("invoice_id") % COPY_MODULUS, F.col("invoice_id")
+        copies = F.array_compact(F.array(
+            F.lit(0),
+            F.when(residue.between(1, 5), 1),
+            F.when(key.between(*BULK_NUMBER_IDS), 2),
+            F.when(key.between(*BULK_BILL_IDS), 3),
+        ))
+        rows = self._headers(False).withColumn("copy", F.explode(copies))
         is_copy = F.col("copy") == 1
         new_id = F.col("invoice_id") + COPY_ID_OFFSET
         foreign = F.concat(F.lit("ZX"), F.substring(F.md5(new_id.cast("string")), 1, 14))
@@ -185,19 +194,35 @@ class OrderBook:
 
         number, total, date = F.col("invoice_number"), F.col("total_amount"), F.col("invoice_date")
         more = F.lit(Decimal("500.00"))
+        numbered, billed = F.col("copy") == 2, F.col("copy") == 3
+        bulk = F.col("copy") >= 2
+
+        def in_bulk(by_number: Column | None, by_bill: Column, original: Column) -> Column:
+            out = F.when(billed, by_bill)
+            return (out if by_number is None else out.when(numbered, by_number)).otherwise(original)
+
+        cent = F.when(key > BULK_CENT_FROM, Decimal("777.78")).otherwise(Decimal("777.77"))
+        day = F.date_add(F.lit(BULK_DATE).cast("date"), F.when(key > BULK_DAYS_FROM, 2).otherwise(0))
+        shifted = key + COPY_ID_OFFSET * F.col("copy")
         return rows.select(
-            F.when(is_copy, new_id).otherwise(F.col("invoice_id")).alias("invoice_id"),
-            "company_id",
-            on_copy({5: F.col("vendor_id") + COPY_VENDOR_OFFSET}, F.col("vendor_id")).alias("vendor_id"),
-            on_copy({2: foreign, 3: F.concat(number, F.lit("A")), 4: foreign, 5: foreign}, number)
-            .alias("invoice_number"),
-            F.when(is_copy, F.floor(F.col("invoice_id") / COPY_MODULUS) % BATCHES)
+            F.when(bulk, shifted).when(is_copy, new_id).otherwise(key).alias("invoice_id"),
+            F.when(bulk, BULK_COMPANY).otherwise(F.col("company_id")).alias("company_id"),
+            in_bulk(
+                None, F.lit(BULK_VENDOR).cast("bigint"), on_copy({5: F.col("vendor_id") + COPY_VENDOR_OFFSET}, F.col("vendor_id"))
+            ).alias("vendor_id"),
+            in_bulk(
+                F.lit(BULK_NUMBER),
+                F.concat(F.lit("ZX"), F.substring(F.md5(shifted.cast("string")), 1, 14)),
+                on_copy({2: foreign, 3: F.concat(number, F.lit("A")), 4: foreign, 5: foreign}, number),
+            ).alias("invoice_number"),
+            F.when(bulk, key % BATCHES)
+            .when(is_copy, F.floor(key / COPY_MODULUS) % BATCHES)
             .otherwise(F.col("batch_id")).alias("batch_id"),
-            on_copy({1: F.date_add(date, 30), 3: F.date_add(date, 20), 4: F.date_add(date, 2)}, date)
+            in_bulk(None, day, on_copy({1: F.date_add(date, 30), 3: F.date_add(date, 20), 4: F.date_add(date, 2)}, date))
             .alias("invoice_date"),
             "subtotal",
             "tax_amount",
-            on_copy({1: total + more, 3: total + F.lit(Decimal("0.75")), 5: total + more}, total)
+            in_bulk(None, cent, on_copy({1: total + more, 3: total + F.lit(Decimal("0.75")), 5: total + more}, total))
             .cast("decimal(14,2)").alias("total_amount"),
             "status",
             "risk_score",

@@ -181,7 +181,15 @@ copies AS (
     subtotal, tax_amount,
     CAST(total_amount + CASE {_R} WHEN 1 THEN 500 WHEN 3 THEN 0.75 WHEN 5 THEN 500 ELSE 0 END AS DECIMAL(14,2)),
     status, risk_score
-  FROM invoices WHERE {_R} BETWEEN 1 AND 5),
+  FROM invoices WHERE {_R} BETWEEN 1 AND 5
+  UNION ALL
+  SELECT invoice_id + 20000000, 3, vendor_id, 'BULK-RESUBMISSION', invoice_id % 10, invoice_date, subtotal, tax_amount,
+    total_amount, status, risk_score FROM invoices WHERE invoice_id BETWEEN 0 AND 100
+  UNION ALL
+  SELECT invoice_id + 30000000, 3, 1, 'ZX' || substr(md5(CAST(invoice_id + 30000000 AS VARCHAR)), 1, 14), invoice_id % 10,
+    DATE '1998-01-05' + CAST(CASE WHEN invoice_id > 201 THEN 2 ELSE 0 END AS INTEGER), subtotal, tax_amount,
+    CAST(CASE WHEN invoice_id > 160 THEN 777.78 ELSE 777.77 END AS DECIMAL(14,2)), status, risk_score
+  FROM invoices WHERE invoice_id BETWEEN 101 AND 231),
 copy_items AS (
   SELECT * FROM items UNION ALL
   SELECT invoice_id + 10000000, product_name, quantity, unit_price, tax_percent, line_subtotal, line_tax, line_total
@@ -653,6 +661,10 @@ _FINAL: dict[str, str] = {
         LEFT JOIN vendors v ON v.vendor_id = c.vendor_id""",
     "d18_prior_pairs": "SELECT validation_type, a_id, b_id FROM prior",
     "d19_rescore": "SELECT invoice_id, rule_score, risk_score, status FROM rescored",
+    "d19_scan_scores": f"""SELECT s.invoice_id, CAST(least(rule_points, 100) AS DOUBLE) AS rule_score,
+        CAST(least(least(rule_points, 100) + points, 100) AS DOUBLE) AS risk_score,
+        {status_of('least(least(rule_points, 100) + points, 100)')} AS status
+        FROM (SELECT invoice_id, sum(penalty) AS points FROM sides GROUP BY invoice_id) s JOIN copy_scores USING (invoice_id)""",
     "d20_scan_summary": """SELECT count(*) FILTER (WHERE level = 1) AS exact_duplicates,
         count(*) FILTER (WHERE level = 2) AS vendor_duplicates, count(*) FILTER (WHERE level = 3) AS near_duplicates,
         count(*) FILTER (WHERE level IN (4, 5)) AS suspicious_duplicates FROM pairs""",

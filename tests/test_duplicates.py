@@ -65,7 +65,7 @@ def found(pairs):
 def test_pairs_equal_brute_force(spark, seed):
     invoices = random_invoices(seed, 150, short_number)
     rows = duplicates.scan_rows(*frames(spark, invoices))
-    assert found(duplicates.duplicate_pairs(rows, max_group=500)) == brute.all_pairs(invoices)
+    assert found(duplicates.duplicate_pairs(rows)) == brute.all_pairs(invoices)
 
 
 def test_unknown_companies_match_any(spark):
@@ -73,7 +73,7 @@ def test_unknown_companies_match_any(spark):
     for x in invoices[::7]:
         x["company_id"] = None
     rows = duplicates.scan_rows(*frames(spark, invoices))
-    pairs = duplicates.duplicate_pairs(rows, max_group=500, company_required=False)
+    pairs = duplicates.duplicate_pairs(rows)
     assert found(pairs) == brute.all_pairs(invoices)
 
 
@@ -82,7 +82,7 @@ def test_batch_scan_needs_a_scanned_side(spark):
     scanned = {x["invoice_id"] for x in invoices if x["batch_id"] == 1}
     rows = duplicates.scan_rows(*frames(spark, invoices), batch_ids=[1])
     expected = brute.all_pairs(invoices, scanned)
-    assert found(duplicates.duplicate_pairs(rows, max_group=500)) == expected
+    assert found(duplicates.duplicate_pairs(rows)) == expected
     totals = duplicates.pair_totals(rows).first()
     assert list(totals) == [list(expected.values()).count(n) for n in (1, 2, 3, 4, 5)]
 
@@ -101,32 +101,88 @@ def test_totals_count_hot_groups_exactly(spark, seed):
     assert list(totals) == [expected.count(n) for n in (1, 2, 3, 4, 5)]
 
 
-def test_large_groups_keep_scores_exact_in_linear_space(spark):
-    rng = random.Random(4)
-    invoices = random_invoices(4, 160, lambda r: "N%07d" % r.randrange(10**7), vendors=1, companies=1, nulls=False)
-    for x in invoices:
-        x.update(cents=rng.randrange(10**6), day=20_000 + 10 * x["invoice_id"], items=[("p%d" % x["invoice_id"], "1", "2")])
-    for x in invoices[:40]:
-        x["invoice_number"] = "N/A"
-    for x in invoices[40:80]:
-        x.update(cents=777, day=5)
-    for x in invoices[80:120]:
-        x["items"] = [("hosting", "1", "9.99")]
-    frame, items = frames(spark, invoices)
-    rows = duplicates.scan_rows(frame, items)
-    listed = duplicates.duplicate_pairs(rows, max_group=8)
-    assert listed.count() < 3 * 45
-    expected = brute.all_pairs(invoices)
-    listed_levels = {(r["a_id"], r["b_id"]): r["level"] for r in listed.filter("group_size = 0").collect()}
-    assert listed_levels.items() <= expected.items()
+def _measures(rows):
+    return {r["level"]: (r["pairs"], int(r["amount"] * 100)) for r in duplicates.pair_measures(rows).collect()}
+
+
+def _expected_measures(invoices, pairs):
+    cents = {x["invoice_id"]: abs(x["cents"] or 0) for x in invoices}
+    out = {}
+    for (a, _), level in pairs.items():
+        n, amount = out.get(level, (0, 0))
+        out[level] = (n + 1, amount + cents[a])
+    return out
+
+
+def _scores(pairs):
     partners = {}
-    for (a, b), level in expected.items():
+    for (a, b), level in pairs.items():
         for i in (a, b):
             partners[i] = partners.get(i, 0) + brute.CODES[level]
+    return {i: min(10.0 + p, 100.0) for i, p in partners.items()}
+
+
+def _found_scores(spark, rows, frame):
     prior = spark.createDataFrame([], "validation_type string, a_id long, b_id long")
     assessed = frame.withColumn("assessed_score", F.lit(10))
-    scores = {r["invoice_id"]: float(r["risk_score"]) for r in duplicates.rescore(listed, prior, assessed).collect()}
-    assert scores == {i: min(10.0 + p, 100.0) for i, p in partners.items()}
+    return {r["invoice_id"]: float(r["risk_score"]) for r in duplicates.scan_scores(rows, prior, assessed).collect()}
+
+
+@pytest.mark.parametrize(("unknown", "batches"), [(False, None), (True, [1])])
+def test_measures_and_scores_without_a_list(spark, unknown, batches):
+    """Groups of all sizes, amounts a cent apart, unknown companies, blank numbers: no pair is listed."""
+    rng = random.Random(21)
+    invoices = random_invoices(21, 150, short_number, nulls=unknown)
+    for x in invoices[:30]:
+        x["invoice_number"] = "N/A"
+    for x in invoices[30:60]:
+        x.update(vendor_id=1, company_id=1, cents=777 + rng.randrange(2), day=5, invoice_number=short_number(rng))
+    for x in invoices[60:80]:
+        x["items"] = [("hosting", "1", "9.99")]
+    for x in invoices[80:100]:
+        x.update(vendor_id=2, company_id=1, cents=9_000 + rng.randrange(60), invoice_number="INV-2024-0000%d" % rng.randrange(3))
+    for x in invoices[::9] if unknown else []:
+        x["company_id"] = None
+    frame, items = frames(spark, invoices)
+    rows = duplicates.scan_rows(frame, items, batches)
+    scanned = None
+    if batches is not None:
+        scanned = {x["invoice_id"] for x in invoices if x["batch_id"] in batches}
+        # Other rows take part if their company is known to the scan.
+        tenants = {x["company_id"] for x in invoices if x["invoice_id"] in scanned} - {None}
+        invoices = [x for x in invoices if x["invoice_id"] in scanned or x["company_id"] in tenants]
+    expected = brute.all_pairs(invoices, scanned)
+    assert _measures(rows) == _expected_measures(invoices, expected)
+    assert list(duplicates.pair_totals(rows).first()) == [list(expected.values()).count(n) for n in (1, 2, 3, 4, 5)]
+    assert _found_scores(spark, rows, frame) == _scores(expected)
+    assert found(duplicates.duplicate_pairs(rows)) == expected
+
+
+@pytest.mark.parametrize("size", [101, 1000])
+def test_groups_of_any_size(spark, size, monkeypatch):
+    """One form of the result: all pairs are listed, and the measures agree with the list."""
+    monkeypatch.setattr(duplicates, "MEMBERS_PER_TASK", 64)
+    invoices = random_invoices(4, size + 20, lambda r: "N%07d" % r.randrange(10**7), vendors=1, companies=1, nulls=False)
+    for n, x in enumerate(invoices):
+        x.update(cents=10**6 * n, day=20_000 + 10 * n, items=[("p%d" % n, "1", "2")])
+    for x in invoices[:size]:
+        x["invoice_number"] = "N/A"
+    frame, items = frames(spark, invoices)
+    rows = duplicates.scan_rows(frame, items)
+    pairs = found(duplicates.duplicate_pairs(rows))
+    ids = [x["invoice_id"] for x in invoices[:size]]
+    assert sum(level == 1 for level in pairs.values()) == size * (size - 1) // 2
+    assert all(pairs[min(a, b), max(a, b)] == 1 for a, b in zip(ids, ids[1:], strict=False))
+    assert _measures(rows) == _expected_measures(invoices, pairs)
+    assert _found_scores(spark, rows, frame) == _scores(pairs)
+
+
+def test_scores_list_few_pairs(spark):
+    invoices = random_invoices(4, 600, lambda r: "N%07d" % r.randrange(10**7), vendors=1, companies=1, nulls=False)
+    for n, x in enumerate(invoices):
+        x.update(invoice_number="N/A", cents=10**6 * n, day=20_000 + 10 * n, items=[])
+    rows = duplicates.scan_rows(*frames(spark, invoices))
+    assert duplicates._matches(rows, duplicates.SATURATING_PARTNERS).count() < 601
 
 
 def near_by_route(spark, numbers, hot_block, max_keys=near.MAX_KEYS):
@@ -234,8 +290,8 @@ def test_item_identity(spark):
 
 def test_rescore_adds_prior_levels_once(spark):
     pairs = spark.createDataFrame(
-        [(1, 2, "DUPLICATE_DATE", 0), (3, 4, "DUPLICATE_EXACT", 0)],
-        "a_id long, b_id long, validation_type string, group_size long",
+        [(1, 2, "DUPLICATE_DATE"), (3, 4, "DUPLICATE_EXACT")],
+        "a_id long, b_id long, validation_type string",
     )
     stored = spark.createDataFrame(
         [(1, "DUPLICATE_DATE", 2), (2, "DUPLICATE_DATE", 1), (2, "DUPLICATE_ITEM", 1),
