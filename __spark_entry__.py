@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from importlib.util import find_spec
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,9 +143,14 @@ class Tables:
 
     # flat rows of the blend
     def flat(self):
-        item = self.faulted_items().withColumn(
-            "row_id", F.xxhash64("invoice_id", "product_name", "quantity", "unit_price", "tax_percent")
-        )
+        # A line is known by its content and, among equal lines, by a number.
+        content = F.md5(F.concat_ws("|", *[
+            F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+            ("invoice_id", "product_name", "quantity", "unit_price", "tax_percent")
+        ]))
+        item = self.faulted_items().withColumn("content", content)
+        nth = F.row_number().over(Window.partitionBy("content").orderBy("invoice_id"))
+        item = item.withColumn("row_id", F.concat("content", F.lit("-"), nth.cast("string")))
         head = self.faulted().select("invoice_id", "vendor_id", "invoice_date")
         key = F.col("invoice_id")
         return (
@@ -370,30 +375,23 @@ def _medians(t: Tables) -> DataFrame:
 
 
 def _filled(t: Tables) -> DataFrame:
-    rows = anomaly.fill_medians(
-        anomaly.coerce_numbers(_ml_rows(t)), ("quantity", "unit_price", "total_amount")
-    )
-    return rows.select("order_key", "quantity", "unit_price", "total_amount")
+    rows = anomaly.build_features(_ml_rows(t))
+    return rows.select("row_id", *anomaly.FEATURES[:3], F.round("vendor_avg_price_ratio", 6).alias("vendor_avg_price_ratio"))
 
 
 def _scaled(t: Tables) -> DataFrame:
-    columns = ("quantity", "unit_price", "total_amount")
-    rows = anomaly.fill_medians(anomaly.coerce_numbers(_ml_rows(t)), columns)
-    scaled = anomaly.scale(rows, anomaly.scaler(rows, columns), columns)
+    rows = anomaly.build_features(_ml_rows(t))
+    scaled = anomaly.scale(rows, anomaly.scaler(rows))
     # Adding zero turns a negative zero into a plain one.
-    return scaled.select("order_key", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in columns])
-
-
-def _unique_ml_rows(t: Tables) -> DataFrame:
-    return _ml_rows(t).dropDuplicates(["row_id"])
+    return scaled.select("row_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in anomaly.FEATURES])
 
 
 def _anomaly_scores(t: Tables) -> DataFrame:
-    return anomaly.score(_unique_ml_rows(t)).select("row_id", "ml_risk_score", "ml_flag")
+    return anomaly.score(_ml_rows(t)).select("row_id", "ml_risk_score", "ml_flag")
 
 
 def _blended_with_ml(t: Tables) -> DataFrame:
-    scores = anomaly.score(_unique_ml_rows(t))
+    scores = anomaly.score(_ml_rows(t))
     scored = blend.score_rows(t.coded(), scores)
     return scored.select("row_id", "invoice_id", "rule_score", "ml_risk_score", "ml_flag", "status", "risk_score")
 

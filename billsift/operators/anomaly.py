@@ -3,10 +3,16 @@
 Preparation is plain DataFrame work. Every tree is grown in its own task from a
 bounded sample, and scoring is an Arrow-batched pass against the forest, whose size
 depends on the number of trees only.
+
+Nothing is left to chance or to the order of additions: samples, features and thresholds
+come from digests of row ids and node numbers, scaled features are compared to nine
+decimals, and depths are whole numbers. The same rows give the same scores on any
+cluster, and SQL can state the same forest level by level.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log2
@@ -31,7 +37,12 @@ SAMPLE = 256
 
 _BINS_PER_DOUBLING = 512
 _SLICES = 4096
-_HASH_RANGE = 1 << 31
+_HASH_RANGE = 1 << 32
+#: Rows offered to the trees, as a multiple of the rows that all trees together take.
+POOL = 2
+#: Decimals to which scaled features are compared, and parts of a step in which depths are counted.
+FEATURE_DECIMALS = 9
+DEPTH_PARTS = 1_000_000
 
 
 # -- features ----------------------------------------------------------------
@@ -154,20 +165,25 @@ def scale(features: DataFrame, fitted: DataFrame, columns: tuple[str, ...] = FEA
     return out.drop(*[f"{c}_{part}" for c in columns for part in ("mean", "std")])
 
 
+def _compared(scaled: DataFrame) -> DataFrame:
+    """Features as the trees compare them; adding zero turns a negative zero into a plain one."""
+    return scaled.withColumns({c: F.round(c, FEATURE_DECIMALS) + F.lit(0.0) for c in FEATURES})
+
+
 # -- forest ------------------------------------------------------------------
 
 _NODE_SCHEMA = (
-    "tree int, node int, feature int, threshold double, left int, right int, path double, sample int"
+    "tree int, node int, feature int, threshold double, left int, right int, path long, sample int"
 )
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Node table, scaler row, and the decision offset found at fit time."""
+    """Node table, scaler row, and the depth found at fit time below which a row is an outlier."""
 
     nodes: DataFrame
     scaler: DataFrame
-    offset: float
+    offset: int
 
 
 def average_path(n: float) -> float:
@@ -179,45 +195,59 @@ def average_path(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def _share(*parts) -> float:
+    """A number from 0 to below 1 that the parts alone decide."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / _HASH_RANGE
+
+
+def _drawn(*parts: str) -> str:
+    """SQL for the whole number behind ``_share`` of SQL texts."""
+    return f"cast(conv(substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8), 16, 10) as bigint)"
+
+
 def _grow_tree(pdf: pd.DataFrame, sample: int) -> pd.DataFrame:
-    """Isolation tree over one bounded sample."""
+    """Isolation tree over one bounded sample. The children of place p are places 2p and 2p + 1."""
     tree = int(pdf["tree"].iloc[0])
     chosen = pdf.sort_values(["draw", "row_id"]).head(sample)
     x = chosen[list(FEATURES)].to_numpy(dtype=float)
-    rng = np.random.default_rng([SEED, tree])
     limit = ceil(log2(max(len(x), 2)))
     nodes = []
-    todo = [(0, np.arange(len(x)), 0)]
+    todo = [(0, 1, np.arange(len(x)), 0)]
     issued = 1
     while todo:
-        node, rows, depth = todo.pop()
+        node, place, rows, depth = todo.pop()
         spread = np.flatnonzero(np.ptp(x[rows], axis=0) > 0) if len(rows) > 1 else []
         if depth >= limit or len(spread) == 0:
-            nodes.append((tree, node, -1, 0.0, -1, -1, depth + average_path(len(rows)), len(x)))
+            path = round(DEPTH_PARTS * (depth + average_path(len(rows))))
+            nodes.append((tree, node, -1, 0.0, -1, -1, path, len(x)))
             continue
-        feature = int(rng.choice(spread))
+        feature = int(spread[int(_share(SEED, tree, place, "feature") * len(spread))])
         values = x[rows, feature]
-        threshold = rng.uniform(values.min(), values.max())
+        low, high = values.min(), values.max()
+        threshold = low + _share(SEED, tree, place, "threshold") * (high - low)
+        threshold = low if threshold >= high else threshold
         goes_left = values <= threshold
         left, right = issued, issued + 1
         issued += 2
-        nodes.append((tree, node, feature, threshold, left, right, 0.0, len(x)))
-        todo += [(left, rows[goes_left], depth + 1), (right, rows[~goes_left], depth + 1)]
+        nodes.append((tree, node, feature, threshold, left, right, 0, len(x)))
+        todo += [(left, 2 * place, rows[goes_left], depth + 1), (right, 2 * place + 1, rows[~goes_left], depth + 1)]
     names = [part.split()[0] for part in _NODE_SCHEMA.split(", ")]
     return pd.DataFrame(nodes, columns=names)
 
 
 def _tree_samples(scaled: DataFrame, total: int, trees: int, sample: int) -> DataFrame:
-    """Independent samples of about 1.3 times the tree size, drawn by hash in one pass."""
+    """Samples of about 1.3 times the tree size, drawn by digest in one pass.
+
+    A first draw leaves a pool of bounded size, whose rows are offered to every tree.
+    """
     share = min(1.0, 1.3 * sample / max(total, 1))
-    # On large data a first draw leaves enough rows for all trees before each row is offered to each.
-    kept = min(1.0, 8.0 * trees * sample / max(total, 1))
-    first = F.pmod(F.xxhash64(F.lit(SEED), "row_id"), F.lit(_HASH_RANGE)) < int(kept * _HASH_RANGE)
+    kept = min(1.0, float(POOL) * trees * sample / max(total, 1))
+    key = "cast(row_id as string)"
+    first = F.expr(_drawn(f"'{SEED}'", key)) < int(kept * _HASH_RANGE)
     limit = int(min(1.0, share / kept) * _HASH_RANGE)
-    draw = f"pmod(xxhash64({SEED + 1}, row_id, t), {_HASH_RANGE}L)"
     hits = F.expr(
-        f"filter(transform(sequence(0, {trees - 1}), t -> struct(t as tree, {draw} as draw)),"
-        f" s -> s.draw < {limit}L)"
+        f"filter(transform(sequence(0, {trees - 1}), t -> struct(t as tree, "
+        f"{_drawn(key, 'cast(t as string)')} as draw)), s -> s.draw < {limit}L)"
     )
     return scaled.filter(first).select("row_id", *FEATURES, F.inline(hits))
 
@@ -229,7 +259,7 @@ def _grow(scaled: DataFrame, total: int, trees: int, sample: int) -> DataFrame:
 
 
 def _path_lengths(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds ``isolation`` (0..1, higher is more anomalous).
+    """Adds ``depth`` (summed over the trees, in parts of a step) and ``isolation`` (0..1, higher is more anomalous).
 
     The forest has at most 2 x trees x sample nodes, so it is shipped to every task.
     """
@@ -244,15 +274,15 @@ def _path_lengths(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
     packed = scaled.sparkSession.sparkContext.broadcast(
         (
             table["feature"].to_numpy(), table["threshold"].to_numpy(), children[0], children[1],
-            table["path"].to_numpy(), roots, norm or 1.0,
+            table["path"].to_numpy(), roots,
         )
     )
 
-    def isolation(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        feature, threshold, left, right, path, root, c = packed.value
+    def depth(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        feature, threshold, left, right, path, root = packed.value
         for columns in batches:
             x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
-            out = np.empty(len(x))
+            out = np.empty(len(x), np.int64)
             for begin in range(0, len(x), 2000):
                 part = x[begin : begin + 2000]
                 at = np.broadcast_to(root, (len(part), len(root))).copy()
@@ -263,26 +293,33 @@ def _path_lengths(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
                         break
                     value = part[rows, np.maximum(f, 0)]
                     at = np.where(value <= threshold[at], left[at], right[at])
-                out[begin : begin + 2000] = 2.0 ** (-path[at].mean(axis=1) / c)
+                out[begin : begin + 2000] = path[at].sum(axis=1)
             yield pd.Series(out)
 
-    return scaled.withColumn("isolation", F.pandas_udf(isolation, "double")(*[F.col(c) for c in FEATURES]))
+    found = scaled.withColumn("depth", F.pandas_udf(depth, "long")(*[F.col(c) for c in FEATURES]))
+    mean = F.col("depth") / float(DEPTH_PARTS * max(len(roots), 1))
+    return found.withColumn("isolation", F.pow(F.lit(2.0), -mean / (norm or 1.0)))
 
 
-def _offset(isolation: DataFrame, contamination: float) -> float:
-    """Score that the assumed share of outliers lies above: the exact value of that rank.
+def _depth_at(depths: DataFrame, rank: int) -> int:
+    """The depth of the row with this rank from the deepest: three rounds of counting in equal parts."""
+    prefix = None
+    for shift in (24, 12, 0):
+        part = F.shiftright("depth", shift)
+        held = depths if prefix is None else depths.filter(F.shiftright("depth", shift + 12) == prefix)
+        # A part has 4096 parts at most.
+        counts = sorted(map(tuple, held.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect()), reverse=True)
+        for prefix, n in counts:
+            if n >= rank:
+                break
+            rank -= n
+    return prefix
 
-    The rank is found among counted bins first, then among the distinct values of one bin.
-    """
-    rank = max(1, ceil((1.0 - min(contamination, MAX_CONTAMINATION)) * isolation.count()))
-    binned = isolation.select("isolation", F.floor(F.col("isolation") * _SLICES).alias("bin"))
-    upto = Window.orderBy("bin")
-    bins = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).withColumn("reached", F.sum("n").over(upto))
-    held = bins.filter(F.col("reached") >= rank).orderBy("bin").first()
-    left = rank - (held["reached"] - held["n"])
-    values = binned.filter(F.col("bin") == held["bin"]).groupBy("isolation").agg(F.count(F.lit(1)).alias("n"))
-    reached = values.withColumn("reached", F.sum("n").over(Window.orderBy("isolation")))
-    return reached.filter(F.col("reached") >= left).agg(F.min("isolation").alias("offset")).first()["offset"]
+
+def _offset(depths: DataFrame, contamination: float) -> int:
+    """The depth that the assumed share of outliers lies below, exactly."""
+    rank = max(1, ceil((1.0 - min(contamination, MAX_CONTAMINATION)) * depths.count()))
+    return _depth_at(depths, rank)
 
 
 def _fit_features(
@@ -293,10 +330,10 @@ def _fit_features(
     if total < 2:
         raise ValueError("need at least 2 rows to train the forest")
     fitted = cut_lineage(scaler(features))
-    scaled = scale(features, fitted)
+    scaled = _compared(scale(features, fitted))
     # Pin the forest: growing it again for the next use would be wasted work.
     nodes = cut_lineage(_grow(scaled, total, trees, sample))
-    isolation = cut_lineage(_path_lengths(scaled, nodes).select("row_id", "isolation"))
+    isolation = cut_lineage(_path_lengths(scaled, nodes).select("row_id", "depth", "isolation"))
     return Forest(nodes, fitted, _offset(isolation, contamination)), isolation
 
 
@@ -334,13 +371,13 @@ def score(rows: DataFrame, model: Forest | None = None) -> DataFrame:
     if model is None:
         model, raw = _fit_features(features, TREES, CONTAMINATION)
     else:
-        raw = _path_lengths(scale(features, model.scaler), model.nodes).select("row_id", "isolation")
+        raw = _path_lengths(_compared(scale(features, model.scaler)), model.nodes).select("row_id", "depth", "isolation")
     span = raw.agg(F.min("isolation").alias("least"), F.max("isolation").alias("most"))
     # decision = offset - isolation, so the most isolated row has the lowest decision value.
     position = (F.col("isolation") - F.col("least")) / (F.col("most") - F.col("least") + 1e-9)
     scores = beside(raw, span).select(
         "row_id",
         F.round(position * 100, 1).alias("ml_risk_score"),
-        (F.col("isolation") > model.offset).alias("ml_flag"),
+        (F.col("depth") < model.offset).alias("ml_flag"),
     )
     return rows.join(scores, "row_id")

@@ -336,11 +336,14 @@ vendor_ids AS (
 
 _FLAT = f"""
 flat AS (
-  SELECT 'INV-' || CAST(i.invoice_id AS VARCHAR) || '-' || CAST(quantity AS VARCHAR) AS invoice_id,
+  SELECT content || '-' || CAST(row_number() OVER (PARTITION BY content ORDER BY i.invoice_id) AS VARCHAR) AS row_id,
+    'INV-' || CAST(i.invoice_id AS VARCHAR) || '-' || CAST(quantity AS VARCHAR) AS invoice_id,
     i.invoice_id AS order_key, vendor_name, invoice_date,
     CASE WHEN i.invoice_id % 89 <> 0 THEN quantity END AS quantity, unit_price, tax_percent AS gst_percent,
     CAST(line_total + CASE WHEN i.invoice_id % 53 = 0 THEN 10 ELSE 0 END AS DECIMAL(14,2)) AS total_amount
-  FROM fitems i JOIN faulted h ON h.invoice_id = i.invoice_id LEFT JOIN vendors v ON v.vendor_id = h.vendor_id),
+  FROM (SELECT *, md5(concat_ws('|', CAST(invoice_id AS VARCHAR), coalesce(product_name, ''), CAST(quantity AS VARCHAR),
+      CAST(unit_price AS VARCHAR), CAST(tax_percent AS VARCHAR))) AS content FROM fitems) i
+    JOIN faulted h ON h.invoice_id = i.invoice_id LEFT JOIN vendors v ON v.vendor_id = h.vendor_id),
 flat_expected AS (
   SELECT *, round(quantity * unit_price + quantity * unit_price * coalesce(gst_percent, 0) * {CENT}, 2) AS expected
   FROM flat),
@@ -362,10 +365,10 @@ ruled AS (
     AS rule_score FROM coded)"""
 
 
-def _blend(name: str, anomaly: str, flag: str) -> str:
+def _blend(name: str, anomaly: str, flag: str, source: str = "ruled") -> str:
     mixed = f"greatest(CAST(rule_score AS DECIMAL(9,2)), CAST({anomaly} AS DECIMAL(9,2)) * CAST(0.6 AS DECIMAL(2,1)) + rule_score * CAST(0.4 AS DECIMAL(2,1)))"
     return f"""
-{name}_0 AS (SELECT *, round(least(CAST(100 AS DECIMAL(9,2)), {mixed}), 1) AS combined FROM ruled),
+{name}_0 AS (SELECT *, round(least(CAST(100 AS DECIMAL(9,2)), {mixed}), 1) AS combined FROM {source}),
 {name}_1 AS (SELECT *, list_contains(codes, 'DUPLICATE_INVOICE') AS dup,
   list_contains(codes, 'TOTAL_MISMATCH') OR combined >= 50 OR {flag} AS high FROM {name}_0),
 {name} AS (SELECT *, CASE WHEN dup THEN 'Duplicate' WHEN high THEN 'High Risk' WHEN len(codes) > 0 THEN 'Needs Review'
@@ -434,11 +437,86 @@ ratios AS (SELECT f.*, CASE WHEN mean = 0 THEN CASE WHEN unit_price <> 0 THEN 1.
     ELSE CAST(unit_price AS DOUBLE) / mean END AS ratio
   FROM flat f LEFT JOIN (SELECT vendor_name, avg(CAST(unit_price AS DOUBLE)) AS mean FROM flat
     WHERE vendor_name IS NOT NULL GROUP BY vendor_name) m ON m.vendor_name = f.vendor_name),
-filled AS (SELECT order_key, coalesce(CAST(quantity AS DOUBLE), (SELECT median(CAST(quantity AS DOUBLE)) FROM flat)) AS quantity,
-  CAST(unit_price AS DOUBLE) AS unit_price, CAST(total_amount AS DOUBLE) AS total_amount FROM flat)""",
+filled AS (SELECT row_id, {_filled}
+  FROM ratios)""".replace("{_filled}", ", ".join(
+            f"coalesce(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM ratios)) AS {n}"
+            for c, n in (("quantity", "quantity"), ("unit_price", "unit_price"), ("total_amount", "total_amount"),
+                         ("ratio", "vendor_avg_price_ratio"))
+        )),
     ]
 )
 
+_FEATURES = ("quantity", "unit_price", "total_amount", "vendor_avg_price_ratio")
+_LEVELS, _TREES, _SAMPLE = 8, 200, 256
+
+
+def _share(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def _forest() -> str:
+    """The forest level by level: samples, splits of the nodes of each level, and the way of each row through all trees."""
+    scaled = ", ".join(
+        f"coalesce(round(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 9), 0) + 0.0::DOUBLE AS f{n}"
+        for n, c in enumerate(_FEATURES)
+    )
+    features = ", ".join(f"f{n}" for n in range(4))
+
+    def own(row: str, node: str) -> str:
+        return f"CASE {node}.feature WHEN 0 THEN {row}.f0 WHEN 1 THEN {row}.f1 WHEN 2 THEN {row}.f2 ELSE {row}.f3 END"
+
+    ranges = ", ".join(f"min(f{n}) AS low{n}, max(f{n}) AS high{n}" for n in range(4))
+    wide = ", ".join(f"CASE WHEN high{n} > low{n} THEN {n} END" for n in range(4))
+    bounds = "[low0, low1, low2, low3][feature + 1] AS low, [high0, high1, high2, high3][feature + 1] AS high"
+    feature = _share("'42'", "CAST(tree AS VARCHAR)", "CAST(node AS VARCHAR)", "'feature'")
+    threshold = _share("'42'", "CAST(tree AS VARCHAR)", "CAST(node AS VARCHAR)", "'threshold'")
+    cut = f"low + {threshold} / 4294967296.0::DOUBLE * (high - low)"
+    parts = [f"""
+ml AS (SELECT row_id, {scaled} FROM filled),
+ml_sizes AS (SELECT count(*) AS total, least(1.0::DOUBLE, 2.0::DOUBLE * {_TREES} * {_SAMPLE} / count(*)) AS kept,
+  least(1.0::DOUBLE, 1.3::DOUBLE * {_SAMPLE} / count(*)) AS share FROM ml),
+pool AS (SELECT row_id, {features} FROM ml, ml_sizes WHERE {_share("'42'", 'row_id')} < floor(kept * 4294967296)),
+draws AS (SELECT * FROM (SELECT row_id, {features}, CAST(t AS INTEGER) AS tree,
+    {_share('row_id', 'CAST(t AS VARCHAR)')} AS draw FROM pool, range({_TREES}) r(t)), ml_sizes
+  WHERE draw < floor(least(1.0::DOUBLE, share / kept) * 4294967296)),
+grown0 AS MATERIALIZED (SELECT tree, {features}, 1 AS node FROM draws
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY draw, row_id) <= {_SAMPLE})"""]
+    for level in range(_LEVELS + 1):
+        chosen = "wide[1 + CAST(floor(pick / 4294967296.0::DOUBLE * len(wide)) AS INTEGER)]" if level < _LEVELS else "NULL"
+        parts.append(f"""
+nodes{level} AS MATERIALIZED (SELECT tree, node, n, feature, CASE WHEN cut >= high THEN low ELSE cut END AS threshold FROM (
+  SELECT *, {cut} AS cut FROM (SELECT *, {bounds} FROM (
+    SELECT *, {chosen} AS feature FROM (
+      SELECT *, list_filter([{wide}], lambda x: x IS NOT NULL) AS wide, {feature} AS pick FROM (
+        SELECT tree, node, count(*) AS n, {ranges} FROM grown{level} GROUP BY tree, node))))))""")
+        if level < _LEVELS:
+            parts.append(f"""
+grown{level + 1} AS MATERIALIZED (SELECT g.tree, {features}, 2 * g.node + CASE WHEN {own('g', 'k')} <= k.threshold THEN 0 ELSE 1 END AS node
+  FROM grown{level} g JOIN nodes{level} k ON g.tree = k.tree AND g.node = k.node WHERE k.feature IS NOT NULL)""")
+    every = " UNION ALL ".join(
+        f"""SELECT tree, node, feature, threshold, CAST(round(1000000 * ({level} + CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1
+          ELSE 2 * (ln(n - 1) + 0.5772156649015329) - 2.0::DOUBLE * (n - 1) / n END)) AS BIGINT) AS path FROM nodes{level}"""
+        for level in range(_LEVELS + 1)
+    )
+    parts.append(f"\nnodes AS MATERIALIZED ({every})")
+    way = f"SELECT row_id, {features}, CAST(t AS INTEGER) AS tree, 1 AS node FROM ml, range({_TREES}) r(t)"
+    for level in range(_LEVELS):
+        step = f"CASE WHEN k.feature IS NULL THEN w.node ELSE 2 * w.node + CASE WHEN {own('w', 'k')} <= k.threshold THEN 0 ELSE 1 END END"
+        way = (f"SELECT row_id, {features}, w.tree, {step} AS node FROM ({way}) w "
+               f"JOIN (SELECT * FROM nodes WHERE node < {2 ** (level + 1)}) k ON w.tree = k.tree AND w.node = k.node")
+    mean = f"(-(depth / {1_000_000.0 * _TREES}::DOUBLE) / (2 * (ln({_SAMPLE} - 1) + 0.5772156649015329) - 2.0::DOUBLE * {_SAMPLE - 1} / {_SAMPLE}))"
+    parts.append(f"""
+depths AS MATERIALIZED (SELECT row_id, CAST(sum(path) AS BIGINT) AS depth FROM ({way}) w
+  JOIN nodes k ON w.tree = k.tree AND w.node = k.node GROUP BY row_id),
+isolated AS (SELECT *, pow(2.0::DOUBLE, {mean}) AS isolation, row_number() OVER (ORDER BY depth DESC) AS place FROM depths),
+ml_scores AS (SELECT row_id, round((isolation - min(isolation) OVER ()) / (max(isolation) OVER () - min(isolation) OVER () + 1e-9) * 100, 1)
+    AS ml_risk_score,
+  depth < (SELECT depth FROM isolated WHERE place = (SELECT CAST(ceil((1.0::DOUBLE - 0.2::DOUBLE) * total) AS BIGINT) FROM ml_sizes)) AS ml_flag
+  FROM isolated),
+ruled_ml AS (SELECT r.*, ml_risk_score, ml_flag FROM ruled r JOIN ml_scores USING (row_id))""")
+    return ",".join([*parts, _blend("aided", "ml_risk_score", "ml_flag", "ruled_ml")])
+
+
 _TOTAL = "coalesce(total_amount, 0)"
 _LOSS = "status IN ('High Risk', 'Critical', 'Duplicate')"
 _KPIS = f"""SELECT (SELECT count(*) FROM batches) AS total_uploads, count(*) AS total_invoices,
@@ -774,13 +852,22 @@ _FINAL: dict[str, str] = {
         UNION ALL SELECT 'unit_price', CAST(unit_price AS DOUBLE) FROM ratios
         UNION ALL SELECT 'total_amount', CAST(total_amount AS DOUBLE) FROM ratios
         UNION ALL SELECT 'vendor_avg_price_ratio', ratio FROM ratios) GROUP BY feature""",
-    "m3_filled_rows": "SELECT * FROM filled",
-    "m4_scaled_rows": """SELECT order_key,
-        round((quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER (), 5) + 0.0::DOUBLE AS quantity,
-        round((unit_price - avg(unit_price) OVER ()) / stddev_pop(unit_price) OVER (), 5) + 0.0::DOUBLE AS unit_price,
-        round((total_amount - avg(total_amount) OVER ()) / stddev_pop(total_amount) OVER (), 5) + 0.0::DOUBLE AS total_amount FROM filled""",
+    "m3_filled_rows": """SELECT row_id, quantity, unit_price, total_amount, round(vendor_avg_price_ratio, 6) AS vendor_avg_price_ratio
+        FROM filled""",
+    "m4_scaled_rows": "SELECT row_id, " + ", ".join(
+        f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) + 0.0::DOUBLE AS {c}" for c in _FEATURES
+    ) + " FROM filled",
+}
+
+# Statements that need the forest, which the others are spared.
+_WITH_FOREST: dict[str, str] = {
+    "m5_m7_anomaly_scores": "SELECT row_id, ml_risk_score, ml_flag FROM ml_scores",
+    "k3_scored_with_ml": """SELECT row_id, invoice_id, CAST(rule_score AS BIGINT) AS rule_score, ml_risk_score, ml_flag, status, risk_score
+        FROM aided""",
 }
 
 
 def statements() -> dict[str, str]:
-    return {name: f"{PRELUDE}\n{final}" for name, final in _FINAL.items()}
+    plain = {name: f"{PRELUDE}\n{final}" for name, final in _FINAL.items()}
+    forest = f"{PRELUDE},{_forest()}"
+    return plain | {name: f"{forest}\n{final}" for name, final in _WITH_FOREST.items()}
