@@ -162,7 +162,7 @@ class Vocabulary:
         }
         self.automaton = SuffixAutomaton({symbols(t): i for t, i in reached.items()})
         self._pairs: dict[int, bool] = words.Kept(
-            lambda key: self._agree(key >> 32, key & 0xFFFFFFFF, len(merges)), 1_000_000
+            lambda key: self._agree(key >> 32, key & 0xFFFFFFFF, len(merges))
         )
         self.pieces = words.Kept(self._piece_bytes)
         self.chunks = words.Kept(self._chunk_bytes)
@@ -227,6 +227,11 @@ class Vocabulary:
         known = self.chunks
         return b"".join([known[c] for c in words.chunks(text)])
 
+    def forget(self) -> None:
+        """Drops what was kept for pieces and chunks of earlier texts."""
+        for kept in (self._pairs, self.pieces, self.chunks):
+            kept.forget()
+
     def decode(self, ids: bytes) -> str:
         """Token strings joined by blanks; the file names no decoder."""
         names = self.names
@@ -269,6 +274,7 @@ def transcode(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                 names=["doc_id", "ids", "decoded"],
             )
+        known.forget()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -304,6 +310,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 ],
                 names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
+        known.forget()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]

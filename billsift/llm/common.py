@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billsift.session import cut_lineage
+from billsift.session import cut_lineage, discard
 
 #: White space of the word definition: blank, tab, line feed, vertical tab, form feed, return.
 WORD_GAPS = " \t\n\x0b\x0c\r"
@@ -62,6 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = links.agg(
             F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")
         ).first()
+        # A round needs nothing of the one before once it is stored.
+        discard(links, large)
         links = fresh
         if state == before:
             break

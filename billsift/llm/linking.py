@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billsift.llm.common import components, stored
+from billsift.session import discard
 
 Grams = Callable[[str], np.ndarray]
 
@@ -116,8 +117,10 @@ def linked(
     best = ready.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("m"))).alias("best")).select(
         (-F.col("best.m")).alias("a"), "b"
     )
-    tested = stored(compared(best, texts, grams, percent))
-    roots = stored(components(tested.filter("similar").select("a", "b")))
+    first_tested = stored(compared(best, texts, grams, percent))
+    tested = first_tested
+    first_roots = stored(components(tested.filter("similar").select("a", "b")))
+    roots = first_roots
     # Second turn: the smallest of every bucket against members of other components.
     pairs = (
         _labelled(ready.select("a", F.col("b").alias("id")), roots)
@@ -127,6 +130,7 @@ def linked(
         .join(tested, ["a", "b"], "left_anti")
     )
     tested = stored(tested.unionByName(compared(pairs, texts, grams, percent)))
+    discard(first_tested, first_roots, ready, texts)
     found = tested.filter("similar").select("a", "b")
     roots = stored(components(found))
     # Third turn: all that still shares a bucket across components, but for pairs with its smallest.
@@ -147,6 +151,7 @@ def linked(
         .join(tested, ["a", "b"], "left_anti")
     )
     last = stored(possible(crossing))
+    discard(with_least, open_rows, shared)
     if last.isEmpty():
         return roots
     last = compared(last, fetch(ids_of(last)), grams, percent)

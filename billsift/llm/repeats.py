@@ -305,8 +305,8 @@ def removals(docs: DataFrame, keep_first: bool = False) -> DataFrame:
         ),
         "text_no",
     )
-    def all_anchors(batch: pa.RecordBatch) -> np.ndarray:
-        return pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
+    def all_anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
 
     twice = sketch.repeated(measured.select("anchors"), all_anchors, REPEAT_BITS)
     kind = dict(measured.dtypes)["doc_id"]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from billsift.llm import bpe, linking, sketch, words
 from billsift.llm.common import numbered, stored, text_or_empty
+from billsift.session import discard
 
 WIDTH = 4
 PERCENT = 85
@@ -40,7 +41,14 @@ VERY_FREQUENT = 1024
 LEAST_PERCENT = 80
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_known = words.Kept(lambda word: xxhash.xxh64_digest(word))
+_known = words.Kept(lambda word: xxhash.xxh64_digest(word), 40_000_000)
+
+
+def forget_words() -> None:
+    """Drops the word hashes that this worker has kept."""
+    _known.forget()
+
+
 #: Parts of a profile: how many shingles of a set have each value of their top bits.
 PROFILE_BITS = 8
 
@@ -155,9 +163,9 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
 
-    def all_grams(batch: pa.RecordBatch) -> np.ndarray:
-        found = [_hashed(t, width) for t in batch.column(0).to_pylist()]
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    def all_grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in bpe.slices(iter((batch,)), 0):
+            yield np.concatenate([_hashed(t, width) for t in part.column(0).to_pylist()])
 
     counts = sketch.levels(texts.select("text"), all_grams, ORDER_BITS)
     # Mean count of a slot, which any shingle's count may hold besides its own.
@@ -180,6 +188,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                  pa.array(found, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "entries", "profile"],
             )
+        forget_words()
 
     rows = stored(
         texts.mapInArrow(
@@ -191,8 +200,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     )
     known = numbered(grouped, "id")
 
-    def all_entries(batch: pa.RecordBatch) -> np.ndarray:
-        return pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
+    def all_entries(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).view(np.uint64)
 
     twice = sketch.repeated(rows.select("entries"), all_entries, REPEAT_BITS)
 
@@ -263,6 +272,9 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
             yield batch.filter(pa.array(stay, pa.bool_())).select([0, 1])
 
     roots = linking.linked(buckets, fetch, lambda t: shingles(t, width), percent, possible)
+    discard(buckets)
+    for table in (counts, twice):
+        table.destroy()
     members = (
         rows.select("doc_id", "n_shingles", "digest")
         .join(known.select("digest", F.col("id").alias("class_id")), "digest", "left")

@@ -29,12 +29,12 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Broadcast:
+def levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Broadcast:
     """Levels of the counts of all hashes of ``df``, one byte per slot: 2 ** bits bytes on every worker."""
     return _broadcast(df, hashes, bits, _levels)
 
 
-def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Broadcast:
+def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> Broadcast:
     """One bit per slot: whether two hashes or more fall on it."""
     return _broadcast(df, hashes, bits, lambda counts: np.packbits(counts > 1))
 
@@ -69,12 +69,13 @@ def _broadcast(df, hashes, bits, reduced) -> Broadcast:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held = [], 0
         for batch in batches:
-            found = slots_of(hashes(batch), bits)
-            gathered.append(found)
-            held += len(found)
-            if held >= _GATHERED:
-                yield flushed(gathered)
-                gathered, held = [], 0
+            for part in hashes(batch):
+                found = slots_of(part, bits)
+                gathered.append(found)
+                held += len(found)
+                if held >= _GATHERED:
+                    yield flushed(gathered)
+                    gathered, held = [], 0
         if held:
             yield flushed(gathered)
 
@@ -114,8 +115,8 @@ def probably(df: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> Data
     Spares a shuffle of rows that a following join drops anyway.
     """
 
-    def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
     table = _broadcast(wanted.select(key), hashes, bits, lambda counts: np.packbits(counts > 0))
     at = df.columns.index(key)

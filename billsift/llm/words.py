@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import regex
 
@@ -25,8 +26,11 @@ _SIGNS = (".", ",", ";", ":", "!", "?")
 # str.split() also cuts at these four, which the file does not count as white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-# Entries an encoder keeps before it starts anew: bounds the memory of a worker.
-KEPT_CHUNKS = 600_000
+# Bytes that an encoder keeps before it starts anew; tasks forget what they kept when they end, so a worker
+# that goes on to other work holds none of it.
+KEPT_BYTES = 120_000_000
+#: What a dictionary needs for an entry besides key and value, about.
+_ENTRY_BYTES = 100
 
 
 def chunks(text: str) -> list[str]:
@@ -55,20 +59,27 @@ def pieces(chunk: str) -> list[str]:
 
 
 class Kept(dict):
-    """Results per key, made when first asked for; emptied when full."""
+    """Results per key, made when first asked for; emptied when they hold ``most`` bytes."""
 
-    def __init__(self, make: Callable, most: int = KEPT_CHUNKS):
+    def __init__(self, make: Callable, most: int = KEPT_BYTES):
         super().__init__()
         self._make = make
         self._most = most
+        self._held = 0
 
     def __missing__(self, key):
         value = self._make(key)
-        if len(self) >= self._most:
+        self._held += getsizeof(key) + getsizeof(value) + _ENTRY_BYTES
+        if self._held >= self._most:
             self.clear()
+            self._held = 0
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self._held = 0
+
 
 def special_parts(chunk: str, special: dict[str, int]) -> Iterator[tuple[str, int | None]]:
     """Cuts a chunk at special strings: (text, None) and (string, id) in order."""
