@@ -274,7 +274,6 @@ def transcode(docs: DataFrame, path: str) -> DataFrame:
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                 names=["doc_id", "ids", "decoded"],
             )
-        known.forget()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]

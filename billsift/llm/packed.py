@@ -177,10 +177,6 @@ class _Encoder:
         known = self.chunks
         return b"".join([known[c] for c in words.chunks(text)])
 
-    def forget(self) -> None:
-        self._pieces.forget()
-        self.chunks.forget()
-
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> _Encoder:
@@ -232,7 +228,6 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shards:
                     owners = pa.scalar(owners, owner_type)
                     yield segment()
                     first, held, owners, parts = first + held, 0, [], []
-        known.forget()
         if parts:
             owners = pa.scalar(owners, owner_type)
             yield segment()

@@ -26,8 +26,7 @@ _SIGNS = (".", ",", ";", ":", "!", "?")
 # str.split() also cuts at these four, which the file does not count as white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-# Bytes that an encoder keeps before it starts anew; tasks forget what they kept when they end, so a worker
-# that goes on to other work holds none of it.
+# Bytes that an encoder keeps before it starts anew. A worker that goes on to other work may be told to forget.
 KEPT_BYTES = 120_000_000
 #: What a dictionary needs for an entry besides key and value, about.
 _ENTRY_BYTES = 100
