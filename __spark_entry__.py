@@ -6,7 +6,6 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
-from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -540,24 +539,27 @@ def entry(spark: SparkSession, folder: str = SMOKE_DIR) -> DataFrame:
 
 
 def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
-    """Queries and SQL of the corpus operators, where that part of the package is installed."""
-    part = find_spec("billsift.llm")
-    if part is None or not part.has_location:
+    """Queries and SQL of the corpus operators, where they and the packages they need can be imported."""
+    try:
+        from billsift.llm import queries as corpus
+    except ImportError:
         return {}, {}
-    from billsift.llm import queries as corpus
-
     found, statements = dict(corpus.QUERIES), dict(corpus.STATEMENTS)
-    if find_spec("corpus_pipeline") is not None:
+    try:
         import corpus_pipeline
+    except ImportError:
+        return _prepared(found), statements
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return _prepared(found), statements
 
-        found["pipeline"] = corpus_pipeline.run
-        if corpus_pipeline.ORACLE_SQL:
-            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
 
+def _prepared(found: dict[str, Query]) -> dict[str, Query]:
     def prepared(query: Query) -> Query:
         return lambda spark, folder: query(configure(spark), folder)
 
-    return {name: prepared(query) for name, query in found.items()}, statements
+    return {name: prepared(query) for name, query in found.items()}
 
 
 def queries() -> dict[str, Query]:
