@@ -19,7 +19,7 @@ from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billsift.llm import words
+from billsift.llm import words, workers
 
 #: Characters of text that go into one batch of results.
 BATCH_CHARS = 2_000_000
@@ -313,6 +313,6 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return workers.mapped(
+        rows, run, f"doc_id {kind}, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
     )

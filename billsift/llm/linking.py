@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from billsift.llm import workers
 from billsift.llm.common import components, stored
 from billsift.session import discard
 
@@ -57,7 +58,7 @@ def compared(pairs: DataFrame, texts: DataFrame, grams: Grams, percent: int) ->
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a bigint, b bigint, similar boolean")
+    return workers.mapped(both, run, "a bigint, b bigint, similar boolean")
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from billsift.llm import workers
 from billsift.llm.common import stored
 
 #: Largest share of good documents a stratum may lose to all learned rules together.
@@ -85,6 +86,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([counts_of(t) for t in texts], columns=list(COUNTS), dtype="int64")
+    workers.give_back()
 
 
 def counted(docs: DataFrame, name: str = "counts") -> DataFrame:

@@ -24,7 +24,7 @@ from pyarrow import compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billsift.llm import bpe, linking, sketch, words
+from billsift.llm import bpe, linking, sketch, words, workers
 from billsift.llm.common import numbered, stored, text_or_empty
 from billsift.session import discard
 
@@ -42,12 +42,7 @@ LEAST_PERCENT = 80
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _known = words.Kept(lambda word: xxhash.xxh64_digest(word), 40_000_000)
-
-
-def forget_words() -> None:
-    """Drops the word hashes that this worker has kept."""
-    _known.forget()
-
+workers.at_end_of_task(_known.forget)
 
 #: Parts of a profile: how many shingles of a set have each value of their top bits.
 PROFILE_BITS = 8
@@ -188,11 +183,10 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                  pa.array(found, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "entries", "profile"],
             )
-        forget_words()
 
     rows = stored(
-        texts.mapInArrow(
-            index, f"doc_id {kind}, n_shingles bigint, digest binary, entries array<bigint>, profile binary"
+        workers.mapped(
+            texts, index, f"doc_id {kind}, n_shingles bigint, digest binary, entries array<bigint>, profile binary"
         )
     )
     grouped = rows.filter("digest is not null").groupBy("digest").agg(
@@ -217,8 +211,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                 ["doc_id", "digest", "entries"],
             )
 
-    likely = rows.select("doc_id", "digest", "entries").mapInArrow(
-        thinned, f"doc_id {kind}, digest binary, entries array<bigint>"
+    likely = workers.mapped(
+        rows.select("doc_id", "digest", "entries"), thinned, f"doc_id {kind}, digest binary, entries array<bigint>"
     ).filter("size(entries) > 0")
     heads = known.select("id", "size", F.col("digest").alias("head_digest"), "first_doc")
     is_head = (F.col("digest") == F.col("head_digest")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))
@@ -248,7 +242,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                 stay = 100 * most >= percent * (x.sum(axis=1) + y.sum(axis=1) - most)
                 yield batch.filter(pa.array(stay)).select(columns)
 
-        return both.mapInArrow(check, pairs.schema)
+        return workers.mapped(both, check, pairs.schema)
 
     def fetch(ids: DataFrame) -> DataFrame:
         """(id, text) of a document of each class."""
@@ -257,7 +251,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                                                            F.xxhash64("first_doc").alias("doc_key"))
         wanted = stored(wanted)
         near = sketch.probably(texts.select("text", key), "doc_key", wanted)
-        return near.join(wanted, "doc_key").select("id", "text", "digest").mapInArrow(own, "id bigint, text string")
+        found = near.join(wanted, "doc_key").select("id", "text", "digest")
+        return workers.mapped(found, own, "id bigint, text string")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A doc_id may have several rows: one with the class's shingles counts, once.

@@ -15,6 +15,8 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from billsift.llm import workers
+
 _CHUNK_BITS = 16
 #: Hashes a task gathers before it passes their counts on.
 _GATHERED = 4_000_000
@@ -100,7 +102,7 @@ def _broadcast(df, hashes, bits, reduced) -> Broadcast:
 
     schema = "chunk int, counts binary"
     # One row per chunk: the size of the table, whatever the input.
-    rows = df.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()
+    rows = workers.mapped(workers.mapped(df, count, schema).repartition("chunk"), add, schema).collect()
     unpack = zstandard.ZstdDecompressor().decompress
     empty = reduced(np.zeros(width, np.int64))
     table = np.zeros((chunks, len(empty)), np.uint8)
@@ -127,4 +129,4 @@ def probably(df: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> Data
             stay = (table.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
             yield batch.filter(pa.array(stay > 0))
 
-    return df.mapInArrow(keep, df.schema)
+    return workers.mapped(df, keep, df.schema)
