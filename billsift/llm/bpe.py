@@ -125,13 +125,34 @@ class SuffixAutomaton:
             yield found
 
 
+class LibrarySplitter:
+    """Pieces of a chunk by the file's own normaliser and splitter, with the library's character tables."""
+
+    def __init__(self, content: dict):
+        from tokenizers import Tokenizer
+
+        # The rules alone: the library needs a model to load them, but none is asked.
+        rules = {k: content.get(k) for k in ("version", "normalizer", "pre_tokenizer")}
+        none = {"truncation": None, "padding": None, "added_tokens": [], "post_processor": None, "decoder": None}
+        self._rules = Tokenizer.from_str(json.dumps(rules | none | {"model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self._bytes = {letter: b for b, letter in enumerate(byte_letters())}
+
+    def pieces(self, chunk: str) -> list[str]:
+        found = self._rules.pre_tokenizer.pre_tokenize_str(self._rules.normalizer.normalize_str(chunk))
+        return [bytes([self._bytes[c] for c in letters]).decode() for letters, _ in found]
+
+
 class Vocabulary:
     """A BPE vocabulary file with byte letters and an end-of-word suffix."""
 
+    #: Chunks of characters below this are split here. Beyond, the Unicode versions of Python and of the library differ.
+    _PLAIN = "\u0530"
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
         model = content["model"]
+        self._splitter = LibrarySplitter(content)
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         suffix = model.get("end_of_word_suffix") or ""
@@ -217,7 +238,8 @@ class Vocabulary:
         out = []
         for part, number in words.special_parts(chunk, self.special):
             if number is None:
-                out += [self.pieces[p] for p in words.pieces(part)]
+                found = words.pieces(part) if max(part) < self._PLAIN else self._splitter.pieces(part)
+                out += [self.pieces[p] for p in found]
             else:
                 out.append(number.to_bytes(4, "little"))
         return b"".join(out)

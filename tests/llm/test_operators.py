@@ -68,6 +68,16 @@ def test_bpe_of_random_letters(library):
         assert np.frombuffer(known.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_of_every_character(library):
+    known = bpe.vocabulary(VOCABULARY)
+    # All of the first two planes but surrogates, alone between letters and next to one another.
+    letters = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b" for c in letters] + ["".join(letters[n : n + 7]) for n in range(0, len(letters), 7)]
+    expected = library.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, e in zip(texts, expected, strict=True) if np.frombuffer(known.encode(t), "<u4").tolist() != e.ids]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("most", [1, 2, 50, 70_000, 2**59, 2**64 - 1])
 def test_packing_round_trip(most):
     r = np.random.default_rng(3)
