@@ -13,15 +13,17 @@ VENDORS = "vendor_id bigint, company_id bigint, vendor_name string"
 
 
 def start(spark: SparkSession, folder: str, output: str, checkpoint: str, vendors: DataFrame | None = None,
-          files_per_trigger: int = 1000, multi_line: bool = True) -> StreamingQuery:
+          files_per_trigger: int = 1000, multi_line: bool = True,
+          most_columns: int = lines.MOST_COLUMNS) -> StreamingQuery:
     """Load line files, each with its own header. A micro-batch is one load.
 
     The file source records processed files in its checkpoint. Each micro-batch overwrites its own output
     folders, so a retried one leaves no duplicates. ``vendors`` are those known before the first load; vendors that
-    a load adds are kept beside its invoices. Files without a usable header are listed under ``refused``.
+    a load adds are kept beside its invoices. ``most_columns`` cells of a row are read: later files are not known when the
+    stream starts, so a wider drop needs a larger number. Files without a usable header are listed under ``refused``.
     """
     raw = (
-        spark.readStream.options(**lines.reader_options(multi_line)).schema(lines.cell_schema())
+        spark.readStream.options(**lines.reader_options(multi_line)).schema(lines.cell_schema(most_columns))
         .option("maxFilesPerTrigger", files_per_trigger).csv(folder)
     )
 

@@ -77,6 +77,18 @@ def test_uploads_of_any_header(spark, tmp_path):
     assert {r["file_name"] for r in small.filter(F.col("error") == lines.TOO_LONG).collect()} >= {"a.csv", "b.CSV"}
 
 
+def test_wide_files(spark, tmp_path):
+    names = HEADER.split(",")
+    other = [f"x{n}" for n in range(90)]
+    (tmp_path / "wide.csv").write_text(
+        "\n" + ",".join([*other, *names]) + "\n" + ",".join(["o"] * 90 + ["W-1", "Acme", "2024-01-05", "pen", "1", "2", "0"]) + "\n"
+    )
+    (tmp_path / "plain.csv").write_text(HEADER + "\nP-1,Acme,2024-01-05,pen,1,2,0\n")
+    assert lines.widest_header(spark, str(tmp_path)) == 97
+    got = {(r["file_name"], r["invoice_number"], r["error"]) for r in lines.read_uploads(spark, str(tmp_path)).collect()}
+    assert got == {("wide.csv", "W-1", None), ("plain.csv", "P-1", None)}
+
+
 def test_split_files_keep_their_order(spark, tmp_path):
     body = "".join(f"N-{n // 40},V{n},2024-01-0{1 + n // 40 % 9},p,1,{n},0\n" for n in range(4000))
     (tmp_path / "a.csv").write_text(HEADER + "\n" + body)
