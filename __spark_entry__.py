@@ -22,6 +22,7 @@ from billsift.operators import (  # noqa: E402
     quality,
     reads,
     rules,
+    runs,
     sinks,
 )
 from billsift.plans import dashboard, reports  # noqa: E402
@@ -292,17 +293,36 @@ def _current_state(t: Tables) -> DataFrame:
 
 
 def _trail(t: Tables) -> DataFrame:
-    rows = sinks.trail_rows(t.findings(), t.faulted(), "run-1")
-    return rows.groupBy("run_id", "batch_id", "validation_type", "severity").agg(
-        F.count(F.lit(1)).alias("findings")
-    )
+    """The trail as readers see it: one run committed twice under its id, as after a retry, and one after it."""
+    root = f"{ensure_checkpoint_dir(t.spark)}/runs-{uuid.uuid4().hex}"
+    found = t._once("findings", t.findings)
+    headers = found.filter(F.col("rule_no") <= 4)
+    for run_id, rows in (("run-1", headers), ("run-1", found), ("run-2", headers)):
+        runs.publish({"findings": sinks.trail_rows(rows, t.faulted(), run_id)}, root, run_id)
+    return runs.history(t.spark, root, "findings")
 
 
 def _upload_events(t: Tables) -> DataFrame:
     counts = load.batch_counts(t.lines())
-    sizes = t.lines().groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"))
-    batches = t.batches().select("batch_id", "file_name", "status").join(sizes, "batch_id")
-    return sinks.upload_events(batches, counts)
+    cells = [F.coalesce(c, F.lit("")) for c in lines.REQUIRED_COLUMNS]
+    sizes = t.lines().groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.concat_ws(",", *cells)) + 1).alias("bytes")
+    )
+    kind = F.col("batch_id") % 10
+    uploads = t.batches().select(
+        "batch_id", "file_name", "status", kind.isin(1, 5, 9).alias("single"),
+        F.when(kind.isin(3, 8), "parsing").when(kind.isin(1, 5), "policy").when(kind == 6, "database save")
+        .when(kind == 7, "finalise").alias("phase"),
+        F.when(kind.isin(3, 8), "missing columns: unit_price").when(kind.isin(6, 7), "connection lost").alias("error"),
+    )
+    return sinks.upload_events(uploads.join(sizes, "batch_id"), counts)
+
+
+def _duplicate_events(t: Tables) -> DataFrame:
+    """Events of a scan of three batches against all invoices, and of a scan that failed."""
+    events = sinks.duplicate_events(t.pairs(), t.copies(), t.batches(), [0, SCANNED_BATCH, 7])
+    failed = sinks.failure_events(t.batches().filter(F.col("batch_id") == 8), "duplicates", "connection lost")
+    return events.unionByName(failed)
 
 
 def _imported_messages(t: Tables) -> DataFrame:
@@ -412,8 +432,9 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     "a15_findings_trail": _trail,
     "a16_current_state": _current_state,
     "a17_upload_events": _upload_events,
-    "a17_validation_events": lambda t: sinks.validation_events(t.assessed(), rules.batch_summary(t.assessed())),
-    "a17_duplicate_events": lambda t: sinks.duplicate_events(t.pairs()),
+    "a17_validation_events": lambda t: sinks.validation_events(
+        t.assessed(), rules.batch_summary(t.assessed()), t.batches()),
+    "a17_duplicate_events": _duplicate_events,
     # cells
     "b02_parsed_cells": _parsed_cells,
     "b07_file_names": _file_names,

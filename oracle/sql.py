@@ -545,7 +545,7 @@ def _repeated(check: str, table: str, key: str, source: str, columns: list[str])
 
 _GSTIN = "^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$"
 _AMOUNTS = "least(subtotal, tax_amount, total_amount) < 0"
-_STATE = "'invoice_id=' || CAST(invoice_id AS VARCHAR) || ' status=' || assessed_status || ' risk_score=' || CAST(assessed_score AS VARCHAR)"
+_STATE = f"'invoice_id=' || CAST(invoice_id AS VARCHAR) || ' status=' || assessed_status || ' risk_score=' || {float_text('assessed_score')}"
 
 _MESSAGE_VENDOR = "coalesce(v.vendor_name, 'unknown')"
 _OTHER = "'invoice #' || CAST(match_id AS VARCHAR) || ' (' || o.invoice_number || ')'"
@@ -599,38 +599,70 @@ _FINAL: dict[str, str] = {
         LEFT JOIN items t ON t.invoice_id = r.invoice_id""",
     "a14_export_rows": f"""SELECT invoice_id, vendor_name, {dbl('total_amount')} AS total_amount, status, risk_score,
         array_to_string(codes, '; ') AS issues_summary FROM unaided""",
-    "a15_findings_trail": """SELECT 'run-1' AS run_id, batch_id, validation_type, severity, count(*) AS findings
-        FROM findings JOIN faulted USING (invoice_id) GROUP BY ALL""",
+    "a15_findings_trail": """SELECT run_id, batch_id, invoice_id, CAST(NULL AS BIGINT) AS match_id, validation_type, severity,
+        message, CAST(NULL AS DOUBLE) AS confidence_score, CAST(NULL AS DOUBLE) AS similarity
+        FROM findings JOIN faulted USING (invoice_id) JOIN (VALUES ('run-1', 10), ('run-2', 4)) r(run_id, last_rule)
+        ON rule_no <= last_rule""",
     "a16_current_state": f"""SELECT c.invoice_id, coalesce(r.status, c.status) AS status,
         coalesce(r.risk_score, {dbl('c.risk_score')}) AS risk_score FROM copies c
         LEFT JOIN (SELECT * FROM rescored WHERE risk_score > 20) r ON r.invoice_id = c.invoice_id""",
-    "a17_upload_events": """SELECT batch_id, position, event, details FROM (
-        SELECT c.batch_id, status, unnest([
-          {'position': 0, 'event': 'Upload Started', 'details': 'file=' || file_name},
+    "a17_upload_events": """SELECT batch_id, position, CASE WHEN position = ended THEN 'Upload Failed' ELSE event END AS event,
+        CASE WHEN position <> ended THEN details WHEN phase = 'policy' THEN
+          'phase=policy file contains ' || CAST(groups AS VARCHAR) || ' invoices; use bulk upload'
+          ELSE 'phase=' || phase || ' error=' || error END AS details FROM (
+        SELECT c.batch_id, groups, phase, error, CASE phase WHEN 'parsing' THEN 2 WHEN 'policy' THEN 3
+          WHEN 'database save' THEN 4 WHEN 'finalise' THEN 5 ELSE 6 END AS ended, unnest([
+          {'position': 0, 'event': 'Upload Started', 'details': 'file=' || file_name || ' bytes=' || CAST(bytes AS VARCHAR) ||
+            ' mode=' || CASE WHEN c.batch_id % 10 IN (1, 5, 9) THEN 'single' ELSE 'bulk' END},
           {'position': 1, 'event': 'Parsing Started', 'details': 'file=' || file_name},
-          {'position': 2, 'event': CASE WHEN status = 'Failed' THEN 'Upload Failed' ELSE 'Parsing Completed' END,
-           'details': CASE WHEN status = 'Failed' THEN 'phase=parsing' ELSE 'rows=' || CAST(n AS VARCHAR) END},
+          {'position': 2, 'event': 'Parsing Completed', 'details': 'rows=' || CAST(n AS VARCHAR)},
           {'position': 3, 'event': 'Database Save Started', 'details': 'invoice_groups=' || CAST(groups AS VARCHAR) ||
             ' ungrouped_rows=' || CAST(ungrouped AS VARCHAR)},
           {'position': 4, 'event': 'Database Save Completed', 'details': 'processed=' || CAST(processed AS VARCHAR) ||
             ' failed=' || CAST(groups - processed AS VARCHAR)},
-          {'position': 5, 'event': 'Upload Completed', 'details': 'total=' || CAST(groups + ungrouped AS VARCHAR) ||
-            ' processed=' || CAST(processed AS VARCHAR) || ' failed=' || CAST(groups - processed + ungrouped AS VARCHAR)}],
+          {'position': 5, 'event': 'Upload Completed', 'details': '{''batch_id'': ' || CAST(c.batch_id AS VARCHAR) ||
+            ', ''file_name'': ''' || file_name || ''', ''total'': ' || CAST(groups + ungrouped AS VARCHAR) ||
+            ', ''processed'': ' || CAST(processed AS VARCHAR) || ', ''failed'': ' ||
+            CAST(groups - processed + ungrouped AS VARCHAR) || ', ''status'': ''Completed''}'}],
           recursive := true) FROM line_counts c JOIN batches b ON b.batch_id = c.batch_id
-          JOIN (SELECT batch_id, count(*) AS n FROM lines GROUP BY batch_id) l ON l.batch_id = c.batch_id)
-        WHERE status <> 'Failed' OR position <= 2""",
+          JOIN (SELECT batch_id, CASE WHEN batch_id % 10 IN (3, 8) THEN 'parsing' WHEN batch_id % 10 IN (1, 5) THEN 'policy'
+              WHEN batch_id % 10 = 6 THEN 'database save' WHEN batch_id % 10 = 7 THEN 'finalise' END AS phase,
+            CASE WHEN batch_id % 10 IN (3, 8) THEN 'missing columns: unit_price'
+              WHEN batch_id % 10 IN (6, 7) THEN 'connection lost' END AS error FROM batches) p ON p.batch_id = c.batch_id
+          JOIN (SELECT batch_id, count(*) AS n, CAST(sum(strlen(coalesce(invoice_number, '')) + strlen(coalesce(vendor_name, '')) +
+              strlen(coalesce(invoice_date, '')) + strlen(coalesce(product_name, '')) + strlen(coalesce(quantity, '')) +
+              strlen(coalesce(unit_price, '')) + strlen(coalesce(gst_percent, '')) + 7) AS BIGINT) AS bytes
+            FROM lines GROUP BY batch_id) l ON l.batch_id = c.batch_id)
+        WHERE position <= ended""",
     "a17_validation_events": f"""
-        SELECT batch_id, 0 AS position, 'Validation Started' AS event, '' AS details FROM (SELECT DISTINCT batch_id FROM assessed)
+        SELECT a.batch_id, 0 AS position, 'Validation Started' AS event, 'file=' || file_name AS details
+          FROM (SELECT DISTINCT batch_id FROM assessed) a JOIN batches b ON b.batch_id = a.batch_id
         UNION ALL SELECT batch_id, 1, 'Critical Issue Found', {_STATE} FROM assessed WHERE has_critical
         UNION ALL SELECT batch_id, 2, 'Validation Completed', {_STATE} || ' issues=' || CAST(issue_count AS VARCHAR) FROM assessed
-        UNION ALL SELECT batch_id, 3, 'Batch Validation Completed', 'total_invoices=' || CAST(count(*) AS VARCHAR) ||
-          ' valid=' || CAST(count(*) FILTER (WHERE assessed_status = 'Valid') AS VARCHAR) ||
-          ' needs_review=' || CAST(count(*) FILTER (WHERE assessed_status = 'Needs Review') AS VARCHAR) ||
-          ' high_risk=' || CAST(count(*) FILTER (WHERE assessed_status = 'High Risk') AS VARCHAR) ||
-          ' critical=' || CAST(count(*) FILTER (WHERE assessed_status = 'Critical') AS VARCHAR) FROM assessed GROUP BY batch_id""",
-    "a17_duplicate_events": """SELECT CASE validation_type WHEN 'DUPLICATE_EXACT' THEN 'Exact Duplicate Found'
-        WHEN 'DUPLICATE_NEAR' THEN 'Near Duplicate Found' ELSE 'Duplicate Match Found' END AS event,
-        'invoice_id=' || CAST(a_id AS VARCHAR) || ' <-> invoice_id=' || CAST(b_id AS VARCHAR) AS details FROM pairs""",
+        UNION ALL SELECT batch_id, 3, 'Batch Validation Completed', '{{''batch_id'': ' || CAST(batch_id AS VARCHAR) ||
+          ', ''total_invoices'': ' || CAST(count(*) AS VARCHAR) ||
+          ', ''valid'': ' || CAST(count(*) FILTER (WHERE assessed_status = 'Valid') AS VARCHAR) ||
+          ', ''needs_review'': ' || CAST(count(*) FILTER (WHERE assessed_status = 'Needs Review') AS VARCHAR) ||
+          ', ''high_risk'': ' || CAST(count(*) FILTER (WHERE assessed_status = 'High Risk') AS VARCHAR) ||
+          ', ''critical'': ' || CAST(count(*) FILTER (WHERE assessed_status = 'Critical') AS VARCHAR) || '}}'
+          FROM assessed GROUP BY batch_id""",
+    "a17_duplicate_events": f"""SELECT * FROM (WITH chosen AS (SELECT batch_id, file_name FROM batches WHERE batch_id IN (0, 3, 7)),
+        scan AS (SELECT CASE WHEN a_batch IN (0, 3, 7) THEN a_batch ELSE b_batch END AS batch_id,
+          CASE WHEN a_batch IN (0, 3, 7) THEN a_id ELSE b_id END AS first_id,
+          CASE WHEN a_batch IN (0, 3, 7) THEN b_id ELSE a_id END AS other_id, level, similarity
+          FROM pairs WHERE a_batch IN (0, 3, 7) OR b_batch IN (0, 3, 7))
+        SELECT batch_id, 0 AS position, 'Duplicate Detection Started' AS event, 'file=' || file_name AS details FROM chosen
+        UNION ALL SELECT batch_id, 1, CASE level WHEN 1 THEN 'Exact Duplicate Found' WHEN 3 THEN 'Near Duplicate Found'
+          ELSE 'Duplicate Match Found' END, 'invoice_id=' || CAST(first_id AS VARCHAR) || ' <-> invoice_id=' ||
+          CAST(other_id AS VARCHAR) || CASE WHEN similarity IS NOT NULL THEN ' similarity=' ||
+          {float_text('CAST(similarity AS DECIMAL(5,2))')} ELSE '' END FROM scan
+        UNION ALL SELECT c.batch_id, 2, 'Batch Duplicate Scan Completed', '{{''batch_id'': ' || CAST(c.batch_id AS VARCHAR) ||
+          ', ''exact_duplicates'': ' || CAST(count(*) FILTER (WHERE level = 1) AS VARCHAR) ||
+          ', ''vendor_duplicates'': ' || CAST(count(*) FILTER (WHERE level = 2) AS VARCHAR) ||
+          ', ''near_duplicates'': ' || CAST(count(*) FILTER (WHERE level = 3) AS VARCHAR) ||
+          ', ''suspicious_duplicates'': ' || CAST(count(*) FILTER (WHERE level IN (4, 5)) AS VARCHAR) || '}}'
+          FROM chosen c LEFT JOIN scan s ON s.batch_id = c.batch_id GROUP BY c.batch_id
+        UNION ALL SELECT batch_id, 3, 'Upload Failed', 'phase=duplicates error=connection lost' FROM batches WHERE batch_id = 8)""",
     "b02_parsed_cells": f"""SELECT {clean('invoice_number')} AS invoice_number,
         CAST({date_text('invoice_date')} AS VARCHAR) AS invoice_date, {LABEL} AS product_name,
         {dbl(number('quantity'))} AS quantity, {dbl(number('unit_price'))} AS unit_price,
