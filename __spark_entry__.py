@@ -346,7 +346,7 @@ def _number_similarity(t: Tables) -> DataFrame:
 
 
 def _item_groups(t: Tables) -> DataFrame:
-    prints = duplicates.item_fingerprint(t.copy_items())
+    prints = duplicates.item_classes(t.copy_items())
     return prints.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("members"), F.min("invoice_id").alias("first_id")
     ).filter(F.col("members") > 1).select("members", "first_id")

@@ -124,24 +124,32 @@ def with_level(df: DataFrame, a: str, b: str) -> DataFrame:
 # -- inputs ------------------------------------------------------------------
 
 
+_LINE = ["name", "quantity", "price"]
+
+
+def _compared_lines(items: DataFrame) -> DataFrame:
+    """invoice_id and the parts of its lines that the item comparison sees."""
+    zero = F.lit(0)
+    return items.select(
+        "invoice_id",
+        text.casefold(text.product_or_default(F.col("product_name"))).alias("name"),
+        F.round(F.coalesce(F.col("quantity"), zero), 3).cast("decimal(18,3)").alias("quantity"),
+        F.round(F.coalesce(F.col("unit_price"), zero), 2).cast("decimal(18,2)").alias("price"),
+    )
+
+
 def item_fingerprint(items: DataFrame) -> DataFrame:
     """Order-free fingerprint of the lines of each invoice, from sums that combine
     before the shuffle.
 
     A line is its casefolded name, quantity and price; the fingerprint is the number
     of lines and four sums of 32-bit parts of two independent 64-bit hashes. Invoices
-    without lines have none.
+    without lines have none. Equal lists have equal fingerprints; ``item_classes`` gives the converse.
     """
-    zero = F.lit(0)
-    line = [
-        text.casefold(text.product_or_default(F.col("product_name"))),
-        F.round(F.coalesce(F.col("quantity"), zero), 3).cast("decimal(18,3)"),
-        F.round(F.coalesce(F.col("unit_price"), zero), 2).cast("decimal(18,2)"),
-    ]
-    hashed = items.select(
+    hashed = _compared_lines(items).select(
         "invoice_id",
-        F.xxhash64(*line).alias("h1"),
-        F.xxhash64(F.lit("second"), *line).alias("h2"),
+        F.xxhash64(*_LINE).alias("h1"),
+        F.xxhash64(F.lit("second"), *_LINE).alias("h2"),
     )
     low = F.lit(0xFFFFFFFF).cast("bigint")
     sums = [
@@ -154,6 +162,55 @@ def item_fingerprint(items: DataFrame) -> DataFrame:
     )
 
 
+def item_classes(items: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """invoice_id and fingerprint, where equal fingerprints mean equal lists of items.
+
+    Only invoices that share a fingerprint are looked at: their lines are joined with those of the first
+    invoice of the group, line by line, so that a group costs its own lines however large it is. What
+    differs from the first one forms a group again, until nothing is left; without a
+    collision of fingerprints that is one round. ``prints`` may hold other fingerprints, which equal lists must share.
+    """
+    prints = cut_lineage(item_fingerprint(items) if prints is None else prints)
+    groups = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("invoice_id").alias("first_id"))
+    marked = cut_lineage(prints.join(groups, "fingerprint"))
+    classes = marked.filter("n = 1").select("invoice_id", "fingerprint")
+    rest = marked.filter("n > 1").select("invoice_id", "fingerprint", "first_id")
+    lines = cut_lineage(
+        _compared_lines(items).join(rest.select("invoice_id"), "invoice_id", "left_semi")
+        .groupBy("invoice_id", *_LINE).agg(F.count(F.lit(1)).alias("times"))
+    )
+    suffix = F.lit("")
+    while True:
+        rows = lines.join(rest, "invoice_id")
+        first = rows.filter(F.col("invoice_id") == F.col("first_id"))
+        counterpart = first.select(
+            F.col("fingerprint").alias("of"), *[F.col(c).alias(f"first_{c}") for c in (*_LINE, "times")]
+        )
+        same_line = (rows["fingerprint"] == counterpart["of"]) & (rows["times"] == counterpart["first_times"])
+        for part in _LINE:
+            same_line &= rows[part].eqNullSafe(counterpart[f"first_{part}"])
+        compared = (
+            rows.join(counterpart, same_line, "left")
+            .groupBy("invoice_id", "fingerprint", "first_id")
+            .agg(F.count(F.lit(1)).alias("own"), F.count("of").alias("shared"))
+        )
+        wanted = first.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("wanted"))
+        compared = cut_lineage(
+            compared.join(wanted, "fingerprint")
+            .withColumn("equal", (F.col("own") == F.col("shared")) & (F.col("own") == F.col("wanted")))
+        )
+        classes = classes.unionByName(
+            compared.filter("equal").select("invoice_id", F.concat("fingerprint", suffix).alias("fingerprint"))
+        )
+        others = compared.filter("not equal")
+        if others.isEmpty():
+            return classes
+        rest = others.join(
+            others.groupBy("fingerprint").agg(F.min("invoice_id").alias("next_id")), "fingerprint"
+        ).select("invoice_id", "fingerprint", F.col("next_id").alias("first_id"))
+        suffix = F.concat(F.lit("#"), F.col("first_id").cast("string"))
+
+
 def scan_rows(invoices: DataFrame, items: DataFrame, batch_ids: list[int] | None = None) -> DataFrame:
     """The columns the search compares, and whether the row belongs to the scanned batches.
 
@@ -167,7 +224,7 @@ def scan_rows(invoices: DataFrame, items: DataFrame, batch_ids: list[int] | None
         scanned = F.coalesce(F.col("batch_id").isin(list(batch_ids)), F.lit(False))
         rows = rows.withColumn("scanned", scanned)
         rows = tenant_rows(rows)
-    rows = rows.join(item_fingerprint(items), "invoice_id", "left")
+    rows = rows.join(item_classes(items), "invoice_id", "left")
     narrow = rows.select(
         F.col("invoice_id").alias("id"),
         "company_id",

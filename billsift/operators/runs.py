@@ -73,12 +73,15 @@ def _chosen(spark: SparkSession, root: str, name: str, runs: DataFrame, schema:
     return reader.parquet(f"{root}/{name}").join(runs.select("attempt"), "attempt", "left_semi").drop("attempt")
 
 
-def history(spark: SparkSession, root: str, name: str, schema: str | None = None) -> DataFrame:
+def history(spark: SparkSession, root: str, name: str, schema: str | None = None, besides: str | None = None) -> DataFrame:
     """Rows of a table from all committed runs, as of an append-only trail.
 
-    ``schema`` is needed where no run may have written the table yet (that gives no row).
+    ``schema`` is needed where no run may have written the table yet (that gives no row). ``besides`` leaves out one run:
+    what there was before it, if it is done again.
     """
     runs = committed(spark, root).filter(F.array_contains("tables", name))
+    if besides is not None:
+        runs = runs.filter(F.col("run_id") != besides)
     return _chosen(spark, root, name, runs, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from billsift.operators import load
+from billsift.operators import load, runs
 from billsift.session import cut_lineage
 from billsift.sources import lines
 
@@ -17,8 +17,9 @@ def start(spark: SparkSession, folder: str, output: str, checkpoint: str, vendor
           most_columns: int = lines.MOST_COLUMNS) -> StreamingQuery:
     """Load line files, each with its own header. A micro-batch is one load.
 
-    The file source records processed files in its checkpoint. Each micro-batch overwrites its own output
-    folders, so a retried one leaves no duplicates. ``vendors`` are those known before the first load; vendors that
+    The file source records processed files in its checkpoint. Each micro-batch is one run of ``runs`` named
+    ``load-<number>``: its tables become visible together, and a retried one replaces what it wrote before. Read them with
+    ``runs.history(spark, output, "invoices")``. ``vendors`` are those known before the first load; vendors that
     a load adds are kept beside its invoices. ``most_columns`` cells of a row are read: later files are not known when the
     stream starts, so a wider drop needs a larger number. Files without a usable header are listed under ``refused``.
     """
@@ -27,30 +28,32 @@ def start(spark: SparkSession, folder: str, output: str, checkpoint: str, vendor
         .option("maxFilesPerTrigger", files_per_trigger).csv(folder)
     )
 
-    def known_vendors(number: int) -> DataFrame:
-        known = spark.createDataFrame([], VENDORS) if vendors is None else vendors.select("vendor_id", "company_id", "vendor_name")
-        if number:
-            earlier = spark.read.schema(f"{VENDORS}, load bigint").parquet(f"{output}/vendors")
-            known = known.unionByName(earlier.filter(earlier["load"] < number).drop("load"))
-        return known
+    def known_vendors(run_id: str) -> DataFrame:
+        earlier = runs.history(spark, output, "vendors", VENDORS, besides=run_id)
+        if vendors is None:
+            return earlier
+        return vendors.select("vendor_id", "company_id", "vendor_name").unionByName(earlier)
 
     def load_batch(rows: DataFrame, number: int) -> None:
         # Several tables use the rows, and their order ids must not change in between.
         uploads = lines.transport_rows(cut_lineage(lines.placed_cells(rows)))
         loaded = load.load_lines(cut_lineage(lines.upload_lines(uploads)))
-        known = known_vendors(number)
+        known = known_vendors(f"load-{number}")
         every = cut_lineage(load.assign_vendor_ids(loaded.invoices, known))
         fresh = every.join(known.select("vendor_id"), "vendor_id", "left_anti")
-        for name, table in (
-            ("vendors", fresh),
-            ("invoices", load.link_vendors(loaded.invoices, every)),
-            ("items", loaded.items),
-            ("rejected", loaded.rejected),
-            ("rejected_lines", loaded.rejected_lines),
-            ("refused", uploads.filter("error is not null").select("file_path", "error")),
-            ("batches", load.batch_rows(loaded.counts)),
-        ):
-            table.write.mode("overwrite").parquet(f"{output}/{name}/load={number}")
+        runs.publish(
+            {
+                "vendors": fresh.select("vendor_id", "company_id", "vendor_name"),
+                "invoices": load.link_vendors(loaded.invoices, every),
+                "items": loaded.items,
+                "rejected": loaded.rejected,
+                "rejected_lines": loaded.rejected_lines,
+                "refused": uploads.filter("error is not null").select("file_path", "error"),
+                "batches": load.batch_rows(loaded.counts),
+            },
+            output,
+            f"load-{number}",
+        )
 
     return (
         raw.select("*", "_metadata").writeStream.foreachBatch(load_batch)

@@ -128,3 +128,45 @@ def test_history_and_series(spark):
                                  "invoice_date date, total_amount decimal(14,2)")
     assert [r["label"] for r in dashboard.monthly_series(rows, 2).collect()] == ["2024-11", "2024-12"]
     assert [r["value"] for r in dashboard.amount_series(rows).collect()] == [1] * 12
+
+
+def test_upload_events_by_phase(spark):
+    batches = spark.createDataFrame(
+        [(1, "it's.csv", "Completed", 3, 90, False, None, None), (2, "b.csv", "Failed", 3, 90, True, "policy", None),
+         (3, "c.csv", "Failed", 0, 5, False, None, "no rows"), (4, "d.csv", "Failed", 3, 9, None, "database save", "gone"),
+         (5, "e.csv", "Failed", None, None, None, "finalise", None)],
+        "batch_id long, file_name string, status string, rows long, bytes long, single boolean, phase string, error string")
+    counts = spark.createDataFrame([(i, 2, 1, 1, 3, 2) for i in range(1, 6)],
+                                   "batch_id long, groups long, ungrouped long, processed long, total long, failed long")
+    events = sinks.upload_events(batches, counts).orderBy("batch_id", "position").collect()
+    last = {r["batch_id"]: (r["position"], r["event"], r["details"]) for r in events}
+    assert last == {
+        1: (5, "Upload Completed",
+            str({"batch_id": 1, "file_name": "it's.csv", "total": 3, "processed": 1, "failed": 2, "status": "Completed"})),
+        2: (3, "Upload Failed", "phase=policy file contains 2 invoices; use bulk upload"),
+        3: (2, "Upload Failed", "phase=parsing error=no rows"),
+        4: (4, "Upload Failed", "phase=database save error=gone"),
+        5: (5, "Upload Failed", "phase=finalise error="),
+    }
+    assert [r["details"] for r in events if r["position"] == 0][:2] == [
+        "file=it's.csv bytes=90 mode=bulk", "file=b.csv bytes=90 mode=single"]
+
+
+def test_duplicate_events_of_one_batch(spark):
+    pairs = spark.createDataFrame([(1, 2, 3, 93.5, "DUPLICATE_NEAR"), (1, 3, 1, None, "DUPLICATE_EXACT"),
+                                   (3, 4, 4, None, "DUPLICATE_DATE")],
+                                  "a_id long, b_id long, level int, similarity double, validation_type string")
+    invoices = spark.createDataFrame([(1, 10), (2, 20), (3, 20), (4, 30)], "invoice_id long, batch_id long")
+    batches = spark.createDataFrame([(10, "x.csv"), (20, None), (40, "empty.csv")], "batch_id long, file_name string")
+    got = sinks.duplicate_events(pairs, invoices, batches, [20, 40]).orderBy("batch_id", "position", "details").collect()
+    empty = {"exact_duplicates": 0, "vendor_duplicates": 0, "near_duplicates": 0, "suspicious_duplicates": 0}
+    assert [tuple(r) for r in got] == [
+        (20, 0, "Duplicate Detection Started", "file="),
+        (20, 1, "Near Duplicate Found", "invoice_id=2 <-> invoice_id=1 similarity=93.5"),
+        (20, 1, "Exact Duplicate Found", "invoice_id=3 <-> invoice_id=1"),
+        (20, 1, "Duplicate Match Found", "invoice_id=3 <-> invoice_id=4"),
+        (20, 2, "Batch Duplicate Scan Completed",
+         str({"batch_id": 20, **empty, "exact_duplicates": 1, "near_duplicates": 1, "suspicious_duplicates": 1})),
+        (40, 0, "Duplicate Detection Started", "file=empty.csv"),
+        (40, 2, "Batch Duplicate Scan Completed", str({"batch_id": 40, **empty})),
+    ]

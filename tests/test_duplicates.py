@@ -288,6 +288,27 @@ def test_item_identity(spark):
     assert len({prints[5], prints[6], prints[1], prints[3]}) == 4
 
 
+def test_equal_fingerprints_of_different_items(spark):
+    rows = [
+        (1, "a", "1", "2.00"), (1, "b", "1", "2.00"), (2, "B", "1", "2.00"), (2, "A", "1", "2.00"),
+        (3, "a", "1", "2.00"), (4, "a", "1", "2.00"), (4, "a", "1", "2.00"),
+        (5, "a", "1", "2.00"), (5, "b", "1", "2.00"), (5, "b", "1", "2.00"),
+        (6, None, "1", None), (7, "general", "1", "0"), (8, " a", "1.0004", "2.00"), (9, "c", "1", "2.00"),
+    ]
+    items = spark.createDataFrame(
+        [(i, n, Decimal(q), None if p is None else Decimal(p)) for i, n, q, p in rows],
+        "invoice_id long, product_name string, quantity decimal(14,4), unit_price decimal(14,2)")
+    # One fingerprint for all but the last.
+    forced = duplicates.item_fingerprint(items).withColumn(
+        "fingerprint", F.when(F.col("invoice_id") == 9, "other").otherwise("same"))
+    for prints in (forced, None):
+        groups = {}
+        for r in duplicates.item_classes(items, prints).collect():
+            groups.setdefault(r["fingerprint"], set()).add(r["invoice_id"])
+        assert sorted(map(sorted, groups.values())) == [[1, 2], [3, 8], [4], [5], [6, 7], [9]]
+    assert duplicates.item_classes(items.limit(0)).count() == 0
+
+
 def test_rescore_adds_prior_levels_once(spark):
     pairs = spark.createDataFrame(
         [(1, 2, "DUPLICATE_DATE"), (3, 4, "DUPLICATE_EXACT")],

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billsift.functions import text
-from billsift.operators import load
+from billsift.operators import load, runs
 from billsift.sources import lines
 from billsift.streaming import file_drop
 
@@ -172,3 +172,27 @@ def test_file_drop_loads_each_file_once(spark, tmp_path):
     assert [r["error"][:15] for r in refused] == ["missing columns"]
     counts = spark.read.parquet(str(tmp_path / "out" / "batches")).collect()
     assert [(r["total_invoices"], r["failed_invoices"]) for r in counts] == [(1, 0), (1, 0)]
+
+
+def test_file_drop_shows_whole_loads_only(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(HEADER + "\na,Acme,2024-01-05,pen,2,5,10\n")
+    folders = [str(tmp_path / name) for name in ("in", "out", "state")]
+    real = runs.commit
+
+    def killed(*_):
+        raise RuntimeError("driver gone")
+
+    monkeypatch.setattr(runs, "commit", killed)
+    with pytest.raises(Exception, match="driver gone"):
+        file_drop.start(spark, *folders).awaitTermination()
+    schema = "invoice_number string, vendor_id bigint"
+    assert runs.history(spark, folders[1], "invoices", schema).count() == 0
+    # The retry of the same micro-batch, and one more file after it.
+    monkeypatch.setattr(runs, "commit", real)
+    file_drop.start(spark, *folders).awaitTermination()
+    (tmp_path / "in" / "b.csv").write_text(HEADER + "\nb,Acme,2024-01-05,pen,2,5,10\nc,Beta,2024-01-05,pen,2,5,10\n")
+    file_drop.start(spark, *folders).awaitTermination()
+    got = runs.history(spark, folders[1], "invoices", schema).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 1), ("b", 1), ("c", 2)]
+    assert runs.history(spark, folders[1], "vendors").count() == 2
