@@ -200,16 +200,21 @@ def _csv_round_trip(t: Tables) -> DataFrame:
 
 
 def _csv_files(t: Tables) -> DataFrame:
-    """Lines written as CSV files under other headers and loaded back from the files."""
+    """Lines written as CSV files under other headers, some cells with line breaks at their end, and loaded back from the files."""
     folder = f"{ensure_checkpoint_dir(t.spark)}/uploads-{uuid.uuid4().hex}"
     headers = {"invoice_number": "Invoice Number", "vendor_name": "VENDOR_NAME", "invoice_date": " invoice date",
                "product_name": "Product-Name", "quantity": "Quantity", "unit_price": "Unit Price",
                "gst_percent": "GST Rate"}
-    named = t.lines().select(*[F.col(c).alias(h) for c, h in headers.items()])
+    # The load takes white space off, so the breaks must not show in the result.
+    broken = F.concat("product_name", F.lit("\n\n"))
+    shown = t.lines().withColumn(
+        "product_name", F.when(F.col("quantity").like("%3%"), broken).otherwise(F.col("product_name"))
+    )
+    named = shown.select(*[F.col(c).alias(h) for c, h in headers.items()])
     named.write.options(
         header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(folder)
-    rows = lines.read_uploads(t.spark, folder, multi_line=False).filter("error is null")
+    rows = lines.read_uploads(t.spark, folder).filter("error is null")
     return rows.groupBy(*lines.REQUIRED_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -102,6 +102,20 @@ def test_split_files_keep_their_order(spark, tmp_path):
     assert got == {f"N-{n}": f"V{40 * n}" for n in range(100)}
 
 
+def test_files_with_line_breaks_are_split(spark, tmp_path):
+    body = "".join(f'N-{n},"V{n}\n& Co ""{n}""",2024-01-05,"pen\n,\n",2,5,10\n' for n in range(400))
+    (tmp_path / "a.csv").write_text('invoice_number,vendor_name,invoice_date,"product\nname",quantity,unit_price,gst\n' + body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        uploads = lines.read_uploads(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["error"] for r in uploads} == {None}
+    assert {(r["invoice_number"], r["vendor_name"], r["product_name"]) for r in uploads} == {
+        (f"N-{n}", f'V{n}\n& Co "{n}"', "pen\n,") for n in range(400)}
+    assert len({r["row_order"]["block"] for r in uploads}) > 5
+
+
 def test_large_numbers_are_kept_or_rejected(spark):
     df = transport(spark, [
         (1, "A", "Acme", "2024-01-05", "pen", "1", "2", "0"),
