@@ -218,6 +218,14 @@ def _csv_files(t: Tables) -> DataFrame:
     return rows.groupBy(*lines.REQUIRED_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _typed_csv(t: Tables) -> DataFrame:
+    """Flat rows for training, written as CSV and read back with their types."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/flat-{uuid.uuid4().hex}"
+    rows = t.flat().select("row_id", "vendor_name", "invoice_date", "quantity", "unit_price", "gst_percent", "total_amount")
+    rows.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    return lines.read_typed_csv(t.spark, folder, rows.schema)
+
+
 def _parsed_cells(t: Tables) -> DataFrame:
     return t.lines().select(
         text.clean(F.col("invoice_number")).alias("invoice_number"),
@@ -424,6 +432,7 @@ _REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {
     # sources, read shapes, sinks
     "a01_csv_lines": _csv_round_trip,
     "a01_csv_files": _csv_files,
+    "a07_typed_csv": _typed_csv,
     "a08_batch_invoices": lambda t: reads.batch_invoices(
         t.invoices(), t.items(), t.vendors(), SCANNED_BATCH
     ).select("invoice_id", "vendor_name", "total_amount", "product_name", "quantity", "unit_price"),

@@ -581,6 +581,8 @@ _FINAL: dict[str, str] = {
     **dict.fromkeys(("a01_csv_lines", "a01_csv_files"), f"""SELECT {clean('invoice_number')} AS invoice_number, {clean('vendor_name')} AS vendor_name,
         {clean('invoice_date')} AS invoice_date, {clean('product_name')} AS product_name, {clean('quantity')} AS quantity,
         {clean('unit_price')} AS unit_price, {clean('gst_percent')} AS gst_percent, count(*) AS n FROM lines GROUP BY ALL"""),
+    "a07_typed_csv": f"""SELECT row_id, vendor_name, CAST(invoice_date AS VARCHAR) AS invoice_date, {dbl('quantity')} AS quantity,
+        {dbl('unit_price')} AS unit_price, {dbl('gst_percent')} AS gst_percent, {dbl('total_amount')} AS total_amount FROM flat""",
     "a08_batch_invoices": f"""SELECT i.invoice_id, vendor_name, {dbl('total_amount')} AS total_amount, {_ITEMS_OUT}
         FROM invoices i LEFT JOIN vendors v ON v.vendor_id = i.vendor_id LEFT JOIN items t ON t.invoice_id = i.invoice_id
         WHERE batch_id = 3""",

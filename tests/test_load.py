@@ -1,7 +1,9 @@
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from billsift.functions import text
 from billsift.operators import load, runs
@@ -116,6 +118,14 @@ def test_files_with_line_breaks_are_split(spark, tmp_path):
     assert len({r["row_order"]["block"] for r in uploads}) > 5
 
 
+def test_typed_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('row_id,amount,day,flag\n1,2.50,2024-01-05,true\n2,,,\nx,abc,2024-13-05,maybe\n')
+    schema = StructType.fromDDL("row_id bigint, amount decimal(5,2), day date, flag boolean")
+    got = sorted(map(tuple, lines.read_typed_csv(spark, str(tmp_path), schema).collect()), key=str)
+    # What does not fit its type is null.
+    assert got == [(1, Decimal("2.50"), date(2024, 1, 5), True), (2, None, None, None), (None, None, None, None)]
+
+
 def test_large_numbers_are_kept_or_rejected(spark):
     df = transport(spark, [
         (1, "A", "Acme", "2024-01-05", "pen", "1", "2", "0"),
