@@ -372,3 +372,41 @@ def test_blank_numbers_and_unknown_companies(spark):
         x.update(invoice_number="N-1", company_id=None)
     rows = duplicates.scan_rows(*frames(spark, invoices))
     assert found(duplicates.duplicate_pairs(rows)) == brute.all_pairs(invoices)
+
+
+def test_rows_without_a_partner_leave_early(spark):
+    # Own number, items and amounts: such rows take part in no layer of the counts.
+    frame, items = frames(spark, [
+        {"invoice_id": n, "company_id": 1, "vendor_id": 1, "invoice_number": f"N-{n}", "batch_id": 1, "day": n, "cents": 100_000 * n,
+         "items": [(f"p{n}", "1", "2")]} for n in range(6)
+    ])
+    rows = duplicates.scan_rows(frame, items)
+    assert {r["fingerprint"] for r in rows.collect()} == {None}
+    marked = duplicates._with_same_number(rows)
+    assert {r["same_number"] for r in marked.collect()} == {None}
+    assert duplicates._layered(marked, True, duplicates._GROUP_LAYERS).count() == 0
+    assert near.close_rows(rows).count() == 0
+    close = rows.unionByName(rows.filter("id = 3").withColumns({"id": F.lit(9).cast("long"), "cents": F.col("cents") + 100}))
+    assert sorted(r["id"] for r in near.close_rows(close).collect()) == [3, 9]
+
+
+@pytest.mark.parametrize("bits", [1, 20])
+def test_group_amounts_over_slices(spark, monkeypatch, bits):
+    monkeypatch.setattr(duplicates, "_GROUP_SLICE_BITS", bits)
+    rng = random.Random(3)
+    data = [(n, rng.choice([None, 1, 2]), rng.randrange(100), rng.choice([None, 5, 6]), rng.choice([None, 7]), rng.random() < 0.6) for n in range(60)]
+    rows = spark.createDataFrame(data, "id long, company_id long, cents long, same_number long, fingerprint long, scanned boolean")
+    rows = rows.withColumns({"vendor_id": F.lit(None).cast("long"), "day": F.lit(None).cast("int")})
+    got = {r["layer"]: (r["p"], r["a"]) for r in duplicates._group_sums(rows, True, True).groupBy("layer").agg(
+        F.sum("pairs").alias("p"), F.sum("amount").alias("a")).collect()}
+    counts = {r["layer"]: r["p"] for r in duplicates._group_sums(rows, True, False).groupBy("layer").agg(F.sum("pairs").alias("p")).collect()}
+    for layer in duplicates._GROUP_LAYERS:
+        kind, number, items = duplicates._LAYERS[layer]
+        pairs = [
+            (a, b) for a in data for b in data
+            if a[0] < b[0] and (a[5] or b[5])
+            and (a[1] == b[1] is not None if kind == "group" else a[1] is None or b[1] is None)
+            and (not number or a[3] == b[3] is not None) and (not items or a[4] == b[4] is not None)
+        ]
+        assert got[layer] == (len(pairs), sum(a[2] for a, _ in pairs))
+        assert counts[layer] == len(pairs)
