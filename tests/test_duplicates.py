@@ -410,3 +410,14 @@ def test_group_amounts_over_slices(spark, monkeypatch, bits):
         ]
         assert got[layer] == (len(pairs), sum(a[2] for a, _ in pairs))
         assert counts[layer] == len(pairs)
+
+
+def test_listing_groups_rows_with_a_partner_only(spark, monkeypatch):
+    frame, items = frames(spark, [
+        {"invoice_id": n, "company_id": 1, "vendor_id": 1, "invoice_number": f"N-{n}", "batch_id": 1, "day": n, "cents": 100_000 * n,
+         "items": [(f"p{n}", "1", "2")]} for n in range(6)
+    ])
+    grouped, plain = [], duplicates._group_stats
+    monkeypatch.setattr(duplicates, "_group_stats", lambda rows, keys: grouped.append(rows.count()) or plain(rows, keys))
+    assert duplicates.duplicate_pairs(duplicates.scan_rows(frame, items)).count() == 0
+    assert grouped and set(grouped) == {0}
