@@ -220,3 +220,11 @@ def test_file_drop_shows_whole_loads_only(spark, tmp_path, monkeypatch):
     got = runs.history(spark, folders[1], "invoices", schema).collect()
     assert sorted(tuple(r) for r in got) == [("a", 1), ("b", 1), ("c", 2)]
     assert runs.history(spark, folders[1], "vendors").count() == 2
+
+
+def test_places_are_worked_out_once(spark):
+    names = ["Invoice Number", "VENDOR_NAME", "invoice date", "Product-Name", "quantity", "Unit Price", "GST Rate"]
+    rows = spark.range(3).select(*[F.concat(F.lit(" x"), F.col("id").cast("string")).alias(n) for n in names])
+    got = lines.canonical_rows(rows)
+    assert "array_position" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(f"x{n}",) * 7 for n in range(3)]
