@@ -43,3 +43,21 @@ def test_a_cell_never_closed_takes_the_rest(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b,c\n\n  \n1,\"open\n2,x,y\n3,x,y\n")
     (tmp_path / "b.csv").write_text("")
     assert rows_of(spark, tmp_path) == {"a.csv": [["a", "b", "c"], ["1", "open\n2,x,y\n3,x,y", ""]]}
+
+
+def test_records_filled_up_to_the_header_give_the_same_cells(spark, tmp_path):
+    body = ['a,b,c', '1', '1,2', '"x,y",2', '"x,y","u,v","w,z"', '"say ""no""",2,3', '"a ""b"", c",2,3', '"a"b,"c",d', '1,2,3,more',
+            '5" pipe,6" pipe,7', '"",,""', ',,,only beyond', '"x\n,y",2,"\n\n"', '1,2,', '1,"open\n2,x,y']
+    (tmp_path / "a.csv").write_text("\n".join(body) + "\n")
+    stored = quoted.stored_lines(spark, str(tmp_path))
+    schema, options = lines.cell_schema(5), lines.reader_options(True)
+
+    def cells(width):
+        found = quoted.cells_of(stored, schema, options, width).collect()
+        return [["" if c is None else c for c in r["cells"]] for r in sorted(found, key=lambda r: tuple(r["row_order"]))]
+
+    plain, filled = cells(None), cells(3)
+    assert [r + [""] * (5 - len(r)) for r in filled] == plain
+    # Only what cannot be counted or has more cells takes the wide schema.
+    wide = [r for r in filled if len(r) == 5]
+    assert 0 < len(wide) < 8 and ["", "", "", "only beyond", ""] in wide
