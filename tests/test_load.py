@@ -228,3 +228,15 @@ def test_places_are_worked_out_once(spark):
     got = lines.canonical_rows(rows)
     assert "array_position" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in got.collect()) == [(f"x{n}",) * 7 for n in range(3)]
+
+
+def test_a_filter_on_line_money_does_not_repeat_the_parsing(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, "A", "V", "2024-01-05", "pen", "2", "1,000.50", "18%"), (1, 2, "A", "V", "2024-01-05", "pen", "abc", "1", "0")],
+        "batch_id int, row_order int, invoice_number string, vendor_name string, invoice_date string, product_name string, "
+        "quantity string, unit_price string, gst_percent string",
+    )
+    items = load.parse_items(rows)
+    assert [float(r["line_total"]) for r in items.collect()] == [2361.18]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert 3 <= plan.count("translate(") <= 6
