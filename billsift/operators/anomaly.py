@@ -258,46 +258,90 @@ def _grow(scaled: DataFrame, total: int, trees: int, sample: int) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class _Filled:
+    """Trees of one depth: level d of a tree has 2**d places, and the children of place p are 2p and 2p + 1.
+
+    ``features`` and ``thresholds`` hold one array (tree, place) per level, ``paths`` the places below the last one.
+    Below a leaf all places have its path.
+    """
+
+    features: list[np.ndarray]
+    thresholds: list[np.ndarray]
+    paths: np.ndarray
+
+    def depths(self, x: np.ndarray, trees_at_once: int = 16) -> np.ndarray:
+        """Path lengths summed over the trees for every row of ``x`` (feature, row)."""
+        rows = x.shape[1]
+        flat, row = np.ascontiguousarray(x).reshape(-1), np.arange(rows)
+        out = np.zeros(rows, np.int64)
+        for begin in range(0, len(self.paths), trees_at_once):
+            trees = slice(begin, begin + trees_at_once)
+            # Place in the level's array of all these trees, one row per tree.
+            place = np.repeat(np.arange(len(self.paths[trees]))[:, None], rows, axis=1)
+            at, value, bound = np.empty_like(place), np.empty(place.shape), np.empty(place.shape)
+            right = np.empty(place.shape, bool)
+            for features, thresholds in zip(self.features, self.thresholds, strict=True):
+                # Indices are never out of range; "clip" lets numpy write into the buffers directly.
+                (features[trees] * rows).reshape(-1).take(place, out=at, mode="clip")
+                at += row
+                flat.take(at, out=value, mode="clip")
+                thresholds[trees].reshape(-1).take(place, out=bound, mode="clip")
+                np.logical_not(np.less_equal(value, bound, out=right), out=right)
+                place *= 2
+                place += right
+            self.paths[trees].reshape(-1).take(place, out=at, mode="clip")
+            out += at.sum(axis=0)
+        return out
+
+
+def _filled(table: pd.DataFrame) -> _Filled:
+    """The node table, ordered by tree and node, as trees of one depth."""
+    trees = []
+    deepest = 0
+    for _, nodes in table.groupby("tree", sort=True):
+        cells = {r.node: r for r in nodes.itertuples()}
+        placed, todo = [], [(0, 0, 0)]
+        while todo:
+            node, level, place = todo.pop()
+            cell = cells[node]
+            placed.append((level, place, cell))
+            if cell.feature >= 0:
+                todo += [(cell.left, level + 1, 2 * place), (cell.right, level + 1, 2 * place + 1)]
+            deepest = max(deepest, level)
+        trees.append(placed)
+    features = [np.zeros((len(trees), 1 << d), np.int64) for d in range(deepest)]
+    thresholds = [np.zeros((len(trees), 1 << d)) for d in range(deepest)]
+    paths = np.zeros((len(trees), 1 << deepest), np.int64)
+    for tree, placed in enumerate(trees):
+        for level, place, cell in placed:
+            if cell.feature >= 0:
+                features[level][tree, place] = cell.feature
+                thresholds[level][tree, place] = cell.threshold
+            else:
+                below = deepest - level
+                paths[tree, place << below : (place + 1) << below] = cell.path
+    return _Filled(features, thresholds, paths)
+
+
 def _path_lengths(scaled: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds ``depth`` (summed over the trees, in parts of a step) and ``isolation`` (0..1, higher is more anomalous).
 
     The forest has at most 2 x trees x sample nodes, so it is shipped to every task.
     """
     table = nodes.orderBy("tree", "node").toPandas()
-    starts = table.groupby("tree")["node"].transform("size").to_numpy()
-    first = table.index.to_numpy() - table["node"].to_numpy()
-    children = [
-        np.where(table[side] < 0, table.index, first + table[side]) for side in ("left", "right")
-    ]
-    roots = np.flatnonzero(table["node"].to_numpy() == 0)
-    norm = average_path(float(table.groupby("tree")["sample"].first().mean())) if len(starts) else 1.0
-    packed = scaled.sparkSession.sparkContext.broadcast(
-        (
-            table["feature"].to_numpy(), table["threshold"].to_numpy(), children[0], children[1],
-            table["path"].to_numpy(), roots,
-        )
-    )
+    forest = _filled(table)
+    norm = average_path(float(table.groupby("tree")["sample"].first().mean())) if len(table) else 1.0
+    packed = scaled.sparkSession.sparkContext.broadcast(forest)
 
     def depth(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        feature, threshold, left, right, path, root = packed.value
         for columns in batches:
-            x = np.column_stack([s.to_numpy(dtype=float) for s in columns])
-            out = np.empty(len(x), np.int64)
-            for begin in range(0, len(x), 2000):
-                part = x[begin : begin + 2000]
-                at = np.broadcast_to(root, (len(part), len(root))).copy()
-                rows = np.arange(len(part))[:, None]
-                while True:
-                    f = feature[at]
-                    if (f < 0).all():
-                        break
-                    value = part[rows, np.maximum(f, 0)]
-                    at = np.where(value <= threshold[at], left[at], right[at])
-                out[begin : begin + 2000] = path[at].sum(axis=1)
-            yield pd.Series(out)
+            x = np.stack([s.to_numpy(dtype=float) for s in columns])
+            parts = [packed.value.depths(x[:, begin : begin + 2000]) for begin in range(0, x.shape[1], 2000)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
     found = scaled.withColumn("depth", F.pandas_udf(depth, "long")(*[F.col(c) for c in FEATURES]))
-    mean = F.col("depth") / float(DEPTH_PARTS * max(len(roots), 1))
+    mean = F.col("depth") / float(DEPTH_PARTS * max(len(forest.paths), 1))
     return found.withColumn("isolation", F.pow(F.lit(2.0), -mean / (norm or 1.0)))
 
 
@@ -360,14 +404,14 @@ def load(spark: SparkSession, path: str) -> Forest:
     )
 
 
-def score(rows: DataFrame, model: Forest | None = None) -> DataFrame:
-    """Adds ml_risk_score (0..100 over the scored rows) and ml_flag.
+def scores(rows: DataFrame, model: Forest | None = None) -> DataFrame:
+    """row_id, ml_risk_score (0..100 over the scored rows) and ml_flag.
 
-    Fits on the rows themselves when there is no model. Fewer than two rows score 0.
+    Fits on the rows themselves when there is no model. Fewer than two rows score 0. ``rows`` is read once.
     """
-    if len(rows.take(2)) < 2:
-        return rows.withColumns({"ml_risk_score": F.lit(0.0), "ml_flag": F.lit(False)})
     features = cut_lineage(build_features(rows).select("row_id", *FEATURES))
+    if len(features.take(2)) < 2:
+        return features.select("row_id", F.lit(0.0).alias("ml_risk_score"), F.lit(False).alias("ml_flag"))
     if model is None:
         model, raw = _fit_features(features, TREES, CONTAMINATION)
     else:
@@ -375,9 +419,13 @@ def score(rows: DataFrame, model: Forest | None = None) -> DataFrame:
     span = raw.agg(F.min("isolation").alias("least"), F.max("isolation").alias("most"))
     # decision = offset - isolation, so the most isolated row has the lowest decision value.
     position = (F.col("isolation") - F.col("least")) / (F.col("most") - F.col("least") + 1e-9)
-    scores = beside(raw, span).select(
+    return beside(raw, span).select(
         "row_id",
         F.round(position * 100, 1).alias("ml_risk_score"),
         (F.col("depth") < model.offset).alias("ml_flag"),
     )
-    return rows.join(scores, "row_id")
+
+
+def score(rows: DataFrame, model: Forest | None = None) -> DataFrame:
+    """Adds the columns of ``scores``; ``rows`` is read twice."""
+    return rows.join(scores(rows, model), "row_id")

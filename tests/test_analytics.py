@@ -3,6 +3,8 @@ import statistics
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,23 @@ def test_duplicate_events_of_one_batch(spark):
         (40, 0, "Duplicate Detection Started", "file=empty.csv"),
         (40, 2, "Batch Duplicate Scan Completed", str({"batch_id": 40, **empty})),
     ]
+
+
+def test_filled_trees_give_the_paths_of_their_nodes():
+    rng = np.random.default_rng(5)
+    trees = []
+    for tree, size in enumerate((1, 2, 7, 200, 256)):
+        rows = pd.DataFrame(rng.integers(0, 6, (size, 4)).astype(float), columns=list(anomaly.FEATURES))
+        trees.append(anomaly._grow_tree(rows.assign(tree=tree, draw=range(size), row_id=range(size)), 256))
+    x = rng.integers(-1, 7, (50, 4)).astype(float)
+
+    def path(nodes, row):
+        node = nodes.loc[0]
+        while node["feature"] >= 0:
+            node = nodes.loc[int(node["left"] if row[int(node["feature"])] <= node["threshold"] else node["right"])]
+        return int(node["path"])
+
+    expected = [sum(path(t.set_index("node"), row) for t in trees) for row in x]
+    forest = anomaly._filled(pd.concat(trees).sort_values(["tree", "node"]))
+    assert forest.depths(x.T, 2).tolist() == expected
+    assert forest.depths(x.T[:, :0]).tolist() == []
