@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from billsift.llm import ann, bpe, edits, line_dedup, mixing, packed, pii, quality, repeats, shingle_join
+from billsift.llm import ann, bpe, edits, line_dedup, linking, mixing, packed, pii, quality, repeats, shingle_join
 from billsift.llm.common import components
 from billsift.llm.queries import VOCABULARY
 from tests.llm import brute
@@ -490,3 +490,58 @@ def test_counted_hashes(spark):
         assert (sketch.is_repeated(table, hashes, bits) == (expected[sketch.slots_of(hashes, bits)] > 1)).all()
     kept = sketch.probably(frame, "h", frame.limit(10), 24)
     assert {x["h"] for x in frame.limit(10).collect()} <= {x["h"] for x in kept.collect()}
+
+
+def test_signs_lose_nothing():
+    """Signs may exclude only pairs below the similarity, and exclude most of those far below it."""
+    rng = np.random.default_rng(7)
+    for bits, percent in ((512, 80), (1024, 85)):
+        excluded = 0
+        for n in (3, 40, 160, 3000):
+            base = rng.integers(0, 1 << 64, 2 * n, np.uint64)
+            for share in (0.1, 0.5, 0.8, 0.9, 1.0):
+                a, b = np.unique(base[:n]), np.unique(base[n - int(share * n) : 2 * n - int(share * n)])
+                both = len(np.intersect1d(a, b))
+                differing = int(np.bitwise_count(linking.sign(a, bits) ^ linking.sign(b, bits)).sum())
+                similar = 100 * both >= percent * (len(a) + len(b) - both)
+                may = differing * (100 + percent) <= (len(a) + len(b)) * (100 - percent)
+                assert may or not similar
+                excluded += not may and n in (40, 160) and share <= 0.5
+        assert excluded == 4
+
+
+def test_signs_of_lines(spark):
+    lines = ["a", "abcdefg", "ha " * 40, "the quick brown fox jumps", "the quick brown dog jumps", "x" * 900 + "y"]
+    _, signs = line_dedup.signatures(lines)
+    assert [linking.sign(line_dedup.grams(s), line_dedup.SIGN_BITS).tolist() for s in lines] == signs.tolist()
+    rows = [(n, s.view(np.int64).tolist(), len(line_dedup.grams(lines[n]))) for n, s in enumerate(signs)]
+    frame = spark.createDataFrame(rows, "n int, sign array<bigint>, size bigint")
+    pairs = frame.alias("x").crossJoin(frame.alias("y"))
+    may = linking.may_be_similar(
+        F.col("x.sign"), F.col("y.sign"), F.col("x.size") + F.col("y.size"), line_dedup.SIGN_BITS, line_dedup.PERCENT
+    )
+    found = {(r[0], r[1]): r[2] for r in pairs.select("x.n", "y.n", may).collect()}
+    expected = {
+        (n, m): int(np.bitwise_count(signs[n] ^ signs[m]).sum()) * (100 + line_dedup.PERCENT) <= (one + other) * (100 - line_dedup.PERCENT)
+        for n, _, one in rows for m, _, other in rows
+    }
+    assert found == expected and list(found.values()).count(False) >= 20
+
+
+def test_crossing_pairs_are_excluded_in_their_join(spark, monkeypatch):
+    """Texts that share a bucket and little else are never handed on as pairs."""
+    r = random.Random(3)
+    texts = {n: " ".join(f"w{r.randrange(10 ** 9)}" for _ in range(60)) for n in range(200)}
+    texts[200] = texts[5] + " end"
+    signs = [(n, linking.sign(shingle_join.shingles(t)).view(np.int64).tolist()) for n, t in texts.items()]
+    buckets = spark.createDataFrame([(1, n, len(shingle_join.shingles(t))) for n, t in texts.items()], "bucket bigint, id bigint, size bigint")
+    compared = []
+    real = linking.compared
+    monkeypatch.setattr(linking, "compared", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    frame = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    roots = linking.linked(
+        buckets, spark.createDataFrame(signs, "id bigint, sign array<bigint>"),
+        lambda ids: frame.join(ids, "id", "left_semi"), shingle_join.shingles, 85,
+    )
+    assert {x["node"]: x["root"] for x in roots.collect()} == {5: 5, 200: 5}
+    assert sum(compared) <= 3
