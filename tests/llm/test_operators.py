@@ -545,3 +545,29 @@ def test_crossing_pairs_are_excluded_in_their_join(spark, monkeypatch):
     )
     assert {x["node"]: x["root"] for x in roots.collect()} == {5: 5, 200: 5}
     assert sum(compared) <= 3
+
+
+def test_pairs_of_large_buckets_are_told_once(spark):
+    """Near copies that share many large buckets, some of them only small or late ones, give the brute-force components."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(10 ** 9)}" for _ in range(80)]
+
+    def edited(places):
+        return " ".join(f"e{r.randrange(10 ** 9)}" if n in places else w for n, w in enumerate(base))
+
+    texts = {0: edited(set(range(0, 80, 9)))} | {n: edited({r.randrange(1, 79)}) for n in range(1, 61)}
+    texts |= {n: edited(set(r.sample(range(1, 79), 3))) for n in range(61, 91)}
+    sets = {n: set(shingle_join.shingles(t).tolist()) for n, t in texts.items()}
+    places = {n: set(r.sample(range(60), 25)) for n in texts} | {7: {100}, 8: {100, *range(30)}, 9: {*range(60)}}
+    groups = brute.Groups()
+    for a in texts:
+        for b in range(a + 1, len(texts)):
+            if places[a] & places[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                groups.link(a, b)
+    frame = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    roots = linking.linked(
+        spark.createDataFrame([(k, n, len(sets[n])) for n in texts for k in places[n]], "bucket bigint, id bigint, size bigint"),
+        spark.createDataFrame([(n, linking.sign(shingle_join.shingles(t)).view(np.int64).tolist()) for n, t in texts.items()], "id bigint, sign array<bigint>"),
+        lambda ids: frame.join(ids, "id", "left_semi"), shingle_join.shingles, 85,
+    )
+    assert {x["node"]: x["root"] for x in roots.collect()} == {n: groups.root(n) for n in groups.parent}
