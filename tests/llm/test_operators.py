@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from billsift.llm import ann, bpe, edits, line_dedup, linking, mixing, packed, pii, quality, repeats, shingle_join
+from billsift.llm import ann, bpe, edits, line_dedup, linking, mixing, packed, pii, quality, repeats, shingle_join, words
 from billsift.llm.common import components
 from billsift.llm.queries import VOCABULARY
 from tests.llm import brute
@@ -78,6 +78,16 @@ def test_bpe_of_every_character(library):
     assert wrong == []
 
 
+def test_plain_chunks_are_not_cut_at_special_strings(library, monkeypatch):
+    known = bpe.Vocabulary(VOCABULARY)
+    asked = []
+    cut = words.special_parts
+    monkeypatch.setattr(words, "special_parts", lambda chunk, special: asked.append(chunk) or cut(chunk, special))
+    text = "Plain words, aԯ it's a<|endoftext|>b a԰ 日本語 a<|b"
+    assert np.frombuffer(known.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked == ["a<|endoftext|>b", "a԰", "日本語"]
+
+
 @pytest.mark.parametrize("most", [1, 2, 50, 70_000, 2**59, 2**64 - 1])
 def test_packing_round_trip(most):
     r = np.random.default_rng(3)
