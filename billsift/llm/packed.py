@@ -17,6 +17,7 @@ that Spark reaches can hold them. A segment holds whole documents:
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,23 @@ SEGMENT_IDS = 262_144
 END_ID = 2
 
 
+def _widths_searched(ids: np.ndarray) -> np.ndarray:
+    known = sorted({b for _, b in LAYOUTS})
+    limits = np.array([1 << b for b in known], np.uint64)
+    return np.array([*known, 64], np.uint8)[np.searchsorted(limits, ids, side="right")]
+
+
+#: Widths of the ids below 2 ** 16, which most vocabularies do not exceed.
+_WIDTHS = _widths_searched(np.arange(1 << 16, dtype=np.uint64))
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The least width of the layouts that holds an id; 64 if none does."""
+    if int(ids.max()) < len(_WIDTHS):
+        return _WIDTHS[ids.astype(np.uint16)]
+    return _widths_searched(ids)
+
+
 def _widest(widths: np.ndarray, count: int, known: dict[int, np.ndarray]) -> np.ndarray:
     """Largest width among the next ``count`` ids, at every position."""
     if count not in known:
@@ -70,14 +88,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[: len(ids)] = ids
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    limits = np.array([1 << b for b in sorted({b for _, b in LAYOUTS})], np.uint64)
-    levels = np.array([*sorted({b for _, b in LAYOUTS}), 64], np.uint8)
-    widths = levels[np.searchsorted(limits, grid, side="right")]
+    widths = _widths(grid)
     choice = np.full(grid.shape, ESCAPE, np.uint8)
     known = {1: widths}
     for selector in range(len(LAYOUTS) - 1, -1, -1):
         count, bits = LAYOUTS[selector]
-        choice[_widest(widths, count, known) <= bits] = selector
+        np.copyto(choice, np.uint8(selector), where=_widest(widths, count, known) <= bits)
     counts = np.array([c for c, _ in LAYOUTS] + [1], np.int64)
     steps = counts[choice]
     size = np.full(blocks, BLOCK, np.int64)
@@ -92,10 +108,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = at + steps[lanes, at]
         open_ = at < size[lanes]
         lanes, at = lanes[open_], at[open_]
-    lane, at = np.concatenate(taken_lane), np.concatenate(taken_at)
-    order = np.lexsort((at, lane))
-    lane, at = lane[order], at[order]
-    selector = choice[lane, at]
+    # Places in the grid as one number: in order of block and place.
+    cells, chosen = grid.reshape(-1), choice.reshape(-1)
+    spot = np.sort(np.concatenate(taken_lane) * grid.shape[1] + np.concatenate(taken_at))
+    lane, selector = spot // grid.shape[1], chosen[spot]
     lengths = 1 + (selector == ESCAPE)
     place = np.concatenate([[0], np.cumsum(lengths)])
     out = np.zeros(place[-1], np.uint64)
@@ -103,12 +119,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(selector == s)
         if s == ESCAPE:
             out[place[rows]] = np.uint64(ESCAPE << 60)
-            out[place[rows] + 1] = grid[lane[rows], at[rows]]
+            out[place[rows] + 1] = cells[spot[rows]]
             continue
         count, bits = LAYOUTS[s]
-        word = np.full(len(rows), int(s) << 60, np.uint64)
+        word, first = np.full(len(rows), int(s) << 60, np.uint64), spot[rows]
         for k in range(count):
-            word |= grid[lane[rows], at[rows] + k] << np.uint64(k * bits)
+            word |= cells[first + k] << np.uint64(k * bits)
         out[place[rows]] = word
     starts = place[:-1][np.searchsorted(lane, np.arange(blocks))].astype(np.uint32)
     return starts, out
@@ -129,26 +145,25 @@ def unpack(starts: np.ndarray, packed: np.ndarray, total: int) -> np.ndarray:
     ahead = np.cumsum(held) - held
     lane = np.searchsorted(starts, np.arange(len(packed)), side="right") - 1
     at = ahead - ahead[starts][lane]
-    grid = np.zeros((blocks, BLOCK + 64), np.uint64)
+    width = BLOCK + 64
+    cells, spot = np.zeros(blocks * width, np.uint64), lane * width + at
     for s in np.unique(selector[~raw]):
         if s == ESCAPE:
             continue
         count, bits = LAYOUTS[s]
         rows = np.flatnonzero((selector == s) & ~raw)
         mask = np.uint64((1 << bits) - 1)
+        first, content = spot[rows], packed[rows]
         for k in range(count):
-            grid[lane[rows], at[rows] + k] = (packed[rows] >> np.uint64(k * bits)) & mask
+            cells[first + k] = (content >> np.uint64(k * bits)) & mask
     rows = np.flatnonzero(raw)
-    grid[lane[rows], at[rows]] = packed[rows]
-    return grid[:, :BLOCK].reshape(-1)[:total]
+    cells[spot[rows]] = packed[rows]
+    return cells.reshape(blocks, width)[:, :BLOCK].reshape(-1)[:total]
 
 
 class _Encoder:
     """Ids by the tokenizers library, asked once for each piece of a text."""
 
-    #: Chunks of characters below this are split here, others by the library with its own character tables.
-    _PLAIN = "\u0530"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -160,22 +175,25 @@ class _Encoder:
         self._letters = bpe.byte_letters()
         self._pieces = words.Kept(self._piece)
         self.chunks = words.Kept(self._chunk)
-        self._special = {t.content for t in self._library.get_added_tokens_decoder().values()}
+        self._plain = words.plain(t.content for t in self._library.get_added_tokens_decoder().values())
 
     def _piece(self, piece: str) -> bytes:
-        letters = self._letters
-        tokens = self._model.tokenize("".join([letters[b] for b in piece.encode()]))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        # Printable ASCII letters stand for themselves.
+        if not (piece.isascii() and piece.isprintable()):
+            letters = self._letters
+            piece = "".join([letters[b] for b in piece.encode()])
+        ids = [t.id for t in self._model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if max(chunk) >= self._PLAIN or any(s in chunk for s in self._special):
+        if not self._plain(chunk):
             return np.array(self._library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self._pieces
-        return b"".join([known[p] for p in words.pieces(chunk)])
+        known, found = self._pieces, words.pieces(chunk)
+        return known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found])
 
     def encode(self, text: str) -> bytes:
         known = self.chunks
-        return b"".join([known[c] for c in words.chunks(text)])
+        return b"".join(map(known.__getitem__, words.chunks(text)))
 
 
 @lru_cache(maxsize=2)

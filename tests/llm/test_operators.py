@@ -88,6 +88,14 @@ def test_plain_chunks_are_not_cut_at_special_strings(library, monkeypatch):
     assert asked == ["a<|endoftext|>b", "a԰", "日本語"]
 
 
+def test_widths_of_ids():
+    ids = np.array([0, 1, 2, 255, 256, 49_151, 65_535], np.uint64)
+    for more in ([], [2**16], [2**63]):
+        every = np.array([*ids.tolist(), *more], np.uint64)
+        assert packed._widths(every)[:7].tolist() == [1, 1, 2, 8, 10, 20, 20]
+    assert packed._widths(np.array([2**15 - 1, 2**15, 2**16, 2**63], np.uint64)).tolist() == [15, 20, 20, 64]
+
+
 @pytest.mark.parametrize("most", [1, 2, 50, 70_000, 2**59, 2**64 - 1])
 def test_packing_round_trip(most):
     r = np.random.default_rng(3)
