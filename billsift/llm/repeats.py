@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from billsift.llm import bpe, sketch
 from billsift.llm.common import numbered, stored, text_or_empty
 from billsift.llm.shingle_join import mixed
+from billsift.session import discard
 
 LENGTH = 200
 GRAM = 32
@@ -87,37 +88,40 @@ def pieces(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return anchors, hashed, first, last
 
 
-def _ranks(symbols: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Order of the suffixes by their first 224 symbols, and the ranks by 28, 56 and 112."""
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order of their keys, rank of each place's key)."""
+    order = np.argsort(keys)
+    line = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], line[1:] != line[:-1]])[: len(keys)])
+    return order, rank
+
+
+def _ranks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first 224 symbols, equal ones in any order, and the ranks by 112."""
     n = len(symbols)
     padded = np.concatenate([symbols, np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | padded[k : n + k]
-    _, rank = np.unique(key, return_inverse=True)
-    kept, width = {}, 7
+    order, rank = _ordered(key)
+    width, kept = 7, rank
     while width < 224:
+        kept = rank
         behind = np.zeros(n, np.int64)
         behind[: max(0, n - width)] = rank[width:] + 1
-        _, rank = np.unique(rank * (n + 2) + behind, return_inverse=True)
+        order, rank = _ordered(rank * (n + 2) + behind)
         width *= 2
-        kept[width] = rank
-    return np.argsort(rank, kind="stable"), kept
+    return order, kept
 
 
-def _matches(a: np.ndarray, b: np.ndarray, symbols: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
-    """Whether the suffixes at a and b share ``LENGTH`` symbols (112 + 56 + 28 + 4)."""
-    n = len(symbols)
-    same = np.ones(len(a), bool)
-    done = 0
-    for width in (112, 56, 28):
-        x, y = np.minimum(a + done, n - 1), np.minimum(b + done, n - 1)
-        same &= ranks[width][x] == ranks[width][y]
-        done += width
-    while done < LENGTH:
-        x, y = np.minimum(a + done, n - 1), np.minimum(b + done, n - 1)
-        same &= symbols[x] == symbols[y]
-        done += 1
+def _matches(a: np.ndarray, b: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Whether the suffixes at a and b share ``LENGTH`` symbols: the first 112, and the last 112 of these."""
+    last = len(ranks) - 1
+    same = ranks[a] == ranks[b]
+    open_ = np.flatnonzero(same)
+    x, y = (np.minimum(c[open_] + (LENGTH - 112), last) for c in (a, b))
+    same[open_] = ranks[x] == ranks[y]
     return same
 
 
@@ -136,7 +140,8 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
 def previous_factors(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(repeated, source): whether the factor of ``LENGTH`` at a position occurs earlier, and whether it occurs later.
 
-    The nearest smaller positions before and after a suffix in suffix order are its best earlier matches.
+    The nearest smaller positions before and after a suffix in suffix order are its best earlier matches. Suffixes that
+    share the factor follow each other there, so their own order does not matter.
     """
     order, ranks = _ranks(symbols)
     repeated, source = np.zeros(len(symbols), bool), np.zeros(len(symbols), bool)
@@ -145,7 +150,7 @@ def previous_factors(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = _nearest_smaller(line)
         has = np.flatnonzero(at >= 0)
         one, other = line[has], line[at[has]]
-        same = _matches(one, other, symbols, ranks)
+        same = _matches(one, other, ranks)
         repeated[one[same]] = True
         source[other[same]] = True
     return repeated, source
@@ -337,6 +342,10 @@ def removals(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     if keep_first:
         rows = rows.repartitionByRange("first_doc").sortWithinPartitions("first_doc", "text_no", "first")
     rows = numbered(rows, "row")
+    # The pieces are in the rows now; of the texts only these columns are asked for again.
+    digested = stored(measured.select("doc_id", "digest", "n_bytes"))
+    discard(measured)
+    twice.destroy()
     distinct = rows.groupBy("anchor", "hashed").agg(F.count(F.lit(1)).alias("count"), F.min("row").alias("least"))
     distinct = stored(distinct)
     per_anchor = distinct.groupBy("anchor").agg(
@@ -359,7 +368,7 @@ def removals(docs: DataFrame, keep_first: bool = False) -> DataFrame:
         (F.col("first") + F.col("run.ends") - 1 + LENGTH).alias("to"),
     )
     cuts = whole.unionByName(some).groupBy("text_no").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("cuts"))
-    return known.join(cuts, "text_no", "left"), measured
+    return known.join(cuts, "text_no", "left"), digested
 
 
 def _cut(content: bytes, cuts: list[dict]) -> tuple[bytes, int, int]:

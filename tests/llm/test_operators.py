@@ -225,6 +225,14 @@ def test_repeated_passages_keep_the_first(spark, monkeypatch):
         assert [found[d][0]["n_removed"] for d in (1, 2, 3, 4)] == [expected[d][1] for d in (1, 2, 3, 4)]
 
 
+def test_repeated_passages_remove_measured_pieces(docs, monkeypatch):
+    removed = []
+    monkeypatch.setattr(repeats, "discard", lambda *frames: removed.extend(frames), raising=False)
+    _, rows = repeats.removals(docs)
+    assert [f.columns for f in removed] == [["doc_id", "digest", "n_bytes", "sha256", "anchors", "hashed", "first", "last"]]
+    assert rows.columns == ["doc_id", "digest", "n_bytes"]
+
+
 def test_previous_factors_of_periodic_text():
     for text in (b"ab" * 300, b"x" * 450, bytes(range(256)) * 3):
         symbols = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
