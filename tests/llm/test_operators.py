@@ -1,5 +1,9 @@
 import hashlib
+import os
 import random
+import tempfile
+import time
+import uuid
 import zlib
 from collections import defaultdict
 
@@ -8,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from billsift.llm import ann, bpe, edits, line_dedup, linking, mixing, packed, pii, quality, repeats, shingle_join, words
+from billsift import session
+from billsift.llm import ann, bpe, edits, line_dedup, linking, mixing, packed, pii, quality, repeats, shingle_join, sketch, words
 from billsift.llm.common import components
 from billsift.llm.queries import VOCABULARY
 from tests.llm import brute
@@ -597,3 +602,62 @@ def test_pairs_of_large_buckets_are_told_once(spark):
         lambda ids: frame.join(ids, "id", "left_semi"), shingle_join.shingles, 85,
     )
     assert {x["node"]: x["root"] for x in roots.collect()} == {n: groups.root(n) for n in groups.parent}
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    """What is shuffled for a stored table goes with the statement that stores it."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in files.getAllFiles().mkString("|").split("|") if "/shuffle_" in name}
+
+    setting = spark.conf.get(session._SHUFFLE_CLEANUP, None)
+    old = shuffled()
+    rows = spark.range(2000).select((F.col("id") % 7).alias("k"))
+    kept = session.cut_lineage(rows.repartition(5, "k").groupBy("k").count())
+    deadline = time.time() + 20
+    while shuffled() - old and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffled() - old
+    assert kept.agg(F.sum("count")).first()[0] == 2000
+    assert spark.conf.get(session._SHUFFLE_CLEANUP, None) == setting
+
+
+def test_line_dedup_signs_a_line_once(spark, monkeypatch):
+    """Copies of a line need no signature of their own, and tables of a line's bands go when they are read."""
+    folder = tempfile.mkdtemp()
+    real = line_dedup.signatures
+
+    def counted(lines):
+        for line in lines:
+            with open(os.path.join(folder, f"{uuid.uuid4().hex}"), "w") as out:
+                out.write(line)
+        return real(lines)
+
+    monkeypatch.setattr(line_dedup, "signatures", counted)
+    texts = {d: f"a line that all of them have\nanother line of number {d // 4} alone" for d in range(40)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    found = {x["doc_id"]: x["removed_lines"] for x in line_dedup.removals(frame).collect()}
+    signed = [open(os.path.join(folder, name)).read() for name in os.listdir(folder)]
+    assert sorted(signed) == sorted({line for text in texts.values() for line in text.split("\n")})
+    expected = brute.removed_lines({(True, d): t for d, t in texts.items()})
+    assert found == {d: ",".join(map(str, expected.get((True, d), []))) for d in texts}
+
+
+def test_hashes_in_ranges(spark, monkeypatch):
+    """All values that recur stay, whatever the ranges; few others do although they are many more than the slots of one table."""
+    r = np.random.default_rng(3)
+    once = r.integers(0, 2**64, 200_000, dtype=np.uint64).view(np.int64)
+    twice = r.integers(0, 2**64, 500, dtype=np.uint64).view(np.int64)
+    values = np.concatenate([once, twice, twice])
+    r.shuffle(values)
+    rows = [(n, part.tolist()) for n, part in enumerate(np.array_split(values, 400))] + [(400, [])]
+    frame = spark.createDataFrame(rows, "id bigint, h array<bigint>").repartition(3)
+    parts = sketch.recurring(frame, "h", "bucket", len(values), 16)
+    assert len(parts) == -(-sketch.SPARE * len(values) >> 16)
+    found = [(x["bucket"], x["id"]) for part in parts for x in part.collect()]
+    known = {(v, n) for n, part in rows for v in part}
+    assert set(found) <= known
+    again = set(twice.tolist())
+    assert {(v, n) for v, n in known if v in again} <= set(found)
+    assert len(found) < 0.3 * len(values)
