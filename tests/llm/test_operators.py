@@ -661,3 +661,8 @@ def test_hashes_in_ranges(spark, monkeypatch):
     again = set(twice.tolist())
     assert {(v, n) for v, n in known if v in again} <= set(found)
     assert len(found) < 0.3 * len(values)
+
+
+def test_cleaned_lines_shuffle_a_text_once(clashing):
+    rows = line_dedup.cleaned(clashing)._jdf.queryExecution().analyzed().toString()
+    assert "struct(doc_id" in rows and "text, text#" not in rows
