@@ -61,3 +61,33 @@ def test_records_filled_up_to_the_header_give_the_same_cells(spark, tmp_path):
     # Only what cannot be counted or has more cells takes the wide schema.
     wide = [r for r in filled if len(r) == 5]
     assert 0 < len(wide) < 8 and ["", "", "", "only beyond", ""] in wide
+
+
+def test_states_of_lines_need_no_shuffle(spark, tmp_path):
+    """Lines know their state as they are read, over batches of any size; the files may go afterwards."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    rng = random.Random(4)
+    expected = []
+    for n in range(3):
+        rows = [[f"{n}-{k}", rng.choice(["x\ny", "plain", "\n", "a,b", "say \"no\"\n\"", "\"\n\""])] for k in range(300)]
+        buffer = io.StringIO()
+        csv.writer(buffer, lineterminator="\n").writerows([["Invoice Number", "Product Name"], *rows])
+        (folder / f"{n}.csv").write_text(buffer.getvalue(), newline="")
+        expected += [[a, b.strip()] for a, b in rows]
+    header = "Invoice Number,Product Name,vendor_name,invoice_date,quantity,unit_price,gst_percent"
+    for n in range(3):
+        path = folder / f"{n}.csv"
+        path.write_text(path.read_text().replace("Invoice Number,Product Name", header, 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = quoted.stored_lines(spark, str(folder))
+        plan = quoted._with_states(found.select("file_path", "block", "nth", "value"))._jdf.queryExecution().executedPlan()
+        uploads = lines.read_uploads(spark, str(folder))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Exchange" not in plan.toString()
+    for file in folder.iterdir():
+        file.unlink()
+    got = [[r["invoice_number"], r["product_name"]] for r in uploads.collect() if r["error"] is None]
+    assert sorted(got) == sorted(expected)
