@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from billsift.functions.frames import beside
-from billsift.session import cut_lineage
+from billsift.session import cut_lineage, discard
 
 # Names and order of the features.
 FEATURES = ("quantity", "unit_price", "total_amount", "vendor_avg_price_ratio")
@@ -381,6 +381,17 @@ def _fit_features(
     return Forest(nodes, fitted, _offset(isolation, contamination)), isolation
 
 
+def _stored_features(rows: DataFrame, used: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """row_id and the filled features, stored. Of the rows only what they are made from is stored on the way."""
+    raw = cut_lineage(rows.select("row_id", "vendor_name", *FEATURES[:3]))
+    discard(*used)
+    prepared = cut_lineage(with_price_ratio(coerce_numbers(raw)).drop("vendor_name"))
+    discard(raw)
+    features = cut_lineage(fill_medians(prepared, stored=True).select("row_id", *FEATURES))
+    discard(prepared)
+    return features
+
+
 def fit(
     rows: DataFrame, trees: int = TREES, contamination: float = CONTAMINATION, sample: int = SAMPLE
 ) -> Forest:
@@ -388,8 +399,10 @@ def fit(
 
     Each tree sees ``sample`` rows drawn by hash; scaler and offset cover all rows.
     """
-    features = cut_lineage(build_features(rows).select("row_id", *FEATURES))
-    return _fit_features(features, trees, contamination, sample)[0]
+    features = _stored_features(rows)
+    model = _fit_features(features, trees, contamination, sample)[0]
+    discard(features)
+    return model
 
 
 def save(model: Forest, path: str) -> None:
@@ -404,16 +417,18 @@ def load(spark: SparkSession, path: str) -> Forest:
     )
 
 
-def scores(rows: DataFrame, model: Forest | None = None) -> DataFrame:
+def scores(rows: DataFrame, model: Forest | None = None, used: tuple[DataFrame, ...] = ()) -> DataFrame:
     """row_id, ml_risk_score (0..100 over the scored rows) and ml_flag.
 
-    Fits on the rows themselves when there is no model. Fewer than two rows score 0. ``rows`` is read once.
+    Fits on the rows themselves when there is no model. Fewer than two rows score 0. ``rows`` is read once;
+    stored tables in ``used``, which nothing else needs, are discarded then.
     """
-    features = cut_lineage(build_features(rows).select("row_id", *FEATURES))
+    features = _stored_features(rows, used)
     if len(features.take(2)) < 2:
         return features.select("row_id", F.lit(0.0).alias("ml_risk_score"), F.lit(False).alias("ml_flag"))
     if model is None:
         model, raw = _fit_features(features, TREES, CONTAMINATION)
+        discard(features)
     else:
         raw = _path_lengths(_compared(scale(features, model.scaler)), model.nodes).select("row_id", "depth", "isolation")
     span = raw.agg(F.min("isolation").alias("least"), F.max("isolation").alias("most"))

@@ -2,12 +2,14 @@ import random
 import statistics
 from datetime import date
 from decimal import Decimal
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from billsift import session
 from billsift.functions import text
 from billsift.operators import anomaly, reads, sinks
 from billsift.plans import dashboard, reports
@@ -192,3 +194,23 @@ def test_filled_trees_give_the_paths_of_their_nodes():
     forest = anomaly._filled(pd.concat(trees).sort_values(["tree", "node"]))
     assert forest.depths(x.T, 2).tolist() == expected
     assert forest.depths(x.T[:, :0]).tolist() == []
+
+
+def test_scores_leave_only_what_they_are_read_from(spark):
+    """Tables on the way to the scores go once they are read, and of wide rows only the columns used are stored again."""
+    folder = Path(session.ensure_checkpoint_dir(spark).removeprefix("file:"))
+    rows = spark.range(60).select(
+        F.col("id").cast("string").alias("row_id"), (F.col("id") % 3).cast("string").alias("vendor_name"),
+        (F.col("id") % 7).alias("quantity"), (F.col("id") * 1.5).alias("unit_price"), (F.col("id") % 5).alias("total_amount"),
+        F.lit("of no use here").alias("note"),
+    )
+    before = set(folder.iterdir())
+    expected = {r["row_id"]: tuple(r) for r in anomaly.scores(rows).collect()}
+    left = [p for p in set(folder.iterdir()) - before if p.name.startswith("billsift-")]
+    columns = [spark.read.parquet(str(p)).columns for p in left]
+    assert not [c for c in columns if "vendor_avg_price_ratio" in c and "row_id" in c or "vendor_name" in c or "note" in c]
+    wide = session.cut_lineage(rows)
+    path = Path(wide._stored_at.removeprefix("file:"))
+    found = anomaly.scores(wide, used=(wide,))
+    assert not path.exists()
+    assert {r["row_id"]: tuple(r) for r in found.collect()} == expected and len(expected) == 60
